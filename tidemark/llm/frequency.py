@@ -98,8 +98,8 @@ def term_frequencies(df: DataFrame, record_id: str, fields: Mapping[str, Column]
             .select(F.inline("arrays"))
             .unionByName(light)
         )
-    total = base.agg(F.count_distinct("_id").alias("total_records"))
-    return counted.crossJoin(F.broadcast(total))  # one row, whatever the data
+    total = base.agg(F.count_distinct("_id"))
+    return counted.withColumn("total_records", total.scalar())
 
 
 def mark_terms(counts: DataFrame, at_most: int = 3, more_than: float = 0.09) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import duplicates, frequency, lookalikes
+from tidemark.llm import consensus, duplicates, frequency, lookalikes, mixing, sentences
+from tidemark.llm.tokens import Tokenizer
 from tidemark.session import table
 
 NAME_FIELDS = ("vessel", "operator", "berth", "goods")
@@ -48,6 +49,86 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.find_lookalikes(values.unionByName(types), table(spark, folder, "reference_text"))
 
 
+GROUP = ("producer_id", "event_type_name", "name")
+STRATEGIES = ("match", "any", "add", "set", "replace", "min", "max")
+FLAGS = {"true": "true", "yes": "true", "y": "true", "1": "true", "false": "false", "no": "false", "n": "false", "0": "false"}
+
+
+def _declared() -> dict[str, F.Column]:
+    """The usable value of each field of a declaration."""
+
+    def word(name: str) -> F.Column:
+        return F.lower(F.regexp_replace(name, r"^\s+|\s+$", ""))
+
+    def flag(name: str) -> F.Column:
+        return F.create_map(*[F.lit(x) for pair in FLAGS.items() for x in pair])[word(name)]
+
+    return {
+        "object_type": F.col("object_type"),
+        "description": F.col("description"),
+        "optional": flag("optional"),
+        "multivalued": flag("multivalued"),
+        "merge_strategy": F.when(word("merge_strategy").isin(*STRATEGIES), word("merge_strategy")),
+        "confidence": F.col("confidence").cast("string"),
+    }
+
+
+def _rank() -> list[F.Column]:
+    return [F.col("trust"), F.unix_micros(F.col("declared_at").cast("timestamp"))]
+
+
+def _chosen(df: DataFrame, fields: list[str], weights: dict[str, F.Column] | None = None) -> DataFrame:
+    usable = _declared()
+    chosen = consensus.choose_values(df, GROUP, "decl_id", {f: usable[f] for f in fields}, _rank(), weights)
+    return chosen.groupBy(*GROUP).agg(
+        *[F.max(F.when(F.col("_field") == f, F.col(c))).alias(f + s) for f in fields for c, s in (("_id", "_id"), ("_value", ""))]
+    )
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    declared = table(spark, folder, "event_property")
+    kept = consensus.best_records(declared, GROUP, "decl_id", list(_declared().values()), _rank()).where("_first <> _last")
+    chosen = _chosen(declared, ["merge_strategy", "multivalued"])
+    return kept.join(chosen, list(GROUP), "left").select(
+        F.col("_keep").alias("keep_id"),
+        F.coalesce("merge_strategy_id", F.lit(-1)).alias("merge_id"),
+        F.coalesce("multivalued_id", F.lit(-1)).alias("multivalued_id"),
+    )
+
+
+def p3_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    """The surviving declaration of every property, each field by its own vote, descriptions by weight of trust."""
+    declared = table(spark, folder, "event_property")
+    kept = consensus.best_records(declared, GROUP, "decl_id", list(_declared().values()), _rank())
+    fields = list(_declared())
+    chosen = _chosen(declared, fields, {"description": F.coalesce("trust", F.lit(0)) + 1})
+    return kept.join(chosen, list(GROUP), "left").select(*GROUP, F.col("_keep").alias("keep_id"), *fields)
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", Tokenizer(spark).ids(F.col("text")).alias("ids"))
+
+
+def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that their ids don't give back; there are none."""
+    tokenizer = Tokenizer(spark)
+    coded = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = coded.select("doc_id", "text", tokenizer.ids(F.col("text")).alias("ids")).withColumn("back", tokenizer.text(F.col("ids")))
+    return back.where(F.col("back") != F.col("text")).select("doc_id")
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"), Tokenizer(spark))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(p8_mix(spark, folder), table(spark, folder, "mix_target"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, folder, "documents"))
+
+
 def _canonical_events() -> F.Column:
     return duplicates.canonical(F.col("source_uri"), F.col("event_type_name"), F.col("properties"))
 
@@ -92,8 +173,27 @@ grouped AS (SELECT *, min(event_id) OVER (PARTITION BY k) AS first_id FROM keyed
 """
 
 
+_FLAG = "lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')) IN ('true', 'false', 'yes', 'no', 'y', 'n', '1', '0')"
+_MERGE = "lower(regexp_replace(merge_strategy, '^\\s+|\\s+$', '', 'g')) IN ('match', 'any', 'add', 'set', 'replace', 'min', 'max')"
+P3_SQL = f"""
+WITH d AS (
+  SELECT DISTINCT *, coalesce(({_MERGE})::INT, 0) AS um, coalesce(({_FLAG.format("multivalued")})::INT, 0) AS uv,
+    coalesce(({_FLAG.format("optional")})::INT, 0) AS uo,
+    (object_type IS NOT NULL)::INT + (description IS NOT NULL)::INT + (confidence IS NOT NULL)::INT AS others
+  FROM event_property WHERE producer_id IS NOT NULL AND event_type_name IS NOT NULL AND name IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY producer_id, event_type_name, name
+  ORDER BY trust DESC NULLS LAST, declared_at DESC NULLS LAST, decl_id) AS rank FROM d)
+SELECT arg_min(decl_id, (um + uv + uo + others) * -1000000 + rank) AS keep_id,
+  coalesce(arg_min(decl_id, rank) FILTER (WHERE um = 1), -1) AS merge_id,
+  coalesce(arg_min(decl_id, rank) FILTER (WHERE uv = 1), -1) AS multivalued_id
+FROM r GROUP BY producer_id, event_type_name, name HAVING count(DISTINCT decl_id) > 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": P3_SQL,
+        "p7_round_trip": "SELECT doc_id FROM documents WHERE false",
         "p1_found": P1_SQL + "SELECT field_name, term, mark FROM final WHERE mark IS NOT NULL",
         "p1_frequencies": P1_SQL + "SELECT field_name, term, n_rows, n_records, total_records, mark FROM final",
         "p6_found": P6_SQL + "SELECT first_id, event_id FROM grouped WHERE event_id <> first_id",
