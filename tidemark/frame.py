@@ -38,6 +38,10 @@ def present(properties: Column) -> Column:
     return F.map_filter(tidy, lambda _, v: F.size(v) > 0)
 
 
+def _as_objects(kind: str) -> Callable[[Column], Column]:
+    return lambda v: as_object(v, kind)
+
+
 @dataclass(frozen=True)
 class EventFrame:
     """A DataFrame with the columns of ``COLUMNS`` and the ontology that its events follow.
@@ -75,7 +79,7 @@ class EventFrame:
             column = F.col(value) if isinstance(value, str) else value
             kind = df.select(column.alias("x")).schema["x"].dataType.simpleString()
             texts = (
-                F.transform(column, lambda v, k=kind: as_object(v, k[6:-1])) if kind.startswith("array<") else F.array(as_object(column, kind))
+                F.transform(column, _as_objects(kind[6:-1])) if kind.startswith("array<") else F.array(as_object(column, kind))
             )
             pairs += [F.lit(name), texts.cast(TEXTS)]
         made = df.select(

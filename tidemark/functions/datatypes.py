@@ -123,8 +123,12 @@ class DataType:
                 return kind
         return T.DecimalType(20, 0)
 
+    def order(self, value: Column) -> Column:
+        """What values of the type are ordered by: numbers by size, times as the texts they are."""
+        return value if self.family == "datetime" else self.typed(value)
+
     def typed(self, value: Column) -> Column:
-        """A canonical value in its Spark type, null where it isn't one. Its order is the order of the type."""
+        """A canonical value in its Spark type, null where it isn't one."""
         if self.family == "datetime":
             return F.try_to_timestamp(value)
         return value.try_cast(self.spark_type) if not isinstance(self.spark_type, T.StringType) else value
@@ -149,7 +153,7 @@ class DataType:
     @staticmethod
     def _integer(value: Column) -> Column:
         text = F.trim(value)
-        return F.when(text.rlike(r"^[+-]?\d{1,38}$"), text.try_cast("decimal(38,0)").cast("string"))
+        return F.when(text.rlike(r"^[+-]?\d{1,38}\z"), text.try_cast("decimal(38,0)").cast("string"))
 
     def _number(self, value: Column) -> Column:
         text = F.trim(value)
@@ -173,7 +177,7 @@ class DataType:
 
     @staticmethod
     def _base64(value: Column) -> Column:
-        bare = F.regexp_replace(value, "=+$", "")
+        bare = F.regexp_replace(value, r"=+\z", "")
         full = F.rpad(bare, (F.ceil(F.length(bare) / 4) * 4).cast("int"), F.lit("="))
         return F.when((F.length(bare) % 4 != 1) & F.try_to_binary(full, F.lit("base64")).isNotNull(), full)
 
@@ -181,14 +185,14 @@ class DataType:
         text = F.lower(F.trim(value))
         octet = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
         if self.kind == "v4":
-            return F.when(text.rlike(rf"^{octet}(\.{octet}){{3}}$"), F.regexp_replace(text, r"\b0+(\d)", "$1"))
+            return F.when(text.rlike(rf"^{octet}(\.{octet}){{3}}\z"), F.regexp_replace(text, r"\b0+(\d)", "$1"))
         # a dotted tail as two groups, then the gap filled with groups of zeros
-        tail = F.split(F.regexp_extract(text, r":([0-9.]+)$", 1), r"\.")
+        tail = F.split(F.regexp_extract(text, r":([0-9.]+)\z", 1), r"\.")
         pair = [
             F.lpad(F.lower(F.hex(tail[i].try_cast("int") * 256 + tail[i + 1].try_cast("int"))), 4, "0") for i in (0, 2)
         ]
         plain = F.when(
-            text.rlike(rf":{octet}(\.{octet}){{3}}$"), F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), F.concat_ws(":", *pair))
+            text.rlike(rf":{octet}(\.{octet}){{3}}\z"), F.concat(F.regexp_replace(text, r"[0-9.]+\z", ""), F.concat_ws(":", *pair))
         ).otherwise(text)
         halves = F.split(plain, "::")
 
@@ -199,7 +203,7 @@ class DataType:
         missing = F.lit(8) - F.size(left) - F.size(right)
         filled = F.concat(left, F.when(missing > 0, F.array_repeat(F.lit("0"), missing)).otherwise(F.array().cast("array<string>")), right)
         shaped = F.when(F.size(halves) == 2, missing > 0).otherwise((F.size(halves) == 1) & (missing == 0))
-        good = shaped & F.forall(filled, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        good = shaped & F.forall(filled, lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
         return F.when(good, F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), ":"))
 
     # -- validation
@@ -211,9 +215,9 @@ class DataType:
         f = self.family
         if f == "datetime":
             year = value.substr(1, 4).try_cast("int")
-            return value.rlike(r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):\d{2}:\d{2}\.\d{6}Z$") & (year >= 1583)
+            return value.rlike(r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):\d{2}:\d{2}\.\d{6}Z\z") & (year >= 1583)
         if f == "sequence":
-            return value.rlike(r"^(0|[1-9]\d{0,19})$") & (value.try_cast("decimal(38,0)") <= F.lit(2**64 - 1).cast("decimal(38,0)"))
+            return value.rlike(r"^(0|[1-9]\d{0,19})\z") & (value.try_cast("decimal(38,0)") <= F.lit(2**64 - 1).cast("decimal(38,0)"))
         if f == "boolean":
             return value.isin("true", "false")
         if f == "number":
@@ -221,11 +225,11 @@ class DataType:
         if f == "hex":
             return value.rlike(self._hex_pattern())
         if f == "uuid":
-            return value.rlike(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+            return value.rlike(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z")
         if f == "geo":
             parts = F.split(value, ",")
             lat, lon = (F.try_element_at(parts, F.lit(i)).try_cast("double") for i in (1, 2))
-            return value.rlike(r"^-?\d{1,2}\.\d{6},-?\d{1,3}\.\d{6}$") & (F.abs(lat) <= 90) & (F.abs(lon) <= 180)
+            return value.rlike(r"^-?\d{1,2}\.\d{6},-?\d{1,3}\.\d{6}\z") & (F.abs(lat) <= 90) & (F.abs(lon) <= 180)
         if f == "string":
             return self._holds_string(value)
         if f == "base64":
@@ -236,30 +240,30 @@ class DataType:
             return value.isin(*self.choices)
         if f == "ip" and self.kind == "v4":
             octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-            return value.rlike(rf"^{octet}(\.{octet}){{3}}$")
+            return value.rlike(rf"^{octet}(\.{octet}){{3}}\z")
         if f == "ip":
-            return value.rlike(r"^[0-9a-f]{4}(:[0-9a-f]{4}){7}$")
+            return value.rlike(r"^[0-9a-f]{4}(:[0-9a-f]{4}){7}\z")
         return F.lit(True)  # uri, file
 
     def _holds_number(self, value: Column) -> Column:
         sign = "-?" if self.is_signed else ""
         if self.is_floating:
-            return value.rlike(rf"^{sign}\d\.\d{{6}}E[+-]\d{{2,3}}$") & value.try_cast("double").isNotNull()
+            return value.rlike(rf"^{sign}\d\.\d{{6}}E[+-]\d{{2,3}}\z") & value.try_cast("double").isNotNull()
         if self.kind in ("decimal", "currency"):
             total, after = self.digits
-            form = rf"^{sign}(0|[1-9]\d{{0,{total - after - 1}}})" + (rf"\.\d{{{after}}}$" if after else "$")
+            form = rf"^{sign}(0|[1-9]\d{{0,{total - after - 1}}})" + (rf"\.\d{{{after}}}\z" if after else r"\z")
             return value.rlike(form)
         low, high = (F.lit(str(x)).cast("decimal(38,0)") for x in self.bounds)
         number = value.try_cast("decimal(38,0)")
-        return value.rlike(rf"^(0|{sign}[1-9]\d{{0,19}})$") & (number >= low) & (number <= high)
+        return value.rlike(rf"^(0|{sign}[1-9]\d{{0,19}})\z") & (number >= low) & (number <= high)
 
     def _hex_pattern(self) -> str:
         size = int(self.parts[1])
         if len(self.parts) == 2:
-            return rf"^[0-9a-f]{{{2 * size}}}$"
+            return rf"^[0-9a-f]{{{2 * size}}}\z"
         group, mark = int(self.parts[2]), re.escape(":".join(self.parts[3:]) or ":")
         one = rf"[0-9a-f]{{{2 * group}}}"
-        return rf"^{one}({mark}{one}){{{size // group - 1}}}$"
+        return rf"^{one}({mark}{one}){{{size // group - 1}}}\z"
 
     def _holds_string(self, value: Column) -> Column:
         size, case = int(self.parts[1]), self.parts[2]
@@ -270,5 +274,5 @@ class DataType:
         if case in ("lc", "uc"):
             out &= value == (F.lower(value) if case == "lc" else F.upper(value))
         if "u" not in flags:
-            out &= value.rlike(r"^[\x00-\xFF]*$")
+            out &= value.rlike(r"^[\x00-\xFF]*\z")
         return out

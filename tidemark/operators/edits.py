@@ -31,24 +31,27 @@ def delete_property(properties: Column, name: str) -> Column:
     return F.map_filter(properties, lambda k, _: k != name)
 
 
-def copy_properties(properties: Column, targets: Mapping[str, Iterable[str]], origin: Column | None = None) -> Column:
-    """Values of each source property added to those of its targets; ``origin`` are the properties they come from."""
-    origin = properties if origin is None else origin
-    out = properties
+def copy_properties(properties: Column, targets: Mapping[str, Iterable[str]], drop: Iterable[str] = ()) -> Column:
+    """Values of each source property added to those of its targets; ``drop`` names properties to remove."""
+    sources: dict[str, list[str]] = {}
     for source, names in targets.items():
         for name in names:
-            out = set_property(out, name, F.array_union(values_of(out, name), values_of(origin, source)))
-    return out
+            sources.setdefault(name, []).append(source)
+    if not sources:
+        return properties
+    gone = sorted({*sources, *drop})
+    pairs = []
+    for name, own in sorted(sources.items()):
+        every = F.concat(values_of(properties, name), *[values_of(properties, s) for s in own])
+        pairs += [F.lit(name), F.array_sort(F.array_distinct(every))]
+    rest = F.map_filter(properties, lambda k, _: ~k.isin(*gone))
+    return F.map_filter(F.map_concat(rest, F.create_map(*pairs)), lambda _, v: F.size(v) > 0)
 
 
 def move_properties(properties: Column, targets: Mapping[str, Iterable[str]]) -> Column:
     """As copy, and the sources are removed unless they are targets too."""
-    out = copy_properties(properties, targets, properties)
     kept = {n for names in targets.values() for n in names}
-    for source in targets:
-        if source not in kept:
-            out = delete_property(out, source)
-    return out
+    return copy_properties(properties, targets, [s for s in targets if s not in kept])
 
 
 def set_attachment(attachments: Column, name: str, value: Column, id: Column | None = None) -> Column:

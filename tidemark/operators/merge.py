@@ -21,7 +21,7 @@ def strategy(p: EventProperty, kind: DataType, values: Column, order: Column) ->
     single = F.get(values, F.lit(0))
     if p.merge in ("min", "max"):
         pick = F.min_by if p.merge == "min" else F.max_by
-        return F.array_compact(F.array(pick(single, F.struct(kind.typed(single).alias("t"), single.alias("v")))))
+        return F.array_compact(F.array(pick(single, F.struct(kind.order(single).alias("t"), single.alias("v")))))
     if p.merge == "add":
         return F.array_sort(F.array_distinct(F.flatten(F.collect_set(values))))
     if p.merge == "replace":

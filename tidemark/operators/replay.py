@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ def delays(frame: EventFrame, speed: float = 1.0) -> DataFrame:
     before. The offset needs no order: it is the time since the least start. The gap looks back inside a day; the
     first event of a day looks at the last one of the day before, by a window over days."""
     start, _ = event_times(frame)
-    timed = frame.df.select("event_id", F.to_timestamp(start).alias("start")).where("start IS NOT NULL")
+    timed = frame.df.select("event_id", F.try_to_timestamp(start).alias("start")).where("start IS NOT NULL")
     origin = timed.agg(F.min("start")).scalar()
     day = F.to_date("start")
     days = timed.groupBy(day.alias("day")).agg(F.max("start").alias("last"))
@@ -36,16 +38,19 @@ def delays(frame: EventFrame, speed: float = 1.0) -> DataFrame:
 def shifted(frame: EventFrame, now: Column, speed: float = 1.0) -> EventFrame:
     """Events with all their times moved so that the first starts at ``now`` and the gaps are divided by ``speed``."""
     start, _ = event_times(frame)
-    origin = frame.df.agg(F.unix_micros(F.to_timestamp(F.min(start)))).scalar()
+    origin = frame.df.agg(F.unix_micros(F.min(F.try_to_timestamp(start)))).scalar()
 
     def moved(value: Column) -> Column:
-        return format_time(F.timestamp_micros((F.unix_micros(now) + (F.unix_micros(F.to_timestamp(value)) - origin) / speed).cast("long")))
+        return F.coalesce(format_time(F.timestamp_micros((F.unix_micros(now) + (F.unix_micros(F.try_to_timestamp(value)) - origin) / speed).cast("long"))), value)
+
+    def shift_of(times: list[str]) -> Callable[[Column, Column], Column]:
+        return lambda k, v: F.when(k.isin(*times), F.transform(v, moved)).otherwise(v)
 
     out = F.col("properties")
     for name, own in sorted(frame.ontology.event_types.items()):
         times = [p.name for p in own.properties if frame.ontology.data_type(name, p.name) == "datetime"]
         if times:
-            mine = F.transform_values("properties", lambda k, v, t=tuple(times): F.when(k.isin(*t), F.transform(v, moved)).otherwise(v))
+            mine = F.transform_values("properties", shift_of(times))
             out = F.when(F.col("event_type") == name, mine).otherwise(out)
     return frame.with_df(frame.df.withColumn("properties", out))
 

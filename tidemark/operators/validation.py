@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +19,14 @@ def valid_value(object_type: ObjectType, value: Column) -> Column:
     kind = DataType(object_type.data_type)
     good = kind.valid(value)
     if object_type.regex_hard is not None and kind.family == "string":
-        good = good & value.rlike(f"^(?:{object_type.regex_hard})$")
+        good = good & value.rlike(rf"^(?:{object_type.regex_hard})\z")
     return good
 
 
+def partial_valid(object_type: ObjectType) -> Callable[[Column], Column]:
+    return lambda v: valid_value(object_type, v)
+
+
 def _issue(name: Column, reason: str) -> Column:
     return F.struct(name.alias("property"), F.lit(reason).alias("reason"))
 
@@ -43,7 +47,7 @@ def issues(frame: EventFrame, event_type: str) -> Column:
             when(F.size(values) == 0, p.name, "missing mandatory property")
         if not p.multivalued:
             when(F.size(values) > 1, p.name, "several values of a single-valued property")
-        when(~F.forall(values, lambda v, o=object_type: valid_value(o, v)), p.name, "invalid value")
+        when(~F.forall(values, partial_valid(object_type)), p.name, "invalid value")
     known = F.array(*[F.lit(p.name) for p in own.properties]).cast("array<string>")
     found.append(F.transform(F.array_except(F.map_keys(properties), known), lambda k: _issue(k, "unknown property")))
     files = F.array(*[F.lit(a.name) for a in own.attachments]).cast("array<string>")
@@ -53,7 +57,7 @@ def issues(frame: EventFrame, event_type: str) -> Column:
         when(F.exists(texts, lambda t: t == ""), a.name, "empty attachment")
         if a.encoding == "base64":
             when(~F.forall(texts, lambda t: F.try_to_binary(t, F.lit("base64")).isNotNull()), a.name, "attachment is no base64")
-    when(~F.forall(F.col("parents"), lambda h: h.rlike("^[0-9a-f]{40}$")), "", "invalid parent hash")
+    when(~F.forall(F.col("parents"), lambda h: h.rlike(r"^[0-9a-f]{40}\z")), "", "invalid parent hash")
     return F.concat(*found)
 
 
@@ -69,28 +73,37 @@ def validate(frame: EventFrame) -> DataFrame:
     return frame.df.withColumn("issues", out)
 
 
+def _by_property(properties: Column, edits: Mapping[str, Callable[[Column], Column]]) -> Column:
+    """The properties with the values of each named one edited, in one pass over the map."""
+
+    def one(name: Column, values: Column) -> Column:
+        out = values
+        for wanted, edit in sorted(edits.items(), reverse=True):
+            out = F.when(name == wanted, edit(values)).otherwise(out)
+        return out
+
+    return F.map_filter(F.transform_values(properties, one), lambda _, v: F.size(v) > 0)
+
+
 def normalized(frame: EventFrame, event_type: EventType, names: Iterable[str] | None = None) -> Column:
     """The properties with every value of the named ones in the canonical form of its type; values without one stay."""
+
+    def edit(kind: DataType) -> Callable[[Column], Column]:
+        return lambda values: F.array_sort(F.array_distinct(F.transform(values, lambda v: F.coalesce(kind.normalize(v), v))))
+
     kinds = frame.kinds(event_type.name)
     wanted = set(kinds if names is None else names) & set(kinds)
-    out = F.col("properties")
-    for name in sorted(wanted):
-        values = F.transform(out[name], lambda v, k=kinds[name]: F.coalesce(k.normalize(v), v))
-        rest = F.map_filter(out, lambda k, _, n=name: k != n)
-        out = F.when(out[name].isNull(), out).otherwise(F.map_concat(rest, F.create_map(F.lit(name), F.array_sort(F.array_distinct(values)))))
-    return out
+    return _by_property(F.col("properties"), {n: edit(kinds[n]) for n in wanted})
 
 
 def without_invalid(frame: EventFrame, event_type: EventType, properties: Column, names: Iterable[str]) -> Column:
     """The properties without the invalid values of the named ones."""
-    for name in sorted(set(names) & set(event_type.by_name)):
-        object_type = frame.ontology.object_types[event_type[name].object_type]
-        values = F.filter(properties[name], lambda v, o=object_type: valid_value(o, v))
-        rest = F.map_filter(properties, lambda k, _, n=name: k != n)
-        properties = F.when(properties[name].isNull(), properties).otherwise(
-            F.when(F.size(values) > 0, F.map_concat(rest, F.create_map(F.lit(name), values))).otherwise(rest)
-        )
-    return properties
+
+    def edit(object_type: ObjectType) -> Callable[[Column], Column]:
+        return lambda values: F.filter(values, partial_valid(object_type))
+
+    wanted = set(names) & set(event_type.by_name)
+    return _by_property(properties, {n: edit(frame.ontology.object_types[event_type[n].object_type]) for n in wanted})
 
 
 def repair(

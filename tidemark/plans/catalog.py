@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import records
+from tidemark.plans import events, records
 
 FLAGSHIP = "merge_latest_per_key"
-MODULES = [records]
+MODULES = [events, records]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
