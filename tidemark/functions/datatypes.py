@@ -217,7 +217,7 @@ class DataType:
             year = value.substr(1, 4).try_cast("int")
             return value.rlike(r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):\d{2}:\d{2}\.\d{6}Z\z") & (year >= 1583)
         if f == "sequence":
-            return value.rlike(r"^(0|[1-9]\d{0,19})\z") & (value.try_cast("decimal(38,0)") <= F.lit(2**64 - 1).cast("decimal(38,0)"))
+            return value.rlike(r"^(0|[1-9]\d{0,19})\z") & (value.try_cast("decimal(38,0)") <= F.lit(str(2**64 - 1)).cast("decimal(38,0)"))
         if f == "boolean":
             return value.isin("true", "false")
         if f == "number":

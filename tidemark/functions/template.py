@@ -15,6 +15,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.binding import let
 from tidemark.functions.datatypes import DataType
 
 if TYPE_CHECKING:
@@ -144,14 +145,13 @@ def errors(text: str, event_type: EventType, kinds: Mapping[str, DataType], allo
 def listed(values: Column, colored: bool = False) -> Column:
     """``a``, ``a and b``, ``a, b and c``; empty for none."""
     shown = F.transform(values, lambda v: F.when(v == "", v).otherwise(F.concat(F.lit(BOLD), v, F.lit(PLAIN)))) if colored else values
-    size = F.size(shown)
-    several = F.concat(F.array_join(F.slice(shown, 1, F.greatest(size - 1, F.lit(1))), ", "), F.lit(" and "), F.element_at(shown, -1))
-    return (
-        F.when(size == 0, "")
-        .when(size == 1, shown[0])
-        .when(F.array_join(values, "") == "", "")
-        .otherwise(F.when(size > 1, several))
-    )
+
+    def joined(v: Column) -> Column:
+        head = F.array_join(F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(1))), ", ")
+        several = F.concat(head, F.lit(" and "), F.try_element_at(v, F.lit(-1)))
+        return F.when(F.array_join(v, "") == "", "").when(F.size(v) == 1, F.get(v, F.lit(0))).otherwise(several)
+
+    return let(shown, joined)
 
 
 def duration(start: Column, end: Column) -> Column:
@@ -159,31 +159,39 @@ def duration(start: Column, end: Column) -> Column:
 
     Without minutes only seconds are written, whatever else has passed. A negative time counts as its amount.
     """
-    a, b = F.least(start, end), F.greatest(start, end)
-    rough = (F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)
+    second = 1_000_000
 
-    def later(months: Column) -> Column:
-        return a + F.make_interval(F.lit(0), months)
+    def whole_months(t: Column) -> Column:
+        a, b = t["a"], t["b"]
+        rough = (F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)
+        return let(rough, lambda m: F.when(a + F.make_interval(F.lit(0), m) > b, m - 1).otherwise(m))
 
-    months = F.when(later(rough) > b, rough - 1).otherwise(rough)
-    rest = F.unix_micros(b) - F.unix_micros(later(months))
+    def parts(t: Column) -> Column:
+        def of(m: Column) -> Column:
+            rest = F.unix_micros(t["b"]) - F.unix_micros(t["a"] + F.make_interval(F.lit(0), m))
+            return F.struct(m.cast("bigint").alias("months"), rest.alias("rest"))
 
-    def unit(size: int, whole: int | None) -> Column:
-        x = F.floor(rest / size)
-        return x if whole is None else x % whole
+        return let(whole_months(t), of)
 
-    second = 1_000_000
-    years, months = F.floor(months / 12), months % 12
-    days, hours, minutes, seconds = unit(86_400 * second, None), unit(3_600 * second, 24), unit(60 * second, 60), unit(second, 60)
-    tail = F.concat(seconds.cast("string"), F.lit(" seconds"))
-    text = F.concat(minutes.cast("string"), F.lit(" minutes and "), tail)
-    steps = [(hours, "hours"), (days, "days"), (months, "months"), (years, "years")]
-    out, so_far, needed = text, text, F.lit(True)
-    for value, name in steps:
-        so_far = F.concat(value.cast("string"), F.lit(f" {name}, "), so_far)
-        needed = needed & (value > 0)
-        out = F.when(needed, so_far).otherwise(out)
-    return F.when(minutes > 0, out).otherwise(F.concat(seconds.cast("string"), F.lit("."), (rest % second).cast("string"), F.lit(" seconds")))
+    def words(x: Column) -> Column:
+        rest, months = x["rest"], x["months"]
+
+        def unit(size: int, whole: int | None) -> Column:
+            n = F.floor(rest / (size * second))
+            return n if whole is None else n % whole
+
+        steps = [(unit(3_600, 24), "hours"), (unit(86_400, None), "days"), (months % 12, "months"), (F.floor(months / 12), "years")]
+        tail = F.concat(unit(60, 60).cast("string"), F.lit(" minutes and "), unit(1, 60).cast("string"), F.lit(" seconds"))
+        out, so_far, needed = tail, tail, F.lit(True)
+        for value, name in steps:
+            so_far = F.concat(value.cast("string"), F.lit(f" {name}, "), so_far)
+            needed = needed & (value > 0)
+            out = F.when(needed, so_far).otherwise(out)
+        short = F.concat(unit(1, 60).cast("string"), F.lit("."), (rest % second).cast("string"), F.lit(" seconds"))
+        return F.when(unit(60, 60) > 0, out).otherwise(short)
+
+    ordered = F.struct(F.least(start, end).alias("a"), F.greatest(start, end).alias("b"))
+    return let(let(ordered, parts), words)
 
 
 def degrees(value: Column, positive: str, negative: str) -> Column:
@@ -218,19 +226,31 @@ class Template:
         text = self._scope(self.tree, lambda n: F.array_sort(F.coalesce(values(n), F.array().cast("array<string>"))), attachments, colored)
         if not capitalize:
             return text
-        skip = F.when(text.startswith(BOLD), len(BOLD)).otherwise(0)
-        return F.concat(F.substr(text, F.lit(1), skip), F.upper(F.substr(text, skip + 1, F.lit(1))), F.substr(text, skip + 2))
+
+        def raised(t: Column) -> Column:
+            skip = F.when(t.startswith(BOLD), len(BOLD)).otherwise(0) if colored else F.lit(0)
+            return F.concat(F.substr(t, F.lit(1), skip), F.upper(F.substr(t, skip + 1, F.lit(1))), F.substr(t, skip + 2))
+
+        return let(text, raised)
 
     def _scope(self, scope: Scope, values: Values, attachments: Values, colored: bool) -> Column:
         own = {i: self._placeholder(p, values, attachments, colored) for i, p in enumerate(scope.parts) if isinstance(p, Placeholder)}
+        if not own:
+            return self._joined(scope, {}, values, attachments, colored)
+        order = {i: n for n, i in enumerate(own)}
+
+        def whole(shown: Column) -> Column:
+            text = self._joined(scope, {i: shown[n] for i, n in order.items()}, values, attachments, colored)
+            return F.when(F.exists(shown, lambda x: x == ""), "").otherwise(text)
+
+        return let(F.array(*own.values()), whole)
+
+    def _joined(self, scope: Scope, own: Mapping[int, Column], values: Values, attachments: Values, colored: bool) -> Column:
         parts = [
             own[i] if i in own else F.lit(p) if isinstance(p, str) else self._scope(p, values, attachments, colored)
             for i, p in enumerate(scope.parts)
         ]
-        text = F.concat(F.lit(""), *parts)
-        if not own:
-            return text
-        return F.when(reduce(Column.__or__, [p == "" for p in own.values()]), "").otherwise(text)
+        return F.concat(F.lit(""), *parts)
 
     def _or_error(self, value: Column, raw: Column, what: str) -> Column:
         if not self.strict:
@@ -251,25 +271,28 @@ class Template:
             return listed(F.concat(*[values(n) for n in args]), colored)
         if f in ("time_span", "duration"):
             # the least value of either property, as texts
-            raw = [F.array_min(values(n)) for n in args]
-            times = [F.try_to_timestamp(x) for x in raw]
-            if f == "duration":
-                text, plain = duration(*times), F.concat(F.lit("the time that passed between "), raw[0], F.lit(" and "), raw[1])
-            else:
-                iso = [
-                    F.concat(
-                        F.date_format(t, "yyyy-MM-dd HH:mm:ss"),
-                        F.when(F.unix_micros(t) % 1_000_000 != 0, F.date_format(t, ".SSSSSS")).otherwise(""),
-                        F.lit("+00:00"),
-                    )
-                    for t in times
-                ]
-                text = F.concat(F.lit("between "), iso[0], F.lit(" and "), iso[1])
-                plain = F.concat(F.lit("between "), raw[0], F.lit(" and "), raw[1])
-            shown = F.when(raw[0].isNull() | raw[1].isNull(), "").otherwise(self._or_error(text, plain, f))
-            return F.when(shown == "", "").otherwise(listed(F.array(shown), colored))
+            both = F.array(*[F.array_min(values(n)) for n in args])
+            return let(both, lambda raw: self._span(f, raw, colored))
         return listed(F.transform(values(args[0]), lambda v: self._value(f, args, v)), colored)
 
+    def _span(self, f: str, raw: Column, colored: bool) -> Column:
+        times = [F.try_to_timestamp(raw[i]) for i in (0, 1)]
+        if f == "duration":
+            text, plain = duration(*times), F.concat(F.lit("the time that passed between "), raw[0], F.lit(" and "), raw[1])
+        else:
+            iso = [
+                F.concat(
+                    F.date_format(t, "yyyy-MM-dd HH:mm:ss"),
+                    F.when(F.unix_micros(t) % 1_000_000 != 0, F.date_format(t, ".SSSSSS")).otherwise(""),
+                    F.lit("+00:00"),
+                )
+                for t in times
+            ]
+            text = F.concat(F.lit("between "), iso[0], F.lit(" and "), iso[1])
+            plain = F.concat(F.lit("between "), raw[0], F.lit(" and "), raw[1])
+        shown = F.when(raw[0].isNull() | raw[1].isNull(), "").otherwise(self._or_error(text, plain, f))
+        return F.concat(F.lit(BOLD), shown, F.lit(PLAIN)) if colored else shown
+
     def _value(self, f: str | None, args: tuple[str, ...], v: Column) -> Column:
         if f == "date_time":
             return self._or_error(F.date_format(F.try_to_timestamp(v), ACCURACIES[args[1]]), v, "time")

@@ -142,9 +142,13 @@ def merge_ontologies(known: Ontology, other: Ontology) -> Ontology:
 
 def compare_ontologies(known: Ontology, other: Ontology) -> Outcome:
     """EQUAL, or UPGRADE if the two differ but can be merged; two that can't are an error."""
-    merged = merge_ontologies(known, other)
-    same = all(dict(known.part(k)) == dict(other.part(k)) for k in Ontology.PARTS)
-    return Outcome.EQUAL if same and merged is known else Outcome.UPGRADE
+    merge_ontologies(known, other)
+    times = {n for o in (known, other) for n, t in o.object_types.items() if t.data_type == "datetime"}
+    for kind in Ontology.PARTS:
+        mine, its = known.part(kind), other.part(kind)
+        if mine.keys() != its.keys() or any(compare(mine[k], its[k], times)[0] is Outcome.UPGRADE for k in mine):
+            return Outcome.UPGRADE
+    return Outcome.EQUAL
 
 
 def bump(old: Element, new: Element) -> Element:

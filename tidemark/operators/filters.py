@@ -40,7 +40,8 @@ def filter_events(frame: EventFrame, type_pattern: str | None = None, source_pat
 def route(
     df: DataFrame, by_type: Mapping[str, Callable[[DataFrame], None]], by_source: Mapping[str, Callable[[DataFrame], None]], default: Callable[[DataFrame], None] | None = None
 ) -> None:
-    """Hands each handler the rows of its types, or of the sources that its pattern matches, and the default the rest."""
+    """Hands each handler the rows of its type, or of the sources that its pattern matches (a row may go to both kinds),
+    and the default the rest."""
     rest = F.lit(True)
     for name, handle in by_type.items():
         mine = F.col("event_type") == name

@@ -38,7 +38,8 @@ def delays(frame: EventFrame, speed: float = 1.0) -> DataFrame:
 def shifted(frame: EventFrame, now: Column, speed: float = 1.0) -> EventFrame:
     """Events with all their times moved so that the first starts at ``now`` and the gaps are divided by ``speed``."""
     start, _ = event_times(frame)
-    origin = frame.df.agg(F.unix_micros(F.min(F.try_to_timestamp(start)))).scalar()
+    origin = F.col("_origin")
+    first = frame.df.agg(F.unix_micros(F.min(F.try_to_timestamp(start)))).scalar()
 
     def moved(value: Column) -> Column:
         return F.coalesce(format_time(F.timestamp_micros((F.unix_micros(now) + (F.unix_micros(F.try_to_timestamp(value)) - origin) / speed).cast("long"))), value)
@@ -52,7 +53,7 @@ def shifted(frame: EventFrame, now: Column, speed: float = 1.0) -> EventFrame:
         if times:
             mine = F.transform_values("properties", shift_of(times))
             out = F.when(F.col("event_type") == name, mine).otherwise(out)
-    return frame.with_df(frame.df.withColumn("properties", out))
+    return frame.with_df(frame.df.withColumn("_origin", first).withColumn("properties", out).drop("_origin"))
 
 
 def dummy_ontology(collide: bool = True, event_type: str = "event-type.a", object_type: str = "object-type.a") -> Ontology:
