@@ -27,7 +27,7 @@ def union_distinct(first: EventFrame, *others: EventFrame) -> EventFrame:
 
 def content_key() -> Column:
     """What makes two events equal: type, source, properties, the ids of attachments, and parents; a hash of 128 bits."""
-    ids = F.transform(F.array_sort(F.map_keys("attachments")), lambda k: F.struct(k, F.array_sort(F.map_keys(F.col("attachments")[k]))))
+    ids = F.transform(F.array_sort(F.map_keys("attachments")), lambda k: F.struct(k.alias("name"), F.array_sort(F.map_keys(F.col("attachments")[k])).alias("ids")))
     parts = F.to_json(
         F.struct("event_type", "source_uri", F.array_sort(F.map_entries("properties")).alias("p"), ids.alias("a"), F.array_sort("parents").alias("r"))
     )

@@ -14,8 +14,8 @@ from tidemark.operators.stats import event_times
 
 
 def delays(frame: EventFrame, speed: float = 1.0) -> DataFrame:
-    """``event_id``, ``start``, ``offset_seconds`` (from the first event, by ``speed``) and ``gap_seconds`` to the event
-    before. The offset needs no order: it is the time since the least start. The gap looks back inside a day; the
+    """``event_id``, ``start``, the microseconds since the first event and since the event before, and the seconds to
+    wait for these at a ``speed``. The offset needs no order: it is the time since the least start. The gap looks back inside a day; the
     first event of a day looks at the last one of the day before, by a window over days."""
     start, _ = event_times(frame)
     timed = frame.df.select("event_id", F.try_to_timestamp(start).alias("start")).where("start IS NOT NULL")
@@ -26,13 +26,14 @@ def delays(frame: EventFrame, speed: float = 1.0) -> DataFrame:
     inside = timed.withColumn("day", day).selectExpr(
         "event_id", "start", "day", "lag(start) OVER (PARTITION BY day ORDER BY start, event_id) AS before"
     )
-    seconds = (F.unix_micros("start") - F.unix_micros(F.coalesce("before", "earlier"))) / 1e6
-    return inside.join(days, "day", "left").select(
+    micros = inside.join(days, "day", "left").select(
         "event_id",
         "start",
-        ((F.unix_micros("start") - F.unix_micros(origin)) / (1e6 * speed)).alias("offset_seconds"),
-        F.coalesce(seconds / speed, F.lit(0.0)).alias("gap_seconds"),
+        (F.unix_micros("start") - F.unix_micros(origin)).alias("offset_micros"),
+        F.coalesce(F.unix_micros("start") - F.unix_micros(F.coalesce("before", "earlier")), F.lit(0)).alias("gap_micros"),
     )
+    waits = {n: (F.col(f"{n}_micros") / (1e6 * speed)).alias(f"{n}_seconds") for n in ("offset", "gap")}
+    return micros.select("*", *waits.values())
 
 
 def shifted(frame: EventFrame, now: Column, speed: float = 1.0) -> EventFrame:

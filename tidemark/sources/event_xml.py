@@ -12,7 +12,6 @@ from typing import Any
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import quoteattr
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,19 +106,18 @@ def scan(spark: SparkSession, path: str, ontology: Ontology, namespace: bool = T
 
 def parse_events(texts: DataFrame, column: str = "value") -> DataFrame:
     """The parts of events from a column that holds one ``event`` element in each row; malformed ones are null."""
-    schema = T._parse_datatype_string(EVENT_PARTS)
-    arrow = F.pandas_udf(_parse_batch, schema)
-    return texts.select(arrow(F.col(column)).alias("e")).select("e.*")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(0).to_pylist():
+                try:
+                    rows.append(event_row(ET.fromstring(text)))
+                except (ET.ParseError, TypeError):
+                    rows.append(dict.fromkeys(_ARROW.names[2:]))
+            yield _batch(rows, _ARROW.names[2:])
 
-def _parse_batch(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in texts:
-        try:
-            rows.append(event_row(ET.fromstring(text)))
-        except (ET.ParseError, TypeError):
-            rows.append(dict.fromkeys(("event_type", "source_uri", "properties", "attachments", "parents", "foreign_attribs")))
-    return pd.DataFrame(rows, columns=["event_type", "source_uri", "properties", "attachments", "parents", "foreign_attribs"])
+    return texts.select(column).mapInArrow(run, EVENT_PARTS)
 
 
 def read_events(spark: SparkSession, path: str, ontology: Ontology | None = None) -> EventFrame:
@@ -165,11 +163,11 @@ _ARROW = pa.schema(
 )
 
 
-def _batch(rows: list[dict]) -> pa.RecordBatch:
+def _batch(rows: list[dict], names: Sequence[str] = _ARROW.names) -> pa.RecordBatch:
     def pairs(value: Any) -> Any:
         return [(k, pairs(v)) for k, v in value.items()] if isinstance(value, dict) else value
 
-    return pa.RecordBatch.from_pylist([{k: pairs(v) for k, v in r.items()} for r in rows], schema=_ARROW)
+    return pa.RecordBatch.from_pylist([{k: pairs(v) for k, v in r.items()} for r in rows], schema=pa.schema([_ARROW.field(n) for n in names]))
 
 
 def _plain(path: str) -> str:
