@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 #: File numbers that one window looks back over; feeds of any length are cut into such stretches.
 STRETCH = 10_000
 
-#: The order in which types give way: a column that has several holds the first that all of them fit in.
-LATTICE = {"integer": 1, "truth value": 1, "decimal": 2, "text": 9, "list": 3, "object": 3}
 
 HEADER = "array<struct<name:string,type:string,types:array<string>,held:map<string,string>>>"
 
