@@ -13,7 +13,9 @@ HOT_PARTS = 200
 
 def plain(text: Column) -> Column:
     """``text`` without case and with only its letters and digits, of any script."""
-    folded = F.translate(F.lower(F.upper(text)), "ς", "σ")  # a final sigma is a sigma
+    # by way of capitals, as ß is SS; the replacement between keeps Catalyst from dropping the inner function
+    capitals = F.replace(F.upper(text), F.lit("ẞ"), F.lit("SS"))
+    folded = F.translate(F.lower(capitals), "ς", "σ")  # a final sigma is a sigma
     return F.regexp_replace(folded, r"[^\p{L}\p{N}]", "")
 
 
