@@ -111,3 +111,22 @@ def test_components_split_by_value(spark):
 
 def test_concepts_from_json_of_empty(spark):
     assert concepts_from_json(spark.createDataFrame([], "j string"), "j").count() == 0
+
+
+def test_twins_give_what_single_nodes_give(spark):
+    rows = [(i, "ea", "/a/", {"pa": ["hot"] if i % 2 else [f"a{i % 5}"], "pb": [f"b{i % 4}"] if i % 3 == 0 else [], "pc": ["c" if i % 2 else "d"]}) for i in range(40)]
+    df = spark.createDataFrame(rows, "event_id bigint, event_type string, source_uri string, properties map<string,array<string>>")
+    frame = EventFrame.from_events(df, fixture_ontology())
+    from tidemark.mining.graph import components, nodes, relation_edges
+    from tidemark.mining.reason import memberships
+
+    got = {(r["seed"], r["node"]): round(r["confidence"], 9) for r in memberships(frame)[1].collect()}
+    links = {}
+    for r in relation_edges(frame, "intra").collect():
+        links.setdefault(r["source"], []).append((r["target"], r["weight"]))
+    part = {r["node"]: r["component"] for r in components(nodes(frame), relation_edges(frame, "intra")).collect()}
+    groups = {}
+    for r in sorted(nodes(frame).collect(), key=lambda r: (r["event_id"], r["property"], r["concept"], r["value"])):
+        groups.setdefault(part[r["node"]], []).append((r["node"], r["concept"], r["object_type"], r["value"], r["confidence"], r["identifies"], sorted(links.get(r["node"], []))))
+    want = {(x[0], x[1]): round(x[2], 9) for g in groups.values() for x in Reasoner(g).mine_all()}
+    assert got == want

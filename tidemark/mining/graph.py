@@ -72,6 +72,9 @@ def components(points: DataFrame, intra: DataFrame, most_rounds: int = 60) -> Da
     (large star, small star) until nothing changes; a step is an aggregation, and the lineage is cut every few.
     """
     hubs = points.groupBy("object_type", "value").agg(F.min("node").alias("hub"))
+    if not intra.limit(1).collect():
+        # nothing links different values: each is a component
+        return points.join(hubs, ["object_type", "value"]).select("node", F.col("hub").alias("component"))
     stars = points.join(hubs, ["object_type", "value"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     links = stars.unionByName(intra.select(F.col("source").alias("a"), F.col("target").alias("b"))).where("a <> b").distinct()
     before = None
