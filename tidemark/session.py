@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +33,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once for each Spark context, whether they have it or not."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(home.rglob("*.py")):
+            out.write(path, path.relative_to(home.parent))
+    context.addPyFile(str(archive))
+    context._tidemark_shipped = True
