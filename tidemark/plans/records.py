@@ -32,7 +32,7 @@ ALIASES = {
 
 
 def _nodes(spark: SparkSession, folder: str) -> DataFrame:
-    bodies = table(spark, folder, "raw_event").where(F.col("raw_id").isNotNull()).dropDuplicates(["raw_id"])
+    bodies = table(spark, folder, "raw_event").where(F.col("raw_id").isNotNull())  # raw_id is unique
     return nested.flatten_bodies(bodies, "raw_id", "body")
 
 
