@@ -48,3 +48,8 @@ def test_table(spark):
     got = split_sentences(df).collect()
     assert sorted((r["doc_id"] or 0, r["start_pos"], r["end_pos"]) for r in got) == [(0, 0, 3), (1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9), (4, 0, 399_999), (5, 0, 4), (5, 5, 7)]
     assert split_sentences(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["It is old.|The next one. |Is it?|Yes it is.", "See Node.Js there.", 'She said "No, do it first."|なぜですか？|はい。', "We got 17 runs.|voskの列はどこですか？", "なぜsetup.iniが消えるのですか？", "It is a cache.|Спасибо, всё работает."])
+def test_missing_blanks(text):
+    assert cut(text.replace("|", "")) == [x.strip() for x in text.split("|")]

@@ -53,6 +53,11 @@ _MARK = re.compile(f"[{re.escape(ENDS)}]+|[{re.escape(''.join(PAIRS) + CLOSERS)}
 _NAME_LIKE = re.compile(r"[\w.]*[_(]|[a-z]+[A-Z]|\w{3,}\.\w{3,}|https?://")
 _VOWEL = re.compile("[aeiouyäëïöüáéíóúàèìòùâêîôûåæøœаеёиоуыэюяαεηιουω]", re.I)
 _WORD = re.compile(r"\S+")
+_CAPITALIZED = re.compile(r"[^\W\d_a-zà-ÿ][^\W\d_A-Z]*(?:['’][a-z]+)?(?:\.{3}|,)?\s")
+_MIXED = re.compile(r"[\w-]*[぀-ヿ㐀-鿿]")
+_OPENED = re.compile(r"[^\w\s]+[^\W\d_a-z]")
+_PLAIN = re.compile(r"(?:^|[\s(\"“„«])(?:[a-zà-ÿа-яё]{2,}|\d[\d.,]*|[\w.]+\(\))$")
+_DENSE = re.compile("[぀-ヿ㐀-鿿]")
 
 
 class AbbreviationTrie:
@@ -167,8 +172,9 @@ def _abbreviated(line: str, stop: int, following: int) -> bool:
     return False
 
 
-def line_sentences(line: str) -> Iterator[tuple[int, int]]:
-    """The sentences of one line of prose, blanks around them left out."""
+def line_sentences(line: str, dense: bool = False) -> Iterator[tuple[int, int]]:
+    """The sentences of one line of prose, blanks around them left out. ``dense``: the text has scripts without blanks,
+    so that there may be none between sentences of other scripts either."""
     marks = list(_MARK.finditer(line))
     pairs = _paired(line, marks)
     closed_by = {close: start for start, close in pairs.items()}
@@ -223,6 +229,8 @@ def line_sentences(line: str) -> Iterator[tuple[int, int]]:
         new_kind = _kind(line[following])
         if quoted is not None and not (line[quoted] in BRACKETS and blank and not line[start_of(cuts) : quoted].strip()):
             if not blank:
+                if last in CASED and (new_kind == "CJK" or _CAPITALIZED.match(line, following) or (following in pairs and _OPENED.match(line, following))):
+                    cuts.append(end)  # in texts of scripts without blanks the next sentence may follow at once
                 continue
             if line[quoted] in BRACKETS and line[start_of(cuts) : quoted].strip() and ends == "." and _abbreviated(line, at, following):
                 continue
@@ -235,7 +243,16 @@ def line_sentences(line: str) -> Iterator[tuple[int, int]]:
         elif ends[-1] in FULL_WIDTH_ENDS or ends[-1] in SCRIPT_ENDS:
             cut = True
         elif not blank:
-            cut = last == "CJK" and ends[-1] in "…!?" or (new_kind == "CJK" and ends[-1] in "!?")
+            cut = last == "CJK" and ends[-1] in "…!?" or (new_kind == "CJK" and (ends[-1] in "!?" or (last in CASED and not _abbreviated(line, at, following))))
+            if new_kind == "upper" and last == "lower":
+                # another script with capitals, as Cyrillic after Latin
+                cut |= unicodedata.name(line[at - 1], "").split(" ")[0] != unicodedata.name(line[following]).split(" ")[0] and line[at - 1].isalpha()
+            if last in CASED and not cut and not _abbreviated(line, at, following):
+                # the blank may be missing: after a plain word or number a capitalized word, or an opener and a word
+                loose = dense or ends[-1] in "!?" or _PLAIN.search(line, 0, at)
+                cut = bool(loose and ((following in pairs and _OPENED.match(line, following)) or _CAPITALIZED.match(line, following)))
+                if dense and not cut and _MIXED.match(line, following) and line[start_of(cuts) : at].count(" ") > 1:
+                    cut = ends[-1] in "!?" or ends.endswith("..") or _PLAIN.search(line, 0, at) is not None
         elif ends == ".":
             word = line[start_of(cuts) : at].split()[-1:] or [""]
             cut = not _abbreviated(line, at, following) and _starts_sentence(line, following, ends, last, word[0])
@@ -264,7 +281,7 @@ def sentences(text: str | None) -> Iterator[tuple[int, int]]:
     """
     if not text:
         return
-    fence, began, ended = "", -1, -1
+    fence, began, ended, dense = "", -1, -1, _DENSE.search(text) is not None
     place, size = 0, len(text)
     while place <= size:
         found = _BREAK.search(text, place)
@@ -291,7 +308,7 @@ def sentences(text: str | None) -> Iterator[tuple[int, int]]:
                 elif shown[0] == ">" or _ITEM.match(line):
                     yield first, last
                 else:
-                    for a, b in line_sentences(line):
+                    for a, b in line_sentences(line, dense):
                         yield place + a, place + b
         place = after
     if began >= 0:
