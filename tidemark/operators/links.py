@@ -39,30 +39,21 @@ def parents_by_properties(frame: EventFrame, child_type: str) -> DataFrame:
 
 def related_values(frame: EventFrame) -> DataFrame:
     """Every pair of values that a relation links in an event: ``event_id``, ``event_type``, ``relation``, ``type``,
-    ``source_property``, ``source_value``, ``target_property``, ``target_value``. Pairs are made inside each row."""
-    rows = None
-    for name, own in sorted(frame.ontology.event_types.items()):
-        if not own.relations:
-            continue
-        linked = frame.of_type(name).df.select(
-            "event_id",
-            "event_type",
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(r.id).alias("relation"), F.lit(r.type).alias("type"), F.lit(r.source).alias("source_property"),
-                            F.col("properties")[r.source].alias("_s"), F.lit(r.target).alias("target_property"), F.col("properties")[r.target].alias("_t"),
-                        )
-                        for r in own.relations
-                    ]
-                )
-            ),
-        )
-        rows = linked if rows is None else rows.unionByName(linked)
-    if rows is None:
+    ``source_property``, ``source_value``, ``target_property``, ``target_value``. One scan; pairs are made inside rows."""
+    rows = [
+        F.struct(
+            F.lit(name).alias("event_type"), F.lit(r.id).alias("relation"), F.lit(r.type).alias("type"),
+            F.lit(r.source).alias("source_property"), F.lit(r.target).alias("target_property"),
+        )
+        for name, own in sorted(frame.ontology.event_types.items())
+        for r in own.relations
+    ]
+    if not rows:
         raise ValueError("the ontology has no relations")
-    return rows.withColumn("source_value", F.explode("_s")).withColumn("target_value", F.explode("_t")).drop("_s", "_t")
+    mine = F.filter(F.array(*rows), lambda r: r["event_type"] == F.col("event_type"))
+    linked = frame.df.select("event_id", "properties", F.explode(mine).alias("r")).select("event_id", "properties", "r.*")
+    pairs = linked.withColumn("source_value", F.explode(F.col("properties")[F.col("source_property")]))
+    return pairs.withColumn("target_value", F.explode(F.col("properties")[F.col("target_property")])).drop("properties")
 
 
 def universals(frame: EventFrame) -> DataFrame:

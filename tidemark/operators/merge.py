@@ -2,67 +2,88 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.frame import COLUMNS, EventFrame, no_texts
 from tidemark.functions.datatypes import DataType
-from tidemark.ontology.model import EventProperty, EventType
+from tidemark.ontology.model import EventType, Ontology
 
 
-def strategy(p: EventProperty, kind: DataType, values: Column, order: Column) -> Column:
+def strategy(name: str, kind: DataType, values: Column, order: Column) -> Column:
     """The aggregate that a property's strategy is. ``values`` is the set of one event, ``order`` its place among the
     events of its group: its version, then its id.
 
     Every one is computed in parts before the shuffle. Sets of values that occur often are sent once.
     """
     single = F.get(values, F.lit(0))
-    if p.merge in ("min", "max"):
-        pick = F.min_by if p.merge == "min" else F.max_by
+    if name in ("min", "max"):
+        pick = F.min_by if name == "min" else F.max_by
         return F.array_compact(F.array(pick(single, F.struct(kind.order(single).alias("t"), single.alias("v")))))
-    if p.merge == "add":
+    if name == "add":
         return F.array_sort(F.array_distinct(F.flatten(F.collect_set(values))))
-    if p.merge == "replace":
+    if name == "replace":
         return F.max_by(values, order)
-    if p.merge == "set":
+    if name == "set":
         return F.coalesce(F.min_by(F.when(F.size(values) > 0, values), F.when(F.size(values) > 0, order)), no_texts())
-    if p.merge == "match":
+    if name == "match":
         return F.max(values)  # the same set in all events of the group
     return F.array_compact(F.array(F.min(F.array_min(values))))  # any: the least, whatever the order
 
 
-def merge_type(frame: EventFrame, event_type: str, function: str = "sha1") -> DataFrame:
-    """The events of one type with one row for each hash; one shuffle, on the hash.
+def merge_all(frame: EventFrame, function: str = "sha1") -> DataFrame:
+    """The events of all types of the ontology with one row for each hash; one scan and one shuffle, on the hash.
 
     Events come in the order of their version, then of their id. Type, source and attachments are those of the
     first event, parents the union of all. The hash stays the key: values of a match property are a set and all of
-    it stays, also where it has several values.
+    it stays, also where it has several values. Types that treat a property alike share its aggregate.
     """
-    own, kinds = frame.ontology.event_types[event_type], frame.kinds(event_type)
-    df = frame.of_type(event_type).hashed(function)
-    order = F.struct(version_of(own, F.col("properties")).alias("version"), F.col("event_id").alias("id"))
-    merged = df.groupBy("sticky_hash").agg(
+    types = frame.ontology.event_types
+    known = frame.df.where(F.col("event_type").isin(*sorted(types))) if types else frame.df.limit(0)
+    version = F.lit(0).cast("decimal(20,0)")
+    alike: dict[str, dict[tuple[str, str], list[str]]] = {}
+    for name, own in sorted(types.items()):
+        if own.event_version is not None:
+            version = F.when(F.col("event_type") == name, version_of(own, F.col("properties"))).otherwise(version)
+        for p in own.properties:
+            treated = (p.merge, frame.ontology.data_type(name, p.name) if p.merge in ("min", "max") else "")
+            alike.setdefault(p.name, {}).setdefault(treated, []).append(name)
+    hashed = known.withColumn("sticky_hash", frame.hash_column(function)).withColumn("_order", F.struct(version.alias("version"), F.col("event_id").alias("id")))
+    order = F.col("_order")
+    aggregates, pairs = [], []
+    for name, ways in sorted(alike.items()):
+        chosen = no_texts()
+        for (strategy_name, kind), of_types in sorted(ways.items()):
+            values = F.coalesce(F.col("properties")[name], no_texts())
+            if len(ways) > 1:
+                values = F.when(F.col("event_type").isin(*of_types), values).otherwise(no_texts())
+            column = f"p{len(aggregates)}"
+            aggregates.append(strategy(strategy_name, DataType(kind), values, order).alias(column))
+            chosen = F.when(F.col("event_type").isin(*of_types), F.col(column)).otherwise(chosen)
+        pairs += [F.lit(name), chosen]
+    # events without a hash, which lack a source, are never equal
+    lone = F.when(F.col("sticky_hash").isNull(), F.col("event_id"))
+    merged = hashed.groupBy("sticky_hash", "event_type", lone.alias("_lone")).agg(
         F.min("event_id").alias("event_id"),
-        F.min_by("event_type", order).alias("event_type"),
         F.min_by("source_uri", order).alias("source_uri"),
         F.min_by("attachments", order).alias("attachments"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("parents")))).alias("parents"),
         F.min_by("foreign_attribs", order).alias("foreign_attribs"),
         F.count(F.lit(1)).alias("n_events"),
-        *[
-            strategy(p, kinds[p.name], F.coalesce(F.col("properties")[p.name], no_texts()), order).alias(f"p{i}")
-            for i, p in enumerate(own.properties)
-        ],
+        *aggregates,
     )
-    pairs = [x for i, p in enumerate(own.properties) for x in (F.lit(p.name), F.col(f"p{i}"))]
     properties = F.map_filter(F.create_map(*pairs), lambda _, v: F.size(v) > 0) if pairs else F.create_map().cast(COLUMNS["properties"])
     return merged.select(
         "event_id", "event_type", "source_uri", properties.alias("properties"), "attachments", "parents", "foreign_attribs", "sticky_hash", "n_events"
     )
 
 
+def merge_type(frame: EventFrame, event_type: str, function: str = "sha1") -> DataFrame:
+    """As ``merge_all``, for the events of one type; the filter on the type reaches the scan."""
+    only = Ontology(frame.ontology.object_types, frame.ontology.concepts, {event_type: frame.ontology.event_types[event_type]}, frame.ontology.sources)
+    return merge_all(EventFrame(frame.of_type(event_type).df, only), function)
+
+
 def version_of(own: EventType, properties: Column) -> Column:
     """The number of an event's version; 0 for types without versions and events that lack it."""
     if own.event_version is None:
@@ -71,12 +92,9 @@ def version_of(own: EventType, properties: Column) -> Column:
 
 
 def merge(frame: EventFrame, function: str = "sha1") -> EventFrame:
-    """All events merged, each type by its own strategies. Events of types that the ontology doesn't
-    know are not among them; ``filters.unknown_events`` has those."""
-    parts = [merge_type(frame, name, function) for name in sorted(frame.ontology.event_types)]
-    if not parts:
-        return frame.with_df(frame.df.limit(0))
-    return frame.with_df(reduce(DataFrame.unionByName, parts).select(*COLUMNS))
+    """All events merged, each type by its own strategies. Events of types that the ontology doesn't know are not among
+    them; ``filters.unknown_events`` has those."""
+    return frame.with_df(merge_all(frame, function).select(*COLUMNS))
 
 
 def conflicts(frame: EventFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def windowed_merge(frame: EventFrame, event_type: str, time: str, delay: str, wi
     none = F.array().cast("array<string>")
     return timed.groupBy(F.window("_at", width), "sticky_hash").agg(
         F.count(F.lit(1)).alias("n_events"),
-        *[strategy(p, kinds[p.name], F.coalesce(F.col("properties")[p.name], none), order).alias(p.name) for p in own.properties],
+        *[strategy(p.merge, kinds[p.name], F.coalesce(F.col("properties")[p.name], none), order).alias(p.name) for p in own.properties],
     )
 
 
