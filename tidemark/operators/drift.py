@@ -178,8 +178,15 @@ def drift_report(
     pairs = predecessors(ids, feed, number, file_id, stretch).select(file_id, "_before")
     read = headers(named.dropDuplicates([file_id]).join(ids.select(file_id), file_id, "left_semi"), file_id, content, key)
     kind = files.schema[file_id].dataType.simpleString()
-    met = pairs.join(read, file_id).join(
-        read.select(F.col(file_id).alias("_before"), F.col("_fields").alias("_old")), "_before"
+    # each file is parsed once and sent to two places: its own comparison and that of the file after it
+    roles = pairs.select(F.col(file_id).alias("_to"), F.col(file_id), F.lit(True).alias("_now")).unionByName(
+        pairs.select(F.col(file_id).alias("_to"), F.col("_before").alias(file_id), F.lit(False).alias("_now"))
+    )
+    sent = read.join(roles, file_id)
+    met = sent.groupBy(F.col("_to").alias("_id")).agg(
+        F.first("_key", ignorenulls=True).alias("_key"),
+        F.first(F.when(F.col("_now"), F.col("_fields")), ignorenulls=True).alias("_fields"),
+        F.first(F.when(~F.col("_now"), F.col("_fields")), ignorenulls=True).alias("_old"),
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,7 +199,7 @@ def drift_report(
             yield pd.DataFrame(rows, columns=["_id", "change_kind", "field_name", "was"])
 
     return (
-        met.select(F.col(file_id).alias("_id"), "_key", "_old", "_fields")
+        met.select("_id", "_key", "_old", "_fields")
         .mapInPandas(run, f"_id {kind}, change_kind string, field_name string, was string")
         .withColumnRenamed("_id", file_id)
     )
