@@ -133,10 +133,13 @@ def choose_values(
         )
         .where(F.length(F.trim("_text")) > 0)
     )
-    # repeated rows of one record have one vote: the record's id is part of its rank
     group = [*keys, "_field"]
-    votes = held.groupBy(*group, "_text", "_rank").agg(F.max("_weight").alias("_weight"))
-    votes = votes.groupBy(*group, "_text").agg(F.max("_rank").alias("_best"), F.sum("_weight").alias("_weight"))
+    ranked_only = held.where(~F.col("_field").isin(*weights)) if weights else held
+    votes = ranked_only.groupBy(*group, "_text").agg(F.max("_rank").alias("_best"), F.lit(None).cast("double").alias("_weight"))
+    if weights:
+        # repeated rows of one record have one vote: the record's id is part of its rank
+        once = held.where(F.col("_field").isin(*weights)).groupBy(*group, "_text", "_rank").agg(F.max("_weight").alias("_weight"))
+        votes = votes.unionByName(once.groupBy(*group, "_text").agg(F.max("_rank").alias("_best"), F.sum("_weight").alias("_weight")))
     sizes = votes.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
     votes = votes.join(sizes, group)
     single = votes.where("_size = 1").select(*group, F.col("_text").alias("_value"), (-F.col("_best.id")).alias("_id"))
