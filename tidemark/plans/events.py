@@ -108,7 +108,7 @@ def merge_add_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     FROM g LEFT JOIN c ON g.source_uri = c.source_uri AND g.serials = c.serials"""
 )
 def merge_crane_lifts(spark: SparkSession, folder: str) -> DataFrame:
-    merged = merge.merge_type(harbour_events(spark, folder), "crane.lift").where("source_uri IS NOT NULL")
+    merged = merge.merge_type(harbour_events(spark, folder, "crane.lift"), "crane.lift").where("source_uri IS NOT NULL")
     p = F.col("properties")
     first = {n: F.get(p[n], F.lit(0)) for n in ("crane", "operator")}
     return merged.select(
@@ -134,7 +134,8 @@ def merge_conflicts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(EVENTS + "SELECT event_id, event_type, source_uri FROM e WHERE regexp_matches(event_type, '^(?:crane|reefer)') AND event_type IN " + KNOWN)
 def filter_types(spark: SparkSession, folder: str) -> DataFrame:
-    return filters.filter_events(harbour_events(spark, folder), "crane|reefer").df.select("event_id", "event_type", "source_uri")
+    wanted = [t for t in TYPES if t.startswith(("crane", "reefer"))]
+    return filters.filter_events(harbour_events(spark, folder, *wanted), "crane|reefer").df.select("event_id", "event_type", "source_uri")
 
 
 @query(EVENTS + "SELECT coalesce(event_type, '') AS event_type, count(*) AS n_events FROM e WHERE event_type IS NULL OR event_type NOT IN " + KNOWN + " GROUP BY 1")
@@ -184,7 +185,7 @@ def move_properties(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(EVENTS + f", t AS (SELECT unnest([{', '.join(repr(t) for t in TYPES)}]) AS event_type), c AS (SELECT event_type, count(*) AS n FROM e GROUP BY 1) SELECT event_type, coalesce(n, 0) AS n_events FROM t LEFT JOIN c USING (event_type)")
 def stats_event_types(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.event_type_counts(harbour_events(spark, folder)).where(F.col("event_type").isin(*TYPES))
+    return stats.event_type_counts(harbour_events(spark, folder, *TYPES))
 
 
 @query(EVENTS + "SELECT source_uri, count(*) AS n_events FROM e GROUP BY 1")
@@ -203,7 +204,7 @@ def stats_sources(spark: SparkSession, folder: str) -> DataFrame:
     FROM p CROSS JOIN t LEFT JOIN n USING (property) LEFT JOIN d USING (property) GROUP BY property, total"""
 )
 def stats_properties(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.property_stats(harbour_events(spark, folder), "gate.passage")
+    return stats.property_stats(harbour_events(spark, folder, "gate.passage"), "gate.passage")
 
 
 def _object_case() -> str:
@@ -218,12 +219,12 @@ def _object_case() -> str:
 
 @query(_object_case() + "SELECT object_type, count(*) AS n_values, count(DISTINCT value) AS n_distinct FROM o GROUP BY 1")
 def stats_object_types(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.object_type_counts(harbour_events(spark, folder))
+    return stats.object_type_counts(harbour_events(spark, folder, *TYPES))
 
 
 @query(_object_case() + "SELECT value, count(*) AS n_values FROM o WHERE object_type = 'vessel.name' GROUP BY 1")
 def stats_object_values(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.value_histogram(harbour_events(spark, folder), "vessel.name")
+    return stats.value_histogram(harbour_events(spark, folder, *TYPES), "vessel.name")
 
 
 @query(
@@ -233,7 +234,7 @@ def stats_object_values(spark: SparkSession, folder: str) -> DataFrame:
     SELECT concept, count(*) AS n_seeds FROM k WHERE concept IS NOT NULL GROUP BY 1"""
 )
 def stats_concepts(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.concept_counts(harbour_events(spark, folder))
+    return stats.concept_counts(harbour_events(spark, folder, *TYPES))
 
 
 @query(
@@ -243,7 +244,7 @@ def stats_concepts(spark: SparkSession, folder: str) -> DataFrame:
     SELECT event_type, min(s) AS first_start, max(m) AS last_end FROM s GROUP BY ROLLUP (event_type)"""
 )
 def covered_times(spark: SparkSession, folder: str) -> DataFrame:
-    frame = filters.filter_events(harbour_events(spark, folder))
+    frame = filters.filter_events(harbour_events(spark, folder, *TYPES))
     return stats.covered_times(frame)
 
 
@@ -281,7 +282,7 @@ def universals_containers(spark: SparkSession, folder: str) -> DataFrame:
     WHERE (s.property = 'vessel' AND t.property = 'operator') OR (s.property = 'crane' AND t.property = 'container')"""
 )
 def related_values(spark: SparkSession, folder: str) -> DataFrame:
-    return links.related_values(harbour_events(spark, folder)).select("event_id", "source_value", "target_value")
+    return links.related_values(harbour_events(spark, folder, *TYPES)).select("event_id", "source_value", "target_value")
 
 
 # -- rendering
@@ -296,7 +297,7 @@ def related_values(spark: SparkSession, folder: str) -> DataFrame:
     SELECT event_id, coalesce(crane, '') || chr(9) || coalesce(container, '') AS line FROM c"""
 )
 def delimited_product(spark: SparkSession, folder: str) -> DataFrame:
-    return render.delimited(harbour_events(spark, folder), "crane.lift", ["crane", "container", "no-such"])
+    return render.delimited(harbour_events(spark, folder, "crane.lift"), "crane.lift", ["crane", "container", "no-such"])
 
 
 @query(
@@ -321,7 +322,7 @@ def render_stories(spark: SparkSession, folder: str) -> DataFrame:
     SELECT event_id, CASE WHEN serial IS NULL THEN '' ELSE 'Radio.call ' || serial || coalesce(' of ' || vessel, '') END AS text FROM w"""
 )
 def render_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    return render.texts(harbour_events(spark, folder).of_type("radio.call"), short=True).select("event_id", "text")
+    return render.texts(harbour_events(spark, folder, "radio.call"), short=True).select("event_id", "text")
 
 
 # -- values
@@ -373,7 +374,7 @@ def valid_values(spark: SparkSession, folder: str) -> DataFrame:
 )
 def validate_events(spark: SparkSession, folder: str) -> DataFrame:
     """Broken rules of one type's times and states."""
-    frame = filters.filter_events(harbour_events(spark, folder), "yard.stacking$")
+    frame = filters.filter_events(harbour_events(spark, folder, "yard.stacking"), "yard.stacking$")
     counts = validation.reason_counts(validation.validate(frame)).where(F.col("property").isin("time-start", "status"))
     return counts.where("reason <> 'invalid value' OR property = 'status'").select("property", "reason", "n_events")
 
@@ -382,7 +383,7 @@ def validate_events(spark: SparkSession, folder: str) -> DataFrame:
 def repair_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events normalized and rid of invalid states, with what is wrong still."""
     drop = {name: ["status", "serial", "weight"] for name in TYPES}
-    out = validation.repair(filters.filter_events(harbour_events(spark, folder)), drop=drop)
+    out = validation.repair(filters.filter_events(harbour_events(spark, folder, *TYPES)), drop=drop)
     return out.groupBy("event_type", "repaired").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.size("issues") > 0).alias("n_invalid"))
 
 
@@ -419,7 +420,7 @@ def text_functions(spark: SparkSession, folder: str) -> DataFrame:
       coalesce(epoch_us(t) - lag(epoch_us(t)) OVER (ORDER BY t, event_id), 0) AS gap_micros FROM s"""
 )
 def replay_delays(spark: SparkSession, folder: str) -> DataFrame:
-    frame = filters.filter_events(harbour_events(spark, folder))
+    frame = filters.filter_events(harbour_events(spark, folder, *TYPES))
     # only times that can be read
     good = F.array_min(F.col("properties")["time-start"]).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}Z\z")
     out = replay.delays(frame.transform(lambda df: df.where(good)), speed=2.0)

@@ -66,11 +66,13 @@ def harbour_ontology() -> Ontology:
     return out
 
 
-def harbour_events(spark: SparkSession, folder: str) -> EventFrame:
-    """The distinct events of ``parsed_event`` under the harbour's schema; one row for each event_id."""
-    rows = table(spark, folder, "parsed_event").where(F.col("event_id").isNotNull()).dropDuplicates(["event_id"])
-    frame = EventFrame.from_events(rows, harbour_ontology(), event_type="event_type_name")
-    return frame
+def harbour_events(spark: SparkSession, folder: str, *types: str) -> EventFrame:
+    """The distinct events of ``parsed_event`` under the harbour's schema; one row for each event_id. With ``types`` only
+    these are read: repeated rows are equal, so the filter comes first and reaches the scan."""
+    rows = table(spark, folder, "parsed_event").where(F.col("event_id").isNotNull())
+    if types:
+        rows = rows.where(F.col("event_type_name").isin(*types))
+    return EventFrame.from_events(rows.dropDuplicates(["event_id"]), harbour_ontology(), event_type="event_type_name")
 
 
 def with_sources(frame: EventFrame, uris: list[str]) -> EventFrame:
