@@ -63,6 +63,11 @@ def test_merge_is_idempotent_and_keeps_the_hash(spark):
     assert {r[0] for r in once.hashed().select("sticky_hash").collect()} == hashes
 
 
+def test_buffers(spark):
+    f = frame(spark, [event(i, i) for i in range(1, 8)])
+    assert merge.merge_in_buffers(f, 4).df.count() == 2 and merge.merge(f).df.count() == 1
+
+
 def test_conflict(spark):
     f = frame(spark, [event(1, 1, y=["a"]), event(2, 1, y=["b"])])
     assert merge.conflicts(f).count() == 1

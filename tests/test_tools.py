@@ -62,7 +62,7 @@ def file(spark, tmp_path_factory):
 @pytest.mark.parametrize(
     "argv,has",
     [
-        (["union", "-f", "FILE", "-f", "FILE"], "<event "), (["filter", "-f", "FILE", "-e", "event-type"], "<event "), (["hash", "-f", "FILE", "--sha256"], ""), (["merge", "-f", "FILE"], "<event "),
+        (["union", "-f", "FILE", "-f", "FILE"], "<event "), (["filter", "-f", "FILE", "-e", "event-type"], "<event "), (["hash", "-f", "FILE", "--sha256"], ""), (["merge", "-f", "FILE"], "<event "), (["merge", "-f", "FILE", "-b", "5", "-l", "2"], "<event "),
         (["replay", "-f", "FILE"], "<event "), (["stats", "-f", "FILE"], "event-type.a"), (["stats", "-f", "FILE", "--property-stats", "event-type.a"], "property-a"),
         (["delimited", "-f", "FILE", "event-type.a", "-p", "property-a,version", "--with-header"], "property-a\tversion"), (["text", "-f", "FILE", "-s"], "Dummy event"),
         (["template-test", "-f", "FILE", "event-type.a"], "Dummy event"), (["generate", "--limit", "3"], "<event "),

@@ -134,7 +134,8 @@ def _hash(args: argparse.Namespace, frame: EventFrame, frames: list[EventFrame])
 
 
 def _merge(args: argparse.Namespace, frame: EventFrame, frames: list[EventFrame]) -> int:
-    print(document(merge.checked_merge(frame)))
+    # a latency bounds the wait for a buffer to fill; a file is there at once
+    print(document(merge.merge_in_buffers(frame, args.buffer) if args.buffer > 1 else merge.checked_merge(frame)))
     return 0
 
 

@@ -194,6 +194,11 @@ def duration(start: Column, end: Column) -> Column:
     return let(let(ordered, parts), words)
 
 
+def in_utc(value: Column) -> Column:
+    """The time that a canonical text names, as it is in UTC whatever the session's zone; null for other texts."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(value).cast("timestamp_ntz"))
+
+
 def degrees(value: Column, positive: str, negative: str) -> Column:
     whole = value.cast("int")
     minutes = ((value - whole) * 60).cast("int")
@@ -276,7 +281,7 @@ class Template:
         return listed(F.transform(values(args[0]), lambda v: self._value(f, args, v)), colored)
 
     def _span(self, f: str, raw: Column, colored: bool) -> Column:
-        times = [F.try_to_timestamp(raw[i]) for i in (0, 1)]
+        times = [in_utc(raw[i]).cast("timestamp") for i in (0, 1)]
         if f == "duration":
             text, plain = duration(*times), F.concat(F.lit("the time that passed between "), raw[0], F.lit(" and "), raw[1])
         else:
@@ -295,7 +300,7 @@ class Template:
 
     def _value(self, f: str | None, args: tuple[str, ...], v: Column) -> Column:
         if f == "date_time":
-            return self._or_error(F.date_format(F.try_to_timestamp(v), ACCURACIES[args[1]]), v, "time")
+            return self._or_error(F.date_format(in_utc(v), ACCURACIES[args[1]]), v, "time")
         if f == "url":
             return F.concat(F.lit(f"{args[1]} ("), v, F.lit(")"))
         if f in BOOLEANS:

@@ -31,12 +31,13 @@ def strategy(name: str, kind: DataType, values: Column, order: Column) -> Column
     return F.array_compact(F.array(F.min(F.array_min(values))))  # any: the least, whatever the order
 
 
-def merge_all(frame: EventFrame, function: str = "sha1") -> DataFrame:
+def merge_all(frame: EventFrame, function: str = "sha1", within: Column | None = None) -> DataFrame:
     """The events of all types of the ontology with one row for each hash; one scan and one shuffle, on the hash.
 
     Events come in the order of their version, then of their id. Type, source and attachments are those of the
     first event, parents the union of all. The hash stays the key: values of a match property are a set and all of
-    it stays, also where it has several values. Types that treat a property alike share its aggregate.
+    it stays, also where it has several values. Types that treat a property alike share its aggregate. With ``within``
+    only events that are equal in it are merged, so that a hash may come out several times.
     """
     types = frame.ontology.event_types
     known = frame.df.where(F.col("event_type").isin(*sorted(types))) if types else frame.df.limit(0)
@@ -63,7 +64,7 @@ def merge_all(frame: EventFrame, function: str = "sha1") -> DataFrame:
         pairs += [F.lit(name), chosen]
     # events without a hash, which lack a source, are never equal
     lone = F.when(F.col("sticky_hash").isNull(), F.col("event_id"))
-    merged = hashed.groupBy("sticky_hash", "event_type", lone.alias("_lone")).agg(
+    merged = hashed.groupBy("sticky_hash", "event_type", lone.alias("_lone"), *([] if within is None else [within.alias("_within")])).agg(
         F.min("event_id").alias("event_id"),
         F.min_by("source_uri", order).alias("source_uri"),
         F.min_by("attachments", order).alias("attachments"),
@@ -91,6 +92,11 @@ def version_of(own: EventType, properties: Column) -> Column:
     return F.coalesce(F.get(properties[own.event_version], F.lit(0)).try_cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
 
 
+def merge_in_buffers(frame: EventFrame, size: int) -> EventFrame:
+    """Events merged within buffers of ``size`` consecutive event ids, each handed on when it is full, the last one too."""
+    return frame.with_df(merge_all(frame, within=F.floor(F.col("event_id") / size)).select(*COLUMNS))
+
+
 def merge(frame: EventFrame, function: str = "sha1") -> EventFrame:
     """All events merged, each type by its own strategies. Events of types that the ontology doesn't know are not among
     them; ``filters.unknown_events`` has those."""
