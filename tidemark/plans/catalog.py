@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import events, knowledge, records
+from tidemark.plans import declared, events, knowledge, records
 
 FLAGSHIP = "merge_latest_per_key"
-MODULES = [events, knowledge, records]
+MODULES = [events, knowledge, records, declared]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,6 +11,7 @@ from tidemark.frame import EventFrame
 from tidemark.functions import scalars
 from tidemark.functions.datatypes import DataType
 from tidemark.operators import compare, edits, filters, links, merge, render, replay, stats, validation
+from tidemark.plans.declared import all_events
 from tidemark.plans.schemas import (
     TYPES, harbour_events, order_lines, orders, texts, user_events,
 )
@@ -382,8 +383,9 @@ def validate_events(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def repair_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events normalized and rid of invalid states, with what is wrong still."""
-    drop = {name: ["status", "serial", "weight"] for name in TYPES}
-    out = validation.repair(filters.filter_events(harbour_events(spark, folder, *TYPES)), drop=drop)
+    frame = all_events(spark, folder)
+    drop = {name: ["status", "serial", "weight"] for name in frame.ontology.event_types}
+    out = validation.repair(frame, drop=drop)
     return out.groupBy("event_type", "repaired").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.size("issues") > 0).alias("n_invalid"))
 
 

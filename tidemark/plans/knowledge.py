@@ -16,6 +16,7 @@ from tidemark.ontology.model import EventProperty, EventType
 from tidemark.operators.filters import filter_events
 from tidemark.plans import events as base
 from tidemark.plans.events import TIME, _object_case
+from tidemark.plans.declared import all_events
 from tidemark.plans.schemas import CONCEPTS, TYPES, harbour_events, user_events, user_ontology
 from tidemark.session import shared_folder, table
 from tidemark.sources.event_xml import event_text
@@ -89,12 +90,12 @@ def concept_components(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def mined_instances(spark: SparkSession, folder: str) -> DataFrame:
-    return Knowledge.mine(_known(spark, folder)).instances()
+    return Knowledge.mine(all_events(spark, folder, stand_in=True)).instances()
 
 
 @query()
 def mined_relations(spark: SparkSession, folder: str) -> DataFrame:
-    found = Knowledge.mine(_known(spark, folder)).related()
+    found = Knowledge.mine(all_events(spark, folder, stand_in=True)).related()
     return found.select("seed", "related_seed", F.round("confidence", 6).alias("confidence"))
 
 
