@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from tidemark.operators import render, stats
 from tidemark.plans import catalog
 from tidemark.plans.declared import UNDECLARED, all_events, declared_ontology
 
@@ -70,3 +71,48 @@ def test_no_event_is_left_out_of_times(spark, data, events):
 def test_repair_reads_every_event(spark, data, events):
     repaired = run(spark, data, "repair_events").agg({"n_events": "sum"}).first()[0]
     assert repaired == len(events)
+
+
+def test_merge_keeps_every_event_of_every_type(spark, data, events):
+    merged = run(spark, data, "all_merged").collect()
+    assert sum(r["n_events"] for r in merged) == len(events)
+    frame = all_events(spark, data)
+    assert {r["event_type"] for r in merged} == {r[0] for r in frame.df.select("event_type").distinct().collect()}
+
+
+def test_all_reasons_of_all_types_come_out(spark, data, events):
+    own = declared_ontology(spark, data)
+    types = {letters(n): t for n, t in own.event_types.items() if n != UNDECLARED}
+    want = Counter()
+    for _, name, properties in events:
+        t = types.get(letters(name or ""))
+        if t is None:
+            want[name, "", "unknown event type"] += 1
+            continue
+        for p in t.mandatory_properties:
+            want[t.name, p, "missing mandatory property"] += not properties.get(p)
+        for p, values in properties.items():
+            if values and p not in t.by_name:
+                want[t.name, p, "unknown property"] += 1
+            elif len(values) > 1 and p in t.singular_properties:
+                want[t.name, p, "several values of a single-valued property"] += 1
+    got = {(r["event_type"], r["property"], r["reason"]): r["n_events"] for r in run(spark, data, "all_issues").collect()}
+    assert {k: n for k, n in got.items() if k in want or k[2] in {r for _, _, r in want}} == +want
+    assert {"invalid value"} < {r for _, _, r in got}
+    assert len({p for _, p, r in got if r == "invalid value"}) > 2
+
+
+def test_property_counts_and_lines_of_every_type(spark, data, events):
+    frame = all_events(spark, data, stand_in=True)
+    rows = run(spark, data, "all_properties").collect()
+    assert sum(r["n_values"] for r in rows) == sum(len(v) for _, _, p in events for v in p.values())
+    for name in ("crane.lift", "yard.reshuffle"):
+        want = {(r["property"], r["n_values"], r["n_distinct"], r["n_without"]) for r in stats.property_stats(frame, name).collect()}
+        assert {(r["property"], r["n_values"], r["n_distinct"], r["n_without"]) for r in rows if r["event_type"] == name} == want
+    lines = run(spark, data, "all_delimited").collect()
+    assert {r["event_id"] for r in lines} == {e for e, _, _ in events}
+    for name in ("crane.lift", "yard.reshuffle"):
+        want = Counter(map(tuple, render.delimited(frame, name).collect()))
+        assert Counter((r["event_id"], r["line"]) for r in lines if r["event_type"] == name) == want
+    said = run(spark, data, "all_summaries").collect()
+    assert len(said) == len(events) and all(r["text"] is not None for r in said)

@@ -43,6 +43,23 @@ def delimited(
     return lines
 
 
+def all_delimited(frame: EventFrame, delimiter: str = "\t") -> DataFrame:
+    """``event_id``, ``event_type`` and ``line``, as ``delimited`` with all properties and attachments of each type; one
+    scan, the product of an event's columns being made by one fold over them. Columns come in the order of the schema."""
+    lists = F.lit(None).cast("array<array<string>>")
+    for name, own in sorted(frame.ontology.event_types.items()):
+        values = [F.coalesce(F.col("properties")[p.name], no_texts()) for p in own.properties]
+        values += [F.coalesce(F.map_values(F.col("attachments")[a.name]), no_texts()) for a in own.attachments]
+        lists = F.when(F.col("event_type") == name, F.array(*values)).otherwise(lists)
+    cells = F.transform(lists, lambda v: F.when(F.size(v) == 0, F.array(F.lit(""))).otherwise(F.transform(v, lambda x: escape(F.coalesce(x, F.lit("")), delimiter))))
+    start = F.array(F.array().cast("array<string>"))
+    lines = F.aggregate(
+        cells, start, lambda rows, own: F.flatten(F.transform(rows, lambda row: F.transform(own, lambda x: F.concat(row, F.array(x)))))
+    )
+    made = frame.df.select("event_id", "event_type", F.explode(lines).alias("_row"))
+    return made.select("event_id", "event_type", F.array_join("_row", delimiter).alias("line"))
+
+
 def texts(frame: EventFrame, short: bool = False, colored: bool = False) -> DataFrame:
     """``event_id`` and ``text``: the story of each event, or its summary."""
     out: Column = F.lit(None).cast("string")

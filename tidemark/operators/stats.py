@@ -48,6 +48,27 @@ def property_stats(frame: EventFrame, event_type: str) -> DataFrame:
     )
 
 
+def all_property_stats(frame: EventFrame) -> DataFrame:
+    """As ``property_stats``, with ``event_type``, for all types that have events; one scan."""
+    names = F.lit(None).cast("array<string>")
+    for name, own in sorted(frame.ontology.event_types.items()):
+        names = F.when(F.col("event_type") == name, F.array(*[F.lit(p.name) for p in own.properties]).cast("array<string>")).otherwise(names)
+    each = frame.df.select("event_type", "properties", F.explode(names).alias("property"))
+    sized = each.select("event_type", "property", F.coalesce(F.try_element_at("properties", F.col("property")), no_texts()).alias("v"))
+    counts = sized.groupBy("event_type", "property").agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.sum(F.size("v").cast("long")).alias("n_values"),
+        F.count_if(F.size("v") == 0).alias("n_without"),
+        F.count_if(F.size("v") == 1).alias("n_single"),
+        F.count_if(F.size("v") > 1).alias("n_several"),
+    )
+    values = sized.select("event_type", "property", F.explode("v").alias("value")).distinct()
+    distinct = values.groupBy("event_type", "property").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return counts.join(distinct, ["event_type", "property"], "left").select(
+        "event_type", "property", "n_events", "n_values", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "n_without", "n_single", "n_several"
+    )
+
+
 def object_type_counts(frame: EventFrame) -> DataFrame:
     """Values and distinct values of each object type. Values are counted by value first, so that common ones are
     combined before the shuffle."""

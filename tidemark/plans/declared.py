@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.frame import EventFrame
 from tidemark.mining import graph
 from tidemark.ontology.model import EventProperty, EventType, ObjectType, Ontology
-from tidemark.operators import links, replay, stats
+from tidemark.operators import links, merge, render, replay, stats, validation
 from tidemark.plans.schemas import CONCEPTS, harbour_ontology
 from tidemark.session import table
 
@@ -211,3 +211,36 @@ def all_value_hubs(spark: SparkSession, folder: str) -> DataFrame:
 def all_components(spark: SparkSession, folder: str) -> DataFrame:
     frame = all_events(spark, folder, stand_in=True)
     return graph.components(graph.nodes(frame), graph.relation_edges(frame, "intra"))
+
+
+# -- what the queries of one type do
+
+
+@query
+def all_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of all types merged by all strategies. Undeclared types have no rules, so their events stay as they are."""
+    frame = all_events(spark, folder)
+    lone = frame.df.where(~F.coalesce(F.col("event_type").isin(*sorted(frame.ontology.event_types)), F.lit(False)))
+    merged = merge.merge_all(frame).drop("sticky_hash")
+    return merged.unionByName(lone.withColumn("n_events", F.lit(1).cast("bigint")))
+
+
+@query
+def all_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """How many events of which type have which reason in which property, all reasons."""
+    return validation.reason_counts(validation.validate(all_events(spark, folder)))
+
+
+@query
+def all_properties(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.all_property_stats(all_events(spark, folder, stand_in=True))
+
+
+@query
+def all_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    return render.texts(all_events(spark, folder, stand_in=True), short=True)
+
+
+@query
+def all_delimited(spark: SparkSession, folder: str) -> DataFrame:
+    return render.all_delimited(all_events(spark, folder, stand_in=True))
