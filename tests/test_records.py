@@ -124,5 +124,19 @@ def test_consistent_table(spark):
     assert sorted((r["file_id"], r["field_v"], r["field_w"]) for r in got.collect()) == [(1, 1.0, "1"), (2, 1.5, "[1]")]
 
 
+def test_consistent_table_learns_names(spark):
+    """Names on no list: a chain of renames in one feed holds for another one; a field beside the new name stays apart."""
+    files = [js({"k": "a", "v": 1, "x": True}, {"k": "b", "v": 2, "x": True}), js({"k": "a", "revno": 1, "x": True}, {"k": "b", "revno": 2, "x": True}), js({"k": "a", "revno": 3}), js({"k": "a", "release": "3"})]
+    rows = [(i, 1, i, c, "") for i, c in enumerate(files)] + [(9, 2, 1, js({"k": "z", "release": 7, "y": True}), ""), (10, 2, 2, js({"k": "z", "release": 8}), "")]
+    got = drift.consistent_table(spark.createDataFrame(rows, FILES), ["producer"], "no", "file_id", "content", "k", {"ver": "v"})
+    assert {c for c in got.columns if c.startswith("field_")} == {"field_k", "field_v", "field_x", "field_y"}
+    assert sorted((r["file_id"], r["field_v"]) for r in got.collect()) == [(0, "1"), (0, "2"), (1, "1"), (1, "2"), (2, "3"), (3, "3"), (9, "7"), (10, "8")]
+
+
+def test_united_names():
+    got = drift.united_names(["a", "b", "c", "d"], {("a", "c"), ("c", "a")}, {("a", "b"): 3, ("b", "c"): 1, ("d", "c"): 1}, {})
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "c"} or got == {"a": "b", "b": "b", "c": "c", "d": "c"}
+
+
 def test_lattice():
     assert drift.promote("integer", "decimal") == "decimal" and drift.promote(None, "list") == "list" and drift.promote("list", "integer") == "text"

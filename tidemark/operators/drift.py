@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from difflib import SequenceMatcher
 from typing import Any
 
@@ -209,20 +209,51 @@ def _fields(cell: Any) -> list[dict]:
     return [f | {"held": dict(f["held"] or {})} for f in cell]
 
 
-def union_schema(read: DataFrame, aliases: Mapping[str, str]) -> list[tuple[str, str]]:
-    """Names and types of the consistent table: all fields of all files under the names that ``aliases`` gives them,
-    their types folded through the lattice on the executors. There is one row for each field name."""
-    names = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else None
-    each = read.select(F.explode("_fields").alias("f")).select("f.name", F.explode_outer("f.types").alias("type"))
-    if names is not None:
-        each = each.withColumn("name", F.coalesce(names[F.col("name")], F.col("name")))
-    found = each.groupBy("name").agg(F.array_sort(F.collect_set("type")).alias("types")).orderBy("name").collect()
+def field_types(read: DataFrame) -> tuple[dict[str, list[str]], set[tuple[str, str]]]:
+    """The types of each field name of all files, and the pairs of names that some file has both of; one pass. On the
+    driver there is one row for each such pair."""
+    each = read.select(F.explode("_fields").alias("f"), F.transform("_fields", lambda f: f["name"]).alias("others"))
+    pairs = each.select("f.name", "f.types", F.explode("others").alias("other"))
+    found = pairs.groupBy("name", "other").agg(F.array_distinct(F.flatten(F.collect_set("types"))).alias("types")).collect()
+    return {r["name"]: r["types"] for r in found if r["name"] == r["other"]}, {(r["name"], r["other"]) for r in found if r["name"] != r["other"]}
+
+
+def united_names(
+    names: Iterable[str], together: set[tuple[str, str]], renames: Mapping[tuple[str, str], int], aliases: Mapping[str, str]
+) -> dict[str, str]:
+    """The one name of each field by all of its names, united along the chains of renames, the frequent ones first, and
+    then along ``aliases``. Names that one file has both of are different fields and stay apart. The name is the one that
+    ``aliases`` lead to, else that with the most renames, else the least."""
+    group = {n: {n} for n in [*names, *aliases.values()]}
+    weight: dict[tuple[str, str], int] = {}
+    for (a, b), n in renames.items():
+        pair = (min(a, b), max(a, b))
+        weight[pair] = weight.get(pair, 0) + n
+    links = [pair for pair, _ in sorted(weight.items(), key=lambda x: (-x[1], x[0]))] + sorted(aliases.items())
+    for a, b in links:
+        if a not in group or b not in group or group[a] is group[b]:
+            continue
+        if not any((x, y) in together for x in group[a] for y in group[b]):
+            both = group[a] | group[b]
+            for n in both:
+                group[n] = both
+    uses = {n: sum(w for pair, w in weight.items() if n in pair) for n in group}
+    wanted = set(aliases.values())
+    return {n: min(own, key=lambda x: (x not in wanted, -uses[x], x)) for n, own in group.items()}
+
+
+def union_schema(types: Mapping[str, list[str]], names: Mapping[str, str]) -> list[tuple[str, str]]:
+    """Names and types of the consistent table: all fields under the names that ``names`` gives them, their types folded
+    through the lattice."""
+    found: dict[str, set[str]] = {}
+    for name, own in types.items():
+        found.setdefault(names.get(name, name), set()).update(own)
     out = []
-    for row in found:
+    for name, own in sorted(found.items()):
         kind = None
-        for t in row["types"]:
+        for t in sorted(own):
             kind = promote(kind, t)
-        out.append((row["name"], kind or "text"))
+        out.append((name, kind or "text"))
     return out
 
 
@@ -233,16 +264,24 @@ def consistent_table(
     files: DataFrame, feed: list[str], number: str, file_id: str, content: str, key_name: str, aliases: Mapping[str, str]
 ) -> DataFrame:
     """All records of all files of one kind in one table: the feed, the file, and each field under one name, cast to
-    the type that all files' values fit in. Lists, objects and mixed types come as text. Each file is parsed once."""
+    the type that all files' values fit in. Lists, objects and mixed types come as text.
+
+    The names of a field are those that the drift report finds to be renamed into each other, in whatever feed; ``aliases``
+    add names for which no file shows it.
+    """
     named = files.dropna(subset=[*feed, number, file_id])
     ids = latest_copies(named, feed, number, file_id)
     own = named.dropDuplicates([file_id]).join(ids.select(file_id), file_id, "left_semi")
-    schema = union_schema(headers(own, file_id, content, F.lit(key_name)), aliases)
+    types, together = field_types(headers(own, file_id, content, F.lit(key_name)))
+    report = drift_report(files, feed, number, file_id, content, F.lit(key_name)).where("change_kind = 'renamed'")
+    renames = {(r["was"], r["field_name"]): r["count"] for r in report.groupBy("was", "field_name").count().collect()}
+    names = united_names(types, together, renames, aliases)
+    schema = union_schema(types, names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (i, n, {aliases.get(k, k): as_text(v) for k, v in record.items()})
+                (i, n, {names.get(k, k): as_text(v) for k, v in record.items()})
                 for i, c in zip(batch["_id"], batch["_content"])
                 for n, record in enumerate(read_records(c))
             ]
