@@ -49,6 +49,27 @@ def test_deep_body_does_not_crash():
     nested.parse_body("[" * 100_000 + "]" * 100_000)
 
 
+def test_any_depth_and_wrapping():
+    text = "[" * 9000 + "7" + "]" * 9000
+    last = '{"event-type":"z", "properties":{"p":[1.5,"\\u00e9",true,{"value":' + text + "}]}}"
+    deep = '{"event-type":"a","children": [ ' * 6000 + last + "]}" * 6000
+    got = nested.parse_body(deep)
+    assert sum(r[1] == "event" for r in got) == 6001
+    assert [r[4] for r in got if r[1] == "object"][-4:] == ["1.5", "\u00e9", "true", text]
+    body = {"event-type": "a"}
+    for _ in range(40):
+        body = {"event": [body]}
+    assert rows_of(json.dumps(body)) == [("0", "event", "a", 0)]
+    for broken in ("[" * 9000 + "1 2" + "]" * 9000, "[" * 9000, '{"a":' * 9000 + "}" * 9000, "[" * 9000 + "1," + "]" * 9000):
+        assert nested.parse_body(broken) == []
+
+
+@pytest.mark.parametrize("value", [[], {}, [[], {}], {"a": [1, -2.5e3, None, True, "x\n\u00e9"], "b": {"c": {}}}, "x", 7])
+def test_deep_reader_and_writer_agree_with_json(value):
+    for text in (json.dumps(value), json.dumps(value, indent=2)):
+        assert nested._read_deep(text) == value
+
+
 def test_tables(spark):
     body = json.dumps({"event-type": "a", "node": "x", "children": [{"event-type": "b", "properties": {"p": "1"}}]})
     df = spark.createDataFrame([(1, body, "extra"), (1, body, "extra"), (2, None, None), (None, body, "x")], "id bigint, body string, node string")

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What may wrap an event and how many texts may lie in each other before the body counts as unreadable.
-WRAPPERS, MOST_UNPACKING = ("event", "events", "record", "data", "payload", "body", "message"), 32
+#: What may wrap an event.
+WRAPPERS = ("event", "events", "record", "data", "payload", "body", "message")
 EVENT_PARTS = ("event-type", "source-uri", "properties", "attachments", "parents", "children")
 
 NODE_SCHEMA = (
@@ -23,13 +25,103 @@ _ARROW = [
 ]
 
 
+_BLANKS = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null|NaN|-?Infinity")
+
+
+def read_json(text: str | bytes) -> Any:
+    """As ``json.loads``, to any depth."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _read_deep(text if isinstance(text, str) else text.decode())
+
+
+def _read_deep(text: str) -> Any:
+    """JSON read with a stack of the open lists and objects, each with the key that its next value gets."""
+    at, size, stack = _BLANKS.match(text, 0).end(), len(text), []
+
+    def skip(to: int) -> int:
+        return _BLANKS.match(text, to).end()
+
+    def key_at(to: int) -> tuple[str, int]:
+        if text[to : to + 1] != '"':
+            raise ValueError(f"no key at {to}")
+        key, to = scanstring(text, to + 1, True)
+        if text[(to := skip(to)) : to + 1] != ":":
+            raise ValueError(f"no colon at {to}")
+        return key, skip(to + 1)
+
+    while True:
+        mark = text[at : at + 1]
+        if mark and mark in "[{":
+            value: Any = [] if mark == "[" else {}
+            at = skip(at + 1)
+            if text[at : at + 1] != "]}"["[{".index(mark)]:
+                key = None
+                if mark == "{":
+                    key, at = key_at(at)
+                stack.append([value, key])
+                continue
+            at += 1
+        elif mark == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif found := _SCALAR.match(text, at):
+            value, at = json.loads(found[0]), found.end()
+        else:
+            raise ValueError(f"no value at {at}")
+        while True:
+            at = skip(at)
+            if not stack:
+                if at != size:
+                    raise ValueError(f"more than one value at {at}")
+                return value
+            held, key = stack[-1]
+            if key is None:
+                held.append(value)
+            else:
+                held[key] = value
+            mark = text[at : at + 1]
+            if mark == ",":
+                at = skip(at + 1)
+                if key is not None:
+                    stack[-1][1], at = key_at(at)
+                break
+            if mark != ("]" if key is None else "}"):
+                raise ValueError(f"no end at {at}")
+            value, at = held, at + 1
+            stack.pop()
+
+
+def write_json(value: Any) -> str:
+    """As ``json.dumps`` with sorted keys, to any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False, sort_keys=True)
+    except RecursionError:
+        out: list[str] = []
+        todo: list[tuple[bool, Any]] = [(False, value)]
+        while todo:
+            done, item = todo.pop()
+            if done:
+                out.append(item)
+            elif isinstance(item, (dict, list)):
+                parts: list[tuple[bool, Any]] = []
+                for x in sorted(item.items()) if isinstance(item, dict) else item:
+                    parts += [(True, ", ")] * bool(parts)
+                    parts += [(True, write_json(x[0]) + ": "), (False, x[1])] if isinstance(item, dict) else [(False, x)]
+                todo += [(True, "}" if isinstance(item, dict) else "]"), *reversed(parts), (True, "{" if isinstance(item, dict) else "[")]
+            else:
+                out.append(write_json(item))
+        return "".join(out)
+
+
 def _text(value: Any) -> str | None:
     """A scalar as text; null for what is null or empty."""
     if value is None or value == "":
         return None
     if isinstance(value, str):
         return value
-    return json.dumps(value, ensure_ascii=False, sort_keys=True)
+    return write_json(value)
 
 
 def _is_event(value: Any) -> bool:
@@ -38,11 +130,11 @@ def _is_event(value: Any) -> bool:
 
 def unwrap(value: Any) -> dict | None:
     """The event in a parsed body, whatever it is wrapped in: texts that hold JSON, objects, lists of one event."""
-    for _ in range(MOST_UNPACKING):
+    while True:  # each step leaves less of the value
         if isinstance(value, (str, bytes)):
             try:
-                value = json.loads(value)
-            except (ValueError, RecursionError):
+                value = read_json(value)
+            except ValueError:
                 return None
         elif isinstance(value, list):
             events = [x for x in value if x not in (None, "", {}, [])]
@@ -58,7 +150,6 @@ def unwrap(value: Any) -> dict | None:
             value = inside[0]
         else:
             return None
-    return None
 
 
 def _listed(value: Any) -> list:
@@ -154,8 +245,7 @@ def flatten_bodies(df: DataFrame, id_column: str, body_column: str) -> DataFrame
     """All nodes of all bodies, with ``id_column`` and the columns of ``NODE_SCHEMA``, in one pass without a shuffle.
 
     ``node`` is the path of the event that a node belongs to. Null, empty and unreadable bodies have no rows;
-    null and empty values are no items. Repeated rows give repeated nodes. A value too deep for the JSON reader
-    makes its body unreadable.
+    null and empty values are no items. Repeated rows give repeated nodes.
     """
     of_id = df.schema[id_column].dataType.simpleString()
 
