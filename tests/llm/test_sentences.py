@@ -53,3 +53,9 @@ def test_table(spark):
 @pytest.mark.parametrize("text", ["It is old.|The next one. |Is it?|Yes it is.", "See Node.Js there.", 'She said "No, do it first."|なぜですか？|はい。', "We got 17 runs.|voskの列はどこですか？", "なぜsetup.iniが消えるのですか？", "It is a cache.|Спасибо, всё работает."])
 def test_missing_blanks(text):
     assert cut(text.replace("|", "")) == [x.strip() for x in text.split("|")]
+
+
+@pytest.mark.parametrize("mark", ["\u0f0d", "\u0f0e", "\u1367", "\u1803", "\u1362", "\u0964", "\u104b"])
+def test_script_ends(mark):
+    letter = {"\u0f0d": "\u0f40", "\u0f0e": "\u0f40", "\u1367": "\u1210", "\u1803": "\u1820", "\u1362": "\u1210", "\u0964": "\u0915", "\u104b": "\u1000"}[mark]
+    assert cut(f"{letter * 3}{mark} {letter * 2}{mark}") == [letter * 3 + mark, letter * 2 + mark]
