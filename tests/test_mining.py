@@ -1,8 +1,10 @@
 import json
+from types import SimpleNamespace
 
 import pytest
 
 from tidemark.frame import EventFrame
+from tidemark.mining import graph
 from tidemark.mining.reason import Reasoner
 from tidemark.mining.results import Knowledge, concepts_from_json, dot_instances, dot_reasons, knowledge_from_json
 from tidemark.ontology.model import Concept, EventProperty, EventSource, EventType, ObjectType, Ontology
@@ -130,3 +132,15 @@ def test_twins_give_what_single_nodes_give(spark):
         groups.setdefault(part[r["node"]], []).append((r["node"], r["concept"], r["object_type"], r["value"], r["confidence"], r["identifies"], sorted(links.get(r["node"], []))))
     want = {(x[0], x[1]): round(x[2], 9) for g in groups.values() for x in Reasoner(g).mine_all()}
     assert got == want
+
+
+def test_components_that_do_not_converge_are_an_error(spark):
+    points = spark.createDataFrame([(f"n{i}", "o", f"v{i}") for i in range(9)], "node string, object_type string, value string")
+    intra = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1.0) for i in range(8)], "source string, target string, weight double")
+    with pytest.raises(RuntimeError, match="converged"):
+        graph.components(points, intra, most_rounds=1)
+
+
+def test_dumps_are_whole(spark):
+    members = spark.range(2100).selectExpr("'s' AS seed", "1 AS depth", "cast(id AS string) AS node", "'r' AS reason", "'k' AS reason_kind", "0.5D AS confidence")
+    assert dot_reasons(SimpleNamespace(members=members)).count("->") == 2100

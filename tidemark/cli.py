@@ -118,9 +118,11 @@ def _union(args: argparse.Namespace, frame: EventFrame, frames: list[EventFrame]
 def _diff(args: argparse.Namespace, frame: EventFrame, frames: list[EventFrame]) -> int:
     if len(frames) != 2:
         raise SystemExit("diff takes two files")
-    lines = compare.text_difference(compare.difference(*frames))
-    print("\n".join(lines), end="\n" if lines else "")
-    return int(bool(lines))
+    found = False
+    for line in compare.difference_lines(compare.difference(*frames)):
+        print(line)
+        found = True
+    return int(found)
 
 
 def _filter(args: argparse.Namespace, frame: EventFrame, frames: list[EventFrame]) -> int:

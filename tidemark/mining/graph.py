@@ -96,5 +96,7 @@ def components(points: DataFrame, intra: DataFrame, most_rounds: int = 60) -> Da
             if now == before:
                 break
             before = now
+    else:
+        raise RuntimeError(f"components have not converged in {most_rounds} rounds")
     labels = links.groupBy("a").agg(F.min("b").alias("component"))
     return points.select("node").join(labels, points["node"] == labels["a"], "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,9 +52,11 @@ def equivalent(a: EventFrame, b: EventFrame) -> bool:
     return not difference(a, b).limit(1).collect()
 
 
-def text_difference(differences: DataFrame, limit: int = 10_000) -> Sequence[str]:
-    """The differences as a unified diff, for reading; at most ``limit`` events, in the order of their hashes."""
-    lines: list[str] = []
-    for row in differences.orderBy("sticky_hash").limit(limit).toLocalIterator():
-        lines += difflib.unified_diff((row["a"] or "").split(","), (row["b"] or "").split(","), "a", "b", lineterm="", n=1)
-    return lines
+def difference_lines(differences: DataFrame) -> Iterator[str]:
+    """The differences as a unified diff, for reading, in the order of the events' hashes; one partition at a time."""
+    for row in differences.orderBy("sticky_hash").toLocalIterator():
+        yield from difflib.unified_diff((row["a"] or "").split(","), (row["b"] or "").split(","), "a", "b", lineterm="", n=1)
+
+
+def text_difference(differences: DataFrame) -> Sequence[str]:
+    return list(difference_lines(differences))
