@@ -3,6 +3,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import frequency
 from tidemark.llm.frequency import letters_and_digits, mark_terms, term_frequencies
 
 SCHEMA = "id bigint, a string, b string, term string, n bigint"
@@ -30,6 +31,15 @@ def test_counts_are_exact_whatever_is_heavy(spark, slots):
     assert run(spark, rows, slots)[0] == brute(rows)
 
 
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_repeated_records_count_once_however_they_meet(spark, monkeypatch, bound):
+    monkeypatch.setattr(frequency, "BROADCAST_IDS", bound)
+    # one id has a third of all rows, other ids come twice with other terms
+    rows = [(7 if i % 3 == 0 else i // 2, f"t{i % 5}", None if i % 4 else "x", "c", i) for i in range(900)]
+    got, out = run(spark, rows, 2)
+    assert got == brute(rows) and {r["total_records"] for r in out.collect()} == {len({r[0] for r in rows})}
+
+
 def test_nulls_empty_repeated_and_long(spark):
     rows = [(1, "", None, None, None), (1, "", None, None, None), (None, "", "x", None, None), (2, "y" * 100_000, "x", "c", 1), (3, None, None, None, None)]
     got, out = run(spark, rows)
