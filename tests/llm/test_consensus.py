@@ -1,24 +1,25 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.consensus import _fold, align, best_records, choose_values, distance
+from tidemark.llm.consensus import alignment, by_rank, choose_values, distance, elected, nearest
 
 SCHEMA = "id bigint, g string, text string, trust int, at bigint, _text string, _rank int"
 
 
-def chosen(spark, rows, weights=None, part_size=512, keys=("g",)):
+def chosen(spark, rows, weights=None, hot_rows=None, keys=("g",)):
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
-    out = choose_values(df, keys, "id", {"text": F.col("text")}, [F.col("trust"), F.col("at")], weights, part_size)
-    return {r["g"]: (r["_value"], r["_id"]) for r in out.collect()}
+    out = choose_values(df, keys, "id", {"text": F.col("text")}, [F.col("trust"), F.col("at")], weights, hot_rows=hot_rows)
+    return {r["g"]: (r["text"]["value"], r["text"]["id"]) for r in out.collect()}
 
 
 def test_best_rank_wins_nulls_last_and_ties_by_id(spark):
     rows = [(1, "a", "x", None, 9), (2, "a", "y", 1, None), (3, "a", "z", 1, 5), (4, "a", "w", 1, 5), (5, "a", None, 9, 9), (6, "a", " ", 9, 9)]
-    for order in itertools.permutations(rows, len(rows)):
-        assert chosen(spark, order) == {"a": ("z", 3)}
-        break
+    for hot in (None, 0):
+        for order in itertools.islice(itertools.permutations(rows), 0, 700, 350):
+            assert chosen(spark, order, hot_rows=hot) == {"a": ("z", 3)}
     assert chosen(spark, rows[:1]) == {"a": ("x", 1)}
     assert chosen(spark, rows[:2]) == {"a": ("y", 2)}
 
@@ -26,43 +27,64 @@ def test_best_rank_wins_nulls_last_and_ties_by_id(spark):
 def test_weighted_tokens_elect_the_value_nearest_to_all(spark):
     texts = ["time of the crane lift", "the time of crane lift", "time of the crane lift given", "time of the grane lift", "another thing"]
     rows = [(i, "a", t, 1, 1) for i, t in enumerate(texts)]
-    assert chosen(spark, rows, {"text": F.lit(1)}) == {"a": ("time of the crane lift", 0)}
+    for hot in (None, 0):
+        assert chosen(spark, rows, {"text": F.lit(1)}, hot) == {"a": ("time of the crane lift", 0)}
 
 
 def test_repeated_rows_vote_once(spark):
     rows = [(1, "a", "p", 1, 1)] * 5 + [(2, "a", "q", 1, 1), (3, "a", "q", 1, 1)]
-    assert chosen(spark, rows, {"text": F.lit(1)})["a"][0] == "q"
+    for hot in (None, 0):
+        assert chosen(spark, rows, {"text": F.lit(1)}, hot)["a"][0] == "q"
 
 
-def test_parts_give_a_value_of_the_group(spark):
-    rows = [(i, "a", f"same words here v{i}", 1, i) for i in range(60)] + [(99, "b", "only", None, None)]
-    got = chosen(spark, rows, {"text": F.lit(1)}, part_size=7)
-    assert got["a"][0].startswith("same words here") and got["b"] == ("only", 99)
-    assert chosen(spark, rows, part_size=7)["a"] == ("same words here v59", 59)
+@pytest.mark.parametrize("weighted", [True, False])
+def test_hot_groups_give_what_others_give(spark, weighted):
+    rng, words = random.Random(5), "the time when a lift of the crane began or ended here".split()
+    rows = []
+    for i in range(900):
+        own = [w for w in words if rng.random() < 0.8]
+        if rng.random() < 0.3:
+            own.insert(rng.randrange(len(own) + 1), rng.choice(["new", "old", "the"]))
+        # one group has a third of all rows
+        rows.append((i, "hot" if i % 3 == 0 else f"g{i % 40}", " ".join(own), rng.choice([None, 1, 2, 3]), rng.choice([None, 1, 2])))
+    weights = {"text": F.coalesce("trust", F.lit(0)) + 0.5} if weighted else None
+    want = chosen(spark, rows, weights)
+    assert len(want) == 41
+    for hot in (100, 15, 0):
+        assert chosen(spark, rows, weights, hot) == want
 
 
-def test_null_keys_and_empty(spark):
-    assert chosen(spark, [(1, None, "x", 1, 1)]) == {} and chosen(spark, []) == {}
+def test_null_keys_ids_and_empty(spark):
+    assert chosen(spark, [(1, None, "x", 1, 1), (None, "a", "x", 1, 1)]) == {} and chosen(spark, []) == {}
+    assert chosen(spark, [], {"text": F.lit(1)}) == {}
 
 
 def test_long_text(spark):
-    rows = [(1, "a", "w " * 3000, 1, 1), (2, "a", "w " * 3000 + "end", 2, 1)]
+    rows = [(1, "a", "w " * 30_000, 1, 1), (2, "a", "w " * 30_000 + "end", 2, 1)]
     assert chosen(spark, rows)["a"][1] == 2
 
 
-def test_best_records(spark):
+def test_records_vote_for_themselves(spark):
     rows = [(1, "a", "x", 5, 1, None, None), (2, "a", None, 9, 9, None, None), (3, "a", "y", 5, 2, None, None), (3, "a", "y", 5, 2, None, None), (4, "b", None, None, None, None, None), (5, None, "x", 1, 1, None, None)]
-    out = best_records(spark.createDataFrame(rows, SCHEMA), ["g"], "id", [F.col("text")], [F.col("trust"), F.col("at")])
-    assert {r["g"]: (r["_keep"], r["_first"], r["_last"]) for r in out.collect()} == {"a": (3, 1, 3), "b": (4, 4, 4)}
+    df = spark.createDataFrame(rows, SCHEMA)
+    filled = F.col("text").isNotNull().cast("int")
+    for hot in (None, 0):
+        out = choose_values(df, ["g"], "id", {"keep": F.lit("keep")}, [F.col("trust"), F.col("at")], first_rank={"keep": filled}, hot_rows=hot)
+        assert {r["g"]: (r["keep"]["id"], r["keep"]["first"], r["keep"]["last"]) for r in out.collect()} == {"a": (3, 1, 3), "b": (4, 4, 4)}
 
 
-@pytest.mark.parametrize("a,b,want", [("", "", 0), ("a b", "a b", 0), ("a b c", "a c", 1), ("a b", "c d", 2), ("", "a", 1)])
+@pytest.mark.parametrize("a,b,want", [("", "", 0), ("a b", "a b", 0), ("a b c", "a c", 1), ("a b", "c d", 2), ("", "a", 1), ("x a b y", "x b a y", 2)])
 def test_distance(a, b, want):
     assert distance(a.split(), b.split()) == want == distance(b.split(), a.split())
-
-
-def test_align_adds_votes():
-    a = [{"x": [1.0]}, {"y": [1.0]}]
-    both = align(a, [{"x": [2.0]}, {"z": [2.0]}])
-    assert both[0] == {"x": [3.0]} and both[1] == {"y": [1.0], "z": [2.0]}
-    assert list(_fold(iter([]), ["k"], True)) == []
+    assert distance(a.split(), b.split(), 0) == min(want, 1)
+
+
+def test_columns_and_votes():
+    assert alignment("a b c".split(), "a x c d".split()) == [(0, 0, "a"), (1, 0, "x"), (2, 0, "c"), (2, 1, "d")]
+    assert alignment("b".split(), "a b".split()) == [(-1, 1, "a"), (0, 0, "b")]
+    assert elected({(0, 0): {"a": 3, "b": 3}, (0, 1): {"c": 2}, (1, 0): {"d": 4}}, 6) == ["a", "d"]
+    assert by_rank([(1,), (3,), (2,)]) == {(3,): 1, (2,): 2, (1,): 4}
+    # five weak voters for another text don't outvote the best rank, but outweigh it
+    values = [("x y", (0,), None), *[(f"z{n} y", (n,), None) for n in range(1, 6)]]
+    assert nearest(values) == 0
+    assert nearest([("x y", (0,), 1), ("z y", (1,), 1), ("z y w", (2,), 1)]) == 1

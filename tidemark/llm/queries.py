@@ -77,32 +77,28 @@ def _rank() -> list[F.Column]:
     return [F.col("trust"), F.unix_micros(F.col("declared_at").cast("timestamp"))]
 
 
-def _chosen(df: DataFrame, fields: list[str], weights: dict[str, F.Column] | None = None) -> DataFrame:
-    usable = _declared()
-    chosen = consensus.choose_values(df, GROUP, "decl_id", {f: usable[f] for f in fields}, _rank(), weights)
-    return chosen.groupBy(*GROUP).agg(
-        *[F.max(F.when(F.col("_field") == f, F.col(c))).alias(f + s) for f in fields for c, s in (("_id", "_id"), ("_value", ""))]
-    )
+def _filled() -> F.Column:
+    return sum((c.isNotNull().cast("int") for c in _declared().values()), F.lit(0))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    declared = table(spark, folder, "event_property")
-    kept = consensus.best_records(declared, GROUP, "decl_id", list(_declared().values()), _rank()).where("_first <> _last")
-    chosen = _chosen(declared, ["merge_strategy", "multivalued"])
-    return kept.join(chosen, list(GROUP), "left").select(
-        F.col("_keep").alias("keep_id"),
-        F.coalesce("merge_strategy_id", F.lit(-1)).alias("merge_id"),
-        F.coalesce("multivalued_id", F.lit(-1)).alias("multivalued_id"),
+    """Every record votes for itself as the one to keep, by its usable fields and then by rank."""
+    usable = _declared()
+    fields = {"keep": F.lit("keep"), "merge": usable["merge_strategy"], "multivalued": usable["multivalued"]}
+    chosen = consensus.choose_values(table(spark, folder, "event_property"), GROUP, "decl_id", fields, _rank(), first_rank={"keep": _filled()})
+    return chosen.where("keep.first <> keep.last").select(
+        F.col("keep.id").alias("keep_id"),
+        F.coalesce("merge.id", F.lit(-1)).alias("merge_id"),
+        F.coalesce("multivalued.id", F.lit(-1)).alias("multivalued_id"),
     )
 
 
 def p3_survivors(spark: SparkSession, folder: str) -> DataFrame:
     """The surviving declaration of every property, each field by its own vote, descriptions by weight of trust."""
-    declared = table(spark, folder, "event_property")
-    kept = consensus.best_records(declared, GROUP, "decl_id", list(_declared().values()), _rank())
-    fields = list(_declared())
-    chosen = _chosen(declared, fields, {"description": F.coalesce("trust", F.lit(0)) + 1})
-    return kept.join(chosen, list(GROUP), "left").select(*GROUP, F.col("_keep").alias("keep_id"), *fields)
+    declared, usable = table(spark, folder, "event_property"), _declared()
+    weights = {"description": F.coalesce("trust", F.lit(0)) + 1}
+    chosen = consensus.choose_values(declared, GROUP, "decl_id", {"keep": F.lit("keep"), **usable}, _rank(), weights, {"keep": _filled()})
+    return chosen.select(*GROUP, F.col("keep.id").alias("keep_id"), *[F.col(f"{f}.value").alias(f) for f in usable])
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
