@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.mixing import mix, packed_blocks, permuted, quotas, shares
+from tidemark.llm.mixing import mix, pack, packed_blocks, permuted, quotas, shares
 from tidemark.llm.tokens import Tokenizer
 
 DOCS = "doc_id bigint, text string, source string, weight double, ids string"
@@ -17,9 +17,23 @@ def test_permutation(n):
 
 
 def test_quotas():
-    got = quotas([("a", 0.5, 1), ("b", 0.5, 3), ("none", 0.5, 1), ("zero", 0.0, 1), ("nul", None, 1)], {"a": 1000, "b": 400, "zero": 10, "other": 99}, 10)
-    assert got == {"a": (100, 100), "b": (100, 40)}
-    assert quotas([("a", 1.0, 1)], {}, 10) == {} and quotas([("a", 1.0, 2)], {"a": 100}, 10, total=50) == {"a": (5, 10)}
+    targets = [("a", 0.5, 1), ("b", 0.5, 3), ("none", 0.5, 1), ("zero", 0.0, 1), ("nul", None, 1)]
+    held = {"a": (100, 1000), "b": (40, 400), "zero": (1, 10), "other": (10, 99)}
+    assert quotas(targets, held) == {"a": (100, 100), "b": (100, 40)}
+    assert quotas([("a", 1.0, 1)], {}) == {} and quotas([("a", 1.0, 2)], {"a": (10, 100)}, total=50) == {"a": (5, 10)}
+
+
+def test_a_total_that_cannot_be_met_is_an_error_that_names_what_is_lacking():
+    targets, held = [("many", 0.8, 1), ("few", 0.2, 1)], {"many": (4_000_000, 10**9), "few": (4, 1000)}
+    assert quotas(targets, held) == {"many": (16, 4_000_000), "few": (4, 4)}
+    with pytest.raises(ValueError, match="5000 can; tokens that sources lack: {'few': 199000}"):
+        quotas(targets, held, total=1_000_000)
+
+
+def test_pack():
+    rows = [(0, "a", 1, [1, 2, 3]), (0, "a", 2, [4] * 5), (0, "b", 3, [5]), (1, "a", 4, []), (1, "a", 5, [6, 7])]
+    want = [(0, "a", 0, [1, 2], [1, 2, 3, 4]), (0, "a", 1, [2], [4] * 4), (0, "b", 0, [3], [5]), (1, "a", 0, [5], [6, 7])]
+    assert list(pack(iter(rows), 4)) == want and list(pack(iter([]), 4)) == []
 
 
 def docs(spark, n=300):
@@ -33,15 +47,14 @@ def targets(spark):
 
 def test_packing_keeps_every_token_in_order(spark):
     t = Tokenizer(spark)
-    texts = docs(spark).where("source = 'big' AND length(text) > 0").select("source", "doc_id", t.ids(F.col("text")).alias("ids"))
-    blocks = packed_blocks(texts, 16, run=20).collect()
-    assert all(len(b["ids"]) == 16 for b in blocks if b["block_no"] < max(x["block_no"] for x in blocks))
-    assert sorted(b["block_no"] for b in blocks) == list(range(len(blocks)))
-    want = Counter(tuple(r["ids"]) for r in texts.collect())
-    stream = [x for b in sorted(blocks, key=lambda b: b["block_no"]) for x in b["ids"]]
-    order = list(dict.fromkeys(d for b in sorted(blocks, key=lambda b: b["block_no"]) for d in b["doc_ids"]))
-    by_id = {r["doc_id"]: r["ids"] for r in texts.collect()}
-    assert stream == [x for d in order for x in by_id[d]] and sum(want.values()) == len(order)
+    texts = docs(spark).where("source = 'big' AND length(text) > 0").select("source", "doc_id", "text")
+    blocks = sorted(packed_blocks(texts, t, 16, run=20).collect(), key=lambda b: (b["_run"], b["_at"]))
+    last = {b["_run"]: b["_at"] for b in blocks}
+    assert all(len(b["ids"]) == 16 for b in blocks if b["_at"] < last[b["_run"]]) and len(last) > 3
+    ids = {r["doc_id"]: r["ids"] for r in texts.select("doc_id", t.ids(F.col("text")).alias("ids")).collect()}
+    stream = [x for b in blocks for x in b["ids"]]
+    order = list(dict.fromkeys(d for b in blocks for d in b["doc_ids"]))
+    assert stream == [x for d in order for x in ids[d]] and sorted(order) == sorted(ids)
 
 
 def test_shares_caps_and_shards(spark):

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.tokens import Tokenizer
 from tidemark.session import cut_lineage
 
-#: Tokens of a block, blocks of an output shard, and texts that one task numbers.
-BLOCK, SHARD, RUN = 256, 1024, 20_000
+#: Tokens of a block, blocks of an output shard, and texts that one task packs.
+BLOCK, SHARD, RUN = 256, 1024, 4_000
+#: Blocks of one Arrow batch, and runs and sources whose first numbers may be sent to every executor.
+BATCH, BROADCAST_RUNS = 1_000, 1_000_000
 #: The most named sources; the target table is a setting, not data.
 MOST_SOURCES = 100_000
 
@@ -42,73 +47,80 @@ def permuted(index: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarra
     return out.astype(np.int64)
 
 
-@F.pandas_udf(LongType())
-def _permuted(index: pd.Series, size: pd.Series, seed: pd.Series) -> pd.Series:
-    return pd.Series(permuted(index.to_numpy(), size.to_numpy(), seed.to_numpy()))
-
-
-def packed_blocks(texts: DataFrame, block: int = BLOCK, run: int = RUN) -> DataFrame:
-    """``source``, ``block_no``, ``doc_ids``, ``ids``: the tokens of each source, one text after the other, cut into blocks.
-
-    ``texts`` has ``source``, ``doc_id`` and ``ids``. The texts of a source are numbered through in runs of about
-    ``run`` texts: places inside a run by a window over the run, runs by a window over their sums. The last block
-    of a source may be short. Empty texts are in no block.
+def pack(rows: Iterator[tuple], block: int) -> Iterator[tuple]:
+    """Blocks of ``block`` tokens from rows of run, source, id and tokens, sorted by run and source: run, source, number in
+    the run, ids of the texts, tokens. The last block of a source in a run may be short."""
+    key, number, docs, held = None, 0, [], []
+    for run, source, doc, ids in rows:
+        if (run, source) != key:
+            if held:
+                yield (*key, number, docs, held)
+            key, number, docs, held = (run, source), 0, [], []
+        at = 0
+        while at < len(ids):
+            took = ids[at : at + block - len(held)]
+            docs.append(doc)
+            held += took
+            at += len(took)
+            if len(held) == block:
+                yield (*key, number, docs, held)
+                number, docs, held = number + 1, [], []
+    if held:
+        yield (*key, number, docs, held)
+
+
+def packed_blocks(texts: DataFrame, tokenizer: Tokenizer, block: int = BLOCK, run: int = RUN) -> DataFrame:
+    """``source``, ``_run``, ``_at``, ``doc_ids``, ``ids``: the tokens of each source, one text after the other, in blocks.
+
+    ``texts`` has ``source``, ``doc_id`` and ``text``. They are cut into runs of about ``run`` texts by their id, so that no
+    source makes a task large and the blocks don't depend on the number of tasks. Texts are shuffled as texts and
+    tokenized where they are packed. The last block of a source in a run may be short. Empty texts are in no block.
     """
     runs = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, texts.count() // run))).alias("_run")
-    sized = texts.where(F.size("ids") > 0).select("source", "doc_id", "ids", runs, F.size("ids").cast("long").alias("_n"))
-    sums = sized.groupBy("source", "_run").agg(F.sum("_n").alias("_sum"))
-    starts = sums.selectExpr(
-        "source", "_run", "sum(_sum) OVER (PARTITION BY source ORDER BY _run) - _sum AS _base"
-    )
-    placed = (
-        sized.selectExpr(
-            "source", "doc_id", "ids", "_run", "_n",
-            "sum(_n) OVER (PARTITION BY source, _run ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - _n AS _at",
-        )
-        .join(starts, ["source", "_run"])
-        .withColumn("_start", F.col("_base") + F.col("_at"))
+    kind = texts.schema["doc_id"].dataType
+    sent = texts.select(runs, "source", "doc_id", "text").repartition("_run").sortWithinPartitions("_run", "source", "doc_id", "text")
+    schema = T.StructType(
+        [
+            T.StructField("_run", T.LongType()), T.StructField("source", T.StringType()), T.StructField("_at", T.LongType()),
+            T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("ids", T.ArrayType(T.IntegerType())),
+        ]
     )
-    first, last = F.col("_start"), F.col("_start") + F.col("_n") - 1
-    cut = placed.select(
-        "source", "doc_id", "ids", "_start", "_n", F.explode(F.sequence(F.floor(first / block), F.floor(last / block))).alias("block_no")
-    )
-    begin = F.greatest(F.col("block_no") * block - F.col("_start"), F.lit(0))
-    end = F.least((F.col("block_no") + 1) * block - F.col("_start"), F.col("_n"))
-    pieces = cut.select(
-        "source",
-        "block_no",
-        F.struct(
-            "_start", F.col("doc_id").alias("doc"), F.slice("ids", (begin + 1).cast("int"), (end - begin).cast("int")).alias("ids")
-        ).alias("piece"),
-    )
-    # a block holds at most ``block`` tokens, so its pieces are few
-    return (
-        pieces.groupBy("source", "block_no")
-        .agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
-        .select("source", "block_no", F.col("pieces.doc").alias("doc_ids"), F.flatten("pieces.ids").alias("ids"))
-    )
+    encode, arrow = tokenizer.encoder(), to_arrow_schema(schema)
+
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encode()
+        rows = ((r, s, d, own(t)) for b in batches for r, s, d, t in zip(*(c.to_pylist() for c in b.columns)))
+        made = pack(rows, block)
+        while some := list(islice(made, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), arrow)], schema=arrow)
 
+    return sent.mapInArrow(run_all, schema)
 
-def quotas(targets: list[tuple[str, float, int]], tokens: dict[str, int], block: int, total: int | None = None) -> dict[str, tuple[int, int]]:
-    """For each source its slots and its blocks. The total is the largest at which every source with texts can have
-    its weight without use of a text beyond its cap, or ``total`` if that is less. Sources without texts, without a
-    positive weight, or with a cap of 0 get nothing, and the weights of the others are scaled up."""
-    live = {s: (w, r) for s, w, r in targets if w and w > 0 and r and r > 0 and tokens.get(s, 0) > 0}
+
+def quotas(targets: list[tuple[str, float, int]], held: dict[str, tuple[int, int]], total: int | None = None) -> dict[str, tuple[int, int]]:
+    """For each source its slots and its blocks; ``held``: the blocks and tokens that each source has. The total is the
+    largest at which every source with texts can have its weight without use of a block beyond its cap, or ``total``,
+    which is an error if it is more. Sources without texts, without a positive weight, or with a cap of 0 get nothing,
+    and the weights of the others are scaled up."""
+    live = {s: (w, r) for s, w, r in targets if w and w > 0 and r and r > 0 and held.get(s, (0, 0))[1] > 0}
     weight = sum(w for w, _ in live.values())
     if not live:
         return {}
-    most = min(tokens[s] * r * weight / w for s, (w, r) in live.items())
-    most = min(most, total) if total is not None else most
+    most = {s: held[s][1] * r * weight / w for s, (w, r) in live.items()}
+    least = min(most.values())
+    if total is not None and total > least:
+        short = {s: math.ceil(total * live[s][0] / weight) - held[s][1] * live[s][1] for s, n in sorted(most.items()) if n < total}
+        raise ValueError(f"{total} tokens can't be mixed, {int(least)} can; tokens that sources lack: {short}")
     out = {}
     for s, (w, r) in live.items():
-        blocks = math.ceil(tokens[s] / block)
+        blocks, tokens = held[s]
         # slots by mean block size, so that short last blocks don't count as full
-        out[s] = (min(blocks * r, round(most * w / weight / (tokens[s] / blocks))), blocks)
+        out[s] = (min(blocks * r, round((least if total is None else total) * w / weight / (tokens / blocks))), blocks)
     return out
 
 
 def mix(
-    docs: DataFrame, targets: DataFrame, tokenizer: Tokenizer, block: int = BLOCK, shard: int = SHARD, total: int | None = None, seed: int = 1
+    docs: DataFrame, targets: DataFrame, tokenizer: Tokenizer, block: int = BLOCK, shard: int = SHARD, total: int | None = None, seed: int = 1, run: int = RUN
 ) -> DataFrame:
     """``shard``, ``place``, ``source``, ``block_no``, ``turn``, ``doc_ids``, ``ids``, ``n_tokens`` of the mixture.
 
@@ -131,32 +143,38 @@ def mix(
     if len(named) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources have a target")
     wanted = [r["source"] for r in named]
-    texts = cut_lineage(
-        docs.where(F.col("source").isin(wanted) & (F.length("text") > 0)).select("source", "doc_id", tokenizer.ids(F.col("text")).alias("ids"))
-    )
-    tokens = {r["source"]: r["n"] for r in texts.groupBy("source").agg(F.sum(F.size("ids")).alias("n")).collect()}
-    quota = quotas([(r["source"], r["weight"], r["max_repeat"]) for r in named], tokens, block, total)
+    texts = docs.where(F.col("source").isin(wanted) & (F.length("text") > 0)).select("source", "doc_id", "text")
+    blocks = cut_lineage(packed_blocks(texts, tokenizer, block, run))
+    counted = cut_lineage(blocks.groupBy("source", "_run").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("ids")).alias("_tokens")))
+    sums = {r["source"]: (r["n"], r["t"]) for r in counted.groupBy("source").agg(F.sum("_n").alias("n"), F.sum("_tokens").alias("t")).collect()}
+    quota = quotas([(r["source"], r["weight"], r["max_repeat"]) for r in named], sums, total)
     spark = docs.sparkSession
-    slots, before, rows = sum(q for q, _ in quota.values()), 0, []
-    for number, source in enumerate(sorted(quota)):
-        q, blocks = quota[source]
-        rows.append((source, number, before, before + q, blocks))
-        before += q
-    sources = spark.createDataFrame(rows, "source string, _number long, _from long, _to long, _blocks long")
-    place = _permuted("id", F.lit(slots), F.lit(seed))
-    every = spark.range(slots).select("id", place.alias("_place"))
-    # a slot's source by its range; there are as many ranges as named sources
-    own = every.join(F.broadcast(sources), (F.col("id") >= F.col("_from")) & (F.col("id") < F.col("_to")))
-    at = F.col("id") - F.col("_from")
-    turn = F.floor(at / F.col("_blocks"))
-    indexed = own.select(
-        F.floor(F.col("_place") / shard).alias("shard"),
-        (F.col("_place") % shard).alias("place"),
-        "source",
-        turn.alias("turn"),
-        _permuted(at % F.col("_blocks"), F.col("_blocks"), F.lit(seed) + 1 + F.col("_number") * 1_000_003 + turn).alias("block_no"),
+    # a block's number in its source: those of the runs before it come first; there is one row for each run and source
+    bases = counted.selectExpr("source", "_run", "sum(_n) OVER (PARTITION BY source ORDER BY _run) - _n AS _base")
+    few = counted.count() <= BROADCAST_RUNS
+    numbered = blocks.join(F.broadcast(bases) if few else bases, ["source", "_run"]).select(
+        "source", (F.col("_base") + F.col("_at")).alias("block_no"), "doc_ids", "ids"
     )
-    return indexed.join(packed_blocks(texts, block), ["source", "block_no"]).select(
+    names = sorted(quota)
+    ends = np.cumsum([quota[s][0] for s in names])
+    begins = ends - np.array([quota[s][0] for s in names], dtype=np.int64)
+    size = np.array([quota[s][1] for s in names], dtype=np.int64)
+    slots = int(ends[-1]) if names else 0
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            place = permuted(at, np.full(len(at), slots), np.full(len(at), seed))
+            own = np.searchsorted(ends, at, side="right")
+            inside = at - begins[own]
+            turn = inside // size[own]
+            number = permuted(inside % size[own], size[own], seed + 1 + own * 1_000_003 + turn)
+            yield pa.RecordBatch.from_pydict(
+                {"shard": place // shard, "place": place % shard, "source": pa.array([names[n] for n in own], pa.string()), "turn": turn, "block_no": number}
+            )
+
+    every = spark.range(slots).mapInArrow(drawn, "shard long, place long, source string, turn long, block_no long")
+    return every.join(numbered, ["source", "block_no"]).select(
         "shard", "place", "source", "block_no", "turn", "doc_ids", "ids", F.size("ids").alias("n_tokens")
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -113,6 +113,11 @@ class Tokenizer:
     ) -> None:
         self.shared = spark.sparkContext.broadcast((read_ranks(str(Path(folder) / name)), pattern))
 
+    def encoder(self) -> Callable[[], Callable[[str | None], list[int]]]:
+        """For use in a Python worker: gives the function that encodes a text."""
+        shared = self.shared
+        return lambda: _encoder(shared).encode
+
     def ids(self, text: Column) -> Column:
         """The token ids of ``text`` as array<int>; an empty array for empty and null texts."""
         shared = self.shared
