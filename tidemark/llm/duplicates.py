@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
 
-#: A group is hot if it holds more than this part of all records; so there are at most HOT_PARTS hot groups.
-HOT_PARTS = 200
+#: A group is hot if it has more records than a task has on average, or than this part of all; there are at most as many
+#: hot groups as tasks.
+LEAST_PARTS = 200
 
 
 def plain(text: Column) -> Column:
@@ -65,12 +66,12 @@ def copy_counts(keyed: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_pairs(df: DataFrame, record_id: str, canon: Column, hot_parts: int = HOT_PARTS) -> DataFrame:
+def duplicate_pairs(df: DataFrame, record_id: str, canon: Column, hot_parts: int | None = None) -> DataFrame:
     """``first_id`` and ``event_id`` of each record that equals an earlier one but for formatting.
 
     The groups are counted with map-side combining. Members then meet their group's first id in a shuffled join;
-    the members of hot groups (each more than 1/``hot_parts`` of all records, so at most ``hot_parts`` groups)
-    stay where they are and get it by broadcast. No group is gathered in one task.
+    the members of hot groups (each more than 1/``hot_parts`` of all records, so at most ``hot_parts`` groups; by
+    default as many as a shuffle has partitions, so that a cold group is never more than a task's share) stay where they are and get it by broadcast. No group is gathered in one task.
 
     Null keys never match; repeated rows of one record are one record; an empty table gives no rows.
     """
@@ -79,6 +80,7 @@ def duplicate_pairs(df: DataFrame, record_id: str, canon: Column, hot_parts: int
         F.min("_id").alias("first_id"), F.max("_id").alias("_last"), F.count(F.lit(1)).alias("_n")
     )
     groups = groups.where(F.col("first_id") != F.col("_last"))
+    hot_parts = hot_parts or max(LEAST_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     limit = records.count() // hot_parts + 1
     hot = groups.where(F.col("_n") >= limit).select("_key", "_check", "first_id")
     cold = groups.where(F.col("_n") < limit).select("_key", "_check", "first_id")
