@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,3 +61,21 @@ def test_missing_blanks(text):
 def test_script_ends(mark):
     letter = {"\u0f0d": "\u0f40", "\u0f0e": "\u0f40", "\u1367": "\u1210", "\u1803": "\u1820", "\u1362": "\u1210", "\u0964": "\u0915", "\u104b": "\u1000"}[mark]
     assert cut(f"{letter * 3}{mark} {letter * 2}{mark}") == [letter * 3 + mark, letter * 2 + mark]
+
+
+@pytest.mark.parametrize("text", ["Das gilt z. B. tar.gz und i. d. R. auch foo_bar. | So ist es.", "Это диск, т. е. старый том. | Да и т. д. по списку.", "See e. g. old_mirror and i. e. this. | Fine.", "He saw it at the U. N. yesterday. | Fine."])
+def test_abbreviations_in_parts(text):
+    assert cut(text.replace("|", "")) == [x.strip() for x in text.split("|")]
+
+
+UNITS = ["It is e.g. the one of 3.5 and Dr. Who came. ", "a.b.c.", "((", "(a. b)", '"x. ', "日本語。「あ。」x.y", "foo.Bar", "(“«[", "abc! def ", ".    ", "12.", "(a. B ", "日x.Yab ", "x"]
+
+
+@pytest.mark.parametrize("unit", [*UNITS, None])
+def test_a_long_line_takes_time_by_its_length(unit):
+    size = 2_000_000
+    text = "(" * 400_000 + "a. B" + ")" * 400_000 if unit is None else (unit * (size // len(unit) + 1))[:size]
+    began = time.process_time()
+    found = list(sentences(text))
+    # quadratic work would take hours
+    assert time.process_time() - began < 60 and found[0][0] == 0 and found[-1][1] == len(text.rstrip())

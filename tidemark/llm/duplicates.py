@@ -71,7 +71,8 @@ def duplicate_pairs(df: DataFrame, record_id: str, canon: Column, hot_parts: int
 
     The groups are counted with map-side combining. Members then meet their group's first id in a shuffled join;
     the members of hot groups (each more than 1/``hot_parts`` of all records, so at most ``hot_parts`` groups; by
-    default as many as a shuffle has partitions, so that a cold group is never more than a task's share) stay where they are and get it by broadcast. No group is gathered in one task.
+    default as many as a shuffle has partitions, so that a cold group is never more than a task's share) stay
+    where they are and get it by broadcast. No group is gathered in one task.
 
     Null keys never match; repeated rows of one record are one record; an empty table gives no rows.
     """

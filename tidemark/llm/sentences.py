@@ -61,7 +61,10 @@ _ITEM = re.compile(r"\s{0,3}(?:[-*+•‣◦·]|\d{1,3}[.)]|[a-z]\))\s+\S")
 _MARK = re.compile(f"[{re.escape(ENDS)}]+|[{re.escape(''.join(PAIRS) + CLOSERS)}]|(?:{'|'.join(THAI_ENDS)})(?=\\s)")
 _NAME_LIKE = re.compile(r"[\w.]*[_(]|[a-z]+[A-Z]|\w{3,}\.\w{3,}|https?://")
 _VOWEL = re.compile("[aeiouyäëïöüáéíóúàèìòùâêîôûåæøœаеёиоуыэюяαεηιουω]", re.I)
-_WORD = re.compile(r"\S+")
+#: A word's first characters; what is longer is no abbreviation and no name, so that no text is looked at twice.
+WINDOW = 100
+_WORD = re.compile(rf"\S{{1,{WINDOW}}}")
+_SHOWN = re.compile(r"\S")
 _CAPITALIZED = re.compile(r"[^\W\d_a-zà-ÿ][^\W\d_A-Z]*(?:['’][a-z]+)?(?:\.{3}|,)?\s")
 _MIXED = re.compile(r"[\w-]*[぀-ヿ㐀-鿿]")
 _OPENED = re.compile(r"[^\w\s]+[^\W\d_a-z]")
@@ -112,19 +115,27 @@ def _kind(ch: str) -> str:
 CASED = ("upper", "lower", "digit", "")
 
 
-def _paired(line: str, marks: list[re.Match]) -> dict[int, int]:
-    """The place of the closer of each opener that has one in the line, by a stack; the others count as letters."""
+#: By each closer the openers that it closes.
+OPENERS = {c: [o for o, closers in PAIRS.items() if c in closers] for c in CLOSERS}
+
+
+def _paired(marks: list[re.Match]) -> dict[int, int]:
+    """The place of the closer of each opener that has one in the line, by a stack; the others count as letters. A closer
+    takes the innermost opener of its kind, and those in it stay open."""
     stack: list[tuple[str, int]] = []
+    depths: dict[str, list[int]] = {o: [] for o in PAIRS}  # where in the stack each opener is
     pairs: dict[int, int] = {}
     for found in marks:
         ch, at = found.group(), found.start()
         if len(ch) > 1 or (ch not in PAIRS and ch not in CLOSERS):
             continue
-        depth = next((d for d in range(len(stack) - 1, -1, -1) if ch in PAIRS[stack[d][0]]), None)
+        depth = max((depths[o][-1] for o in OPENERS.get(ch, ()) if depths[o]), default=None)
         if depth is not None:
             pairs[stack[depth][1]] = at
-            del stack[depth:]
+            while len(stack) > depth:
+                depths[stack.pop()[0]].pop()
         elif ch in PAIRS:
+            depths[ch].append(len(stack))
             stack.append((ch, at))
     return pairs
 
@@ -134,8 +145,37 @@ def _named(line: str, at: int) -> bool:
     word = _WORD.match(line, at).group()
     if any(_kind(c) not in CASED for c in word) or _NAME_LIKE.match(word):
         return True
-    rest = line[at + len(word) :].lstrip()
-    return bool(rest) and _kind(rest[0]) not in CASED
+    rest = _SHOWN.search(line, at + len(word))
+    return rest is not None and _kind(rest.group()) not in CASED
+
+
+class _Sentence:
+    """What is asked again and again of the sentence that is open in a line, found in one walk over the line."""
+
+    def __init__(self, line: str) -> None:
+        self.line, self.start = line, 0
+        self.seen, self.blanks = 0, 0
+        self.lead = -1
+
+    def cut(self, at: int) -> None:
+        self.start = self.seen = at
+        self.blanks, self.lead = 0, -1
+
+    def blanks_before(self, at: int) -> int:
+        if at > self.seen:
+            self.blanks += self.line.count(" ", self.seen, at)
+            self.seen = at
+        return self.blanks
+
+    def is_blank_before(self, at: int) -> bool:
+        """Whether nothing is shown from the start to ``at``."""
+        if self.lead < 0:
+            found = _SHOWN.search(self.line, self.start)
+            self.lead = found.start() if found else len(self.line)
+        return self.lead >= at
+
+    def last_word(self, at: int) -> str:
+        return (self.line[max(self.start, at - WINDOW) : at].split()[-1:] or [""])[0]
 
 
 def _starts_sentence(line: str, at: int, ends: str, before: str, last_word: str = "") -> bool:
@@ -152,16 +192,20 @@ def _starts_sentence(line: str, at: int, ends: str, before: str, last_word: str
 
 def _abbreviated(line: str, stop: int, following: int) -> bool:
     """Whether the full stop at ``stop`` belongs to an abbreviation or a number, so that the sentence goes on."""
-    head = line[:stop]
-    token = head[max(head.rfind(b) for b in " \t 　 ") + 1 :].lstrip("".join(PAIRS) + "'’‘¿¡")
-    if not token:
+    head = line[max(0, stop - WINDOW) : stop]
+    token = head[max(head.rfind(b) for b in " \t\u00a0\u3000") + 1 :].lstrip("".join(PAIRS) + "'’‘¿¡")
+    if not token or len(token) == WINDOW:
         return False
     lower, kind = token.lower(), _kind(line[following])
-    previous = head[: len(head) - len(token)].split()[-1:] or [""]
-    before = previous[0].lower()
+    words = head[: len(head) - len(token)].lower().split()
+    before = words[-1] if words else ""
     kinds = ABBREVIATIONS.kinds(lower)
+    # parts of one abbreviation may be apart, as in "z. B." and "i. d. R."
+    for n in (1, 2):
+        if len(words) >= n and all(w.endswith(".") and len(w) <= 4 for w in words[-n:]):
+            kinds = ABBREVIATIONS.kinds("".join(words[-n:]).lstrip("".join(PAIRS)) + lower) or kinds
     new = kind not in ("lower", "digit") or (kind == "lower" and _named(line, following))
-    if "unit" in kinds and before[-1:].isdigit() and before.rstrip(".") == before:
+    if "unit" in kinds and before[-1:].isdigit():
         return not new
     if "unit" in kinds and not new:
         return True
@@ -185,12 +229,13 @@ def line_sentences(line: str, dense: bool = False) -> Iterator[tuple[int, int]]:
     """The sentences of one line of prose, blanks around them left out. ``dense``: the text has scripts without blanks,
     so that there may be none between sentences of other scripts either."""
     marks = list(_MARK.finditer(line))
-    pairs = _paired(line, marks)
+    pairs = _paired(marks)
     closed_by = {close: start for start, close in pairs.items()}
     start, end_line = 0, len(line)
     inside: list[int] = []  # closers of what is open here, the innermost last
     skip = -1
     cuts: list[int] = []
+    own = _Sentence(line)
     for found in marks:
         at, text = found.start(), found.group()
         if at < skip:
@@ -204,16 +249,17 @@ def line_sentences(line: str, dense: bool = False) -> Iterator[tuple[int, int]]:
         if text[0] not in ENDS:
             if text in THAI_ENDS and not inside:
                 cuts.append(found.end())
+                own.cut(found.end())
             continue
         # an end mark: take the marks and closers that follow it
-        end, ends, quoted, open_here = found.end(), text, None, list(inside)
+        end, ends, quoted, open_here = found.end(), text, None, len(inside)
         while end < end_line:
             ch = line[end]
             blank = end
             while open_here and blank < end_line and line[blank].isspace():
                 blank += 1
-            if open_here and blank == open_here[-1]:
-                open_here.pop()
+            if open_here and blank == inside[open_here - 1]:
+                open_here -= 1
                 quoted = closed_by[blank]
                 end = blank + 1
             elif ch in ENDS:
@@ -236,12 +282,12 @@ def line_sentences(line: str, dense: bool = False) -> Iterator[tuple[int, int]]:
         blank = following > end
         last = next((_kind(c) for c in reversed(line[max(0, at - 8) : at]) if c.isalnum()), "")
         new_kind = _kind(line[following])
-        if quoted is not None and not (line[quoted] in BRACKETS and blank and not line[start_of(cuts) : quoted].strip()):
+        if quoted is not None and not (line[quoted] in BRACKETS and blank and own.is_blank_before(quoted)):
             if not blank:
                 if last in CASED and (new_kind == "CJK" or _CAPITALIZED.match(line, following) or (following in pairs and _OPENED.match(line, following))):
                     cuts.append(end)  # in texts of scripts without blanks the next sentence may follow at once
                 continue
-            if line[quoted] in BRACKETS and line[start_of(cuts) : quoted].strip() and ends == "." and _abbreviated(line, at, following):
+            if line[quoted] in BRACKETS and not own.is_blank_before(quoted) and ends == "." and _abbreviated(line, at, following):
                 continue
             if new_kind not in CASED:
                 cut = new_kind != last
@@ -258,17 +304,17 @@ def line_sentences(line: str, dense: bool = False) -> Iterator[tuple[int, int]]:
                 cut |= unicodedata.name(line[at - 1], "").split(" ")[0] != unicodedata.name(line[following]).split(" ")[0] and line[at - 1].isalpha()
             if last in CASED and not cut and not _abbreviated(line, at, following):
                 # the blank may be missing: after a plain word or number a capitalized word, or an opener and a word
-                loose = dense or ends[-1] in "!?" or _PLAIN.search(line, 0, at)
+                loose = dense or ends[-1] in "!?" or _PLAIN.search(line[max(0, at - WINDOW) : at])
                 cut = bool(loose and ((following in pairs and _OPENED.match(line, following)) or _CAPITALIZED.match(line, following)))
-                if dense and not cut and _MIXED.match(line, following) and line[start_of(cuts) : at].count(" ") > 1:
-                    cut = ends[-1] in "!?" or ends.endswith("..") or _PLAIN.search(line, 0, at) is not None
+                if dense and not cut and _MIXED.match(line, following) and own.blanks_before(at) > 1:
+                    cut = ends[-1] in "!?" or ends.endswith("..") or _PLAIN.search(line[max(0, at - WINDOW) : at]) is not None
         elif ends == ".":
-            word = line[start_of(cuts) : at].split()[-1:] or [""]
-            cut = not _abbreviated(line, at, following) and _starts_sentence(line, following, ends, last, word[0])
+            cut = not _abbreviated(line, at, following) and _starts_sentence(line, following, ends, last, own.last_word(at))
         else:
             cut = _starts_sentence(line, following, ends, last)
         if cut:
             cuts.append(end)
+            own.cut(end)
     for cut in [*cuts, end_line]:
         piece = line[start:cut]
         lead = len(piece) - len(piece.lstrip())
@@ -277,10 +323,6 @@ def line_sentences(line: str, dense: bool = False) -> Iterator[tuple[int, int]]:
         start = cut
 
 
-def start_of(cuts: list[int]) -> int:
-    return cuts[-1] if cuts else 0
-
-
 def sentences(text: str | None) -> Iterator[tuple[int, int]]:
     """The start and end, in code points, of each sentence of ``text``; none for null, empty and blank texts.
 
