@@ -64,6 +64,8 @@ _VOWEL = re.compile("[aeiouyäëïöüáéíóúàèìòùâêîôûåæøœае
 #: A word's first characters; what is longer is no abbreviation and no name, so that no text is looked at twice.
 WINDOW = 100
 _WORD = re.compile(rf"\S{{1,{WINDOW}}}")
+#: Further parts of an abbreviation.
+_PARTS = re.compile(r"([^\W\d_]{1,3}\.)(?:\s([^\W\d_]{1,3}\.))?")
 _SHOWN = re.compile(r"\S")
 _CAPITALIZED = re.compile(r"[^\W\d_a-zà-ÿ][^\W\d_A-Z]*(?:['’][a-z]+)?(?:\.{3}|,)?\s")
 _MIXED = re.compile(r"[\w-]*[぀-ヿ㐀-鿿]")
@@ -204,6 +206,10 @@ def _abbreviated(line: str, stop: int, following: int) -> bool:
     for n in (1, 2):
         if len(words) >= n and all(w.endswith(".") and len(w) <= 4 for w in words[-n:]):
             kinds = ABBREVIATIONS.kinds("".join(words[-n:]).lstrip("".join(PAIRS)) + lower) or kinds
+    if len(token) <= 3 and (ahead := _PARTS.match(line, following)):
+        rest = [p.rstrip(".").lower() for p in ahead.groups() if p]
+        if any(ABBREVIATIONS.kinds(".".join([lower, *rest[:n]])) for n in range(1, len(rest) + 1)):
+            return True
     new = kind not in ("lower", "digit") or (kind == "lower" and _named(line, following))
     if "unit" in kinds and before[-1:].isdigit():
         return not new
