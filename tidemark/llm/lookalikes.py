@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import functools
 import unicodedata
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import types as T
 
-#: The most vocabulary texts that are sent to every executor; beyond it the texts meet by a shuffled join.
-BROADCAST_TEXTS = 100_000
+from tidemark.session import cut_lineage
 
 # Letters that look alike, each group after the Latin letter (or sign) they look like.
 LOOKALIKES = {
@@ -83,13 +82,17 @@ def alike(one: str, other: str) -> bool:
     )
 
 
+#: Scripts that are written together.
+JAPANESE = {"HIRAGANA", "KATAKANA", "HALFWIDTH", "KATAKANA-HIRAGANA"}
+
+
 @functools.cache
 def script(ch: str) -> str:
     """The script of a letter by its Unicode name; empty for what belongs to no script."""
     if unicodedata.category(ch)[0] != "L":
         return ""
     name = unicodedata.name(ch, "").split(" ")[0]
-    return "LATIN" if name == "FULLWIDTH" else "KATAKANA" if name == "HALFWIDTH" else name
+    return "LATIN" if name == "FULLWIDTH" else "CJK" if name in JAPANESE else name
 
 
 def dominant_script(token: str) -> tuple[str, bool]:
@@ -98,107 +101,131 @@ def dominant_script(token: str) -> tuple[str, bool]:
     return (max(sorted(seen), key=seen.__getitem__) if seen else "", len(seen) > 1)
 
 
-class Vocabulary:
-    """The tokens of a set of texts, found by their look."""
-
-    def __init__(self, texts: Iterable[str]) -> None:
-        self.by_look: dict[str, list[str]] = defaultdict(list)
-        self.tokens: set[str] = set()
-        for text in texts:
-            for token in text.split(" "):
-                if token not in self.tokens:
-                    self.tokens.add(token)
-                    self.by_look[look(token)].append(token)
-
-    def repair(self, token: str) -> str:
-        """``token`` with its look-alikes replaced if it mixes scripts and the result is in the vocabulary.
-
-        A token wholly in letters of another script doesn't mix scripts in itself; it counts as mixed if its
-        script isn't that of the vocabulary's token of the same look. Of several results the one in the token's
-        dominant script comes first, then the smallest.
-        """
-        if token in self.tokens:
-            return token
-        found = [t for t in self.by_look.get(look(token), ()) if alike(token, t)]
-        if not found:
-            return token
-        main, _ = dominant_script(token)
-        return min(found, key=lambda t: (dominant_script(t)[0] != main, t))
-
-
-def repaired(text: str, vocabulary: Vocabulary) -> str:
-    """``text`` in one consistent spelling: unseen characters out, blanks plain, each token repaired."""
+WORD = T.StructType(
+    [T.StructField("token", T.StringType()), T.StructField("look", T.StringType()), T.StructField("script", T.StringType()), T.StructField("mixed", T.BooleanType())]
+)
+
+
+@functools.lru_cache(1 << 15)
+def _word(token: str) -> dict:
+    main, mixed = dominant_script(token)
+    return {"token": token, "look": look(token), "script": main, "mixed": mixed}
+
+
+def words(text: str) -> list[dict]:
+    """The tokens of a text with their look and script; unseen characters are left out, and every blank parts tokens."""
     shown = "".join(" " if unicodedata.category(c) == "Zs" else c for c in text if _open(c))
-    return " ".join(map(vocabulary.repair, shown.split(" ")))
+    return [_word(t) for t in shown.split(" ")]
+
+
+@F.pandas_udf(T.ArrayType(WORD))
+def _words(text: pd.Series) -> pd.Series:
+    return text.map(words)
+
+
+@F.pandas_udf(T.BooleanType())
+def _alike(one: pd.Series, other: pd.Series) -> pd.Series:
+    return pd.Series([x == y or alike(x, y) for x, y in zip(one, other)], dtype=bool)
 
 
-def _by_field(rows: Iterable) -> dict[str, list[str]]:
-    texts: dict[str, list[str]] = defaultdict(list)
-    for row in rows:
-        texts[row["field_name"]].append(row["text"])
-    return texts
+def tokens_of(texts: DataFrame) -> DataFrame:
+    """``_field``, ``_text``, ``_pos`` and the parts of ``WORD`` of each token of distinct texts."""
+    each = texts.select("_field", "_text", F.posexplode(_words("_text")).alias("_pos", "w"))
+    return each.select("_field", "_text", "_pos", "w.*")
 
 
-def repair_texts(values: DataFrame, reference: DataFrame, limit: int = BROADCAST_TEXTS) -> DataFrame:
-    """Adds ``_repaired`` to ``values`` (with columns ``_field`` and ``_text``): the text in the spelling of the
-    ``reference`` texts (``field_name``, ``text``) of its field.
+def vocabulary(known: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``_field``, ``look``, ``into_script``, ``into``, ``sure``: what a token may be replaced by. Tokens of the reference texts
+    are sure; for a look that these don't have in a script, the corpus' most frequent token that mixes no scripts is
+    taken, of equal ones the largest, so that a look has few rows."""
+    key = ["_field", "look", "script"]
+    own = tokens_of(known).select(*key, F.col("token").alias("into"), F.lit(True).alias("sure")).distinct()
+    seen = corpus.where("NOT mixed AND look <> ''").groupBy(*key, "token").agg(F.count(F.lit(1)).alias("n"))
+    frequent = seen.groupBy(*key).agg(F.max(F.struct("n", "token")).alias("m")).select(*key, F.col("m.token").alias("into"), F.lit(False).alias("sure"))
+    return own.unionByName(frequent.join(own.select(*key).distinct(), key, "left_anti")).withColumnRenamed("script", "into_script")
 
-    At most ``limit`` reference texts go to the executors as a vocabulary. With more, values and references meet
-    by a shuffled join on field and look instead, and the same check decides; a value without a match stays.
-    Null texts stay null; empty texts stay empty.
+
+def replacements(corpus: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``_field``, ``token``, ``choices`` (script, token, whether it is sure; one for each script) and ``main``, the choice taken
+    where nothing else is known.
+
+    A token that mixes scripts has its look-alikes replaced if the result is in the vocabulary: best in the token's
+    dominant script. A token in letters of one script only mixes no scripts in itself, so that this condition misses it;
+    a rule of its own replaces it by a token of the reference texts, be it in another script or of the same one.
     """
-    known = reference.where(F.col("text").isNotNull() & F.col("field_name").isNotNull()).select("field_name", "text").distinct()
-    rows = known.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return _repair_by_join(values, known)
-    texts = values.sparkSession.sparkContext.broadcast(_by_field(rows))
+    own = corpus.select("_field", "token", "look", "script", "mixed").distinct()
+    met = own.join(vocabulary, ["_field", "look"]).where((F.col("mixed") | F.col("sure")) & _alike("token", "into"))
+    best = F.min(F.struct((~F.col("sure")).alias("unsure"), (F.col("into") != F.col("token")).alias("other"), (F.col("into_script") != F.col("script")).alias("far"), "into"))
+    by_script = met.groupBy("_field", "token", "into_script").agg(best.alias("b"))
+    return by_script.groupBy("_field", "token").agg(
+        F.sort_array(F.collect_list(F.struct("into_script", "b.into", "b.unsure"))).alias("choices"), F.min("b").getField("into").alias("main")
+    )
+
+
+def spellings(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """``_field``, ``_text``, ``_spellings``: each distinct text with its tokens replaced: first by the main choices, then, for
+    each script that a token may be written in, with that script's choices. Texts whose tokens all stay are left out."""
+    corpus = cut_lineage(tokens_of(texts))
+    found = replacements(corpus, vocabulary(known, corpus))
+    parts = corpus.join(found, ["_field", "token"], "left").groupBy("_field", "_text").agg(
+        F.sort_array(F.collect_list(F.struct("_pos", "token", "main", "choices"))).alias("parts")
+    )
+
+    def spelt(script: Column | None) -> Column:
+        def one(p: Column) -> Column:
+            usual = F.coalesce(p["main"], p["token"])
+            if script is None:
+                return usual
+            return F.coalesce(F.get(F.filter(p["choices"], lambda c: c["into_script"] == script), F.lit(0))["into"], usual)
 
-    @F.pandas_udf(StringType())
-    def fix(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        vocabularies = {field: Vocabulary(own) for field, own in texts.value.items()}
+        return F.array_join(F.transform("parts", one), " ")
 
-        @functools.lru_cache(1 << 16)
-        def one(field: str, text: str) -> str:
-            return repaired(text, vocabularies[field]) if field in vocabularies else text
+    scripts = F.array_distinct(F.flatten(F.transform("parts", lambda p: F.coalesce(p["choices"]["into_script"], F.array().cast("array<string>")))))
+    every = F.array_distinct(F.concat(F.array(spelt(None)), F.transform(scripts, spelt)))
+    return parts.select("_field", "_text", every.alias("_spellings")).where((F.size("_spellings") > 1) | (F.get("_spellings", F.lit(0)) != F.col("_text")))
 
-        for field, text in parts:
-            yield pd.Series([t if t is None else one(f, t) for f, t in zip(field, text)], dtype=object)
 
-    return values.withColumn("_repaired", fix("_field", "_text"))
+def _known(reference: DataFrame) -> DataFrame:
+    whole = reference.where(F.col("text").isNotNull() & F.col("field_name").isNotNull())
+    return whole.select(F.col("field_name").alias("_field"), F.col("text").alias("_text")).distinct()
 
 
-def _repair_by_join(values: DataFrame, known: DataFrame) -> DataFrame:
-    look_of = F.pandas_udf(lambda s: s.map(look, na_action="ignore"), StringType())
-    same = F.pandas_udf(lambda a, b: pd.Series([alike(x, y) for x, y in zip(a, b)]), "boolean")
-    texts = values.select("_field", "_text").distinct().withColumn("_look", look_of("_text"))
-    met = texts.join(
-        known.select(F.col("field_name").alias("_field"), F.col("text").alias("_known"), look_of("text").alias("_look")),
-        ["_field", "_look"],
-    ).where(same("_text", "_known"))
-    best = met.groupBy("_field", "_text").agg(F.min("_known").alias("_repaired"))
-    return values.join(best, ["_field", "_text"], "left").withColumn("_repaired", F.coalesce("_repaired", "_text"))
+def repair_texts(values: DataFrame, reference: DataFrame) -> DataFrame:
+    """Adds ``_repaired`` to ``values`` (with columns ``_field`` and ``_text``): the text with unseen characters out, blanks
+    plain and its tokens replaced by those of the vocabulary: the spelling that is a ``reference`` text (``field_name``,
+    ``text``) of its field, of several the least, or else the first one.
 
+    The vocabulary is that of the reference texts and of the corpus itself (``vocabulary``). Texts, tokens and vocabulary
+    meet by joins of distinct values on field and look; there is one way for any number of them. Null texts stay null;
+    texts without a field, and empty ones, stay as they are.
+    """
+    known = _known(reference)
+    texts = values.where(F.col("_text").isNotNull() & F.col("_field").isNotNull()).select("_field", "_text").distinct()
+    made = spellings(texts.join(known, ["_field", "_text"], "left_anti"), known)
+    good = made.select("_field", F.col("_text").alias("_was"), F.explode("_spellings").alias("_text")).join(known, ["_field", "_text"])
+    best = good.groupBy("_field", F.col("_was").alias("_text")).agg(F.min("_text").alias("_best"))
+    final = made.join(best, ["_field", "_text"], "left").select("_field", "_text", F.coalesce("_best", F.get("_spellings", F.lit(0))).alias("_repaired"))
+    return values.join(final, ["_field", "_text"], "left").withColumn("_repaired", F.coalesce("_repaired", "_text"))
 
-def find_lookalikes(values: DataFrame, reference: DataFrame, limit: int = BROADCAST_TEXTS) -> DataFrame:
+
+def find_lookalikes(values: DataFrame, reference: DataFrame) -> DataFrame:
     """``record_kind``, ``record_id``, ``ref_id`` of each value that looks like a reference text of its field without
     being equal to it.
 
     ``values`` has ``record_kind``, ``record_id``, ``_field`` and ``_text``. Values equal to a reference text are
-    left out before Python sees them. Null values and references never match; repeated rows come out once; if
-    several references have one text, each of them comes out.
+    left out before Python sees them; of the others each distinct one is repaired once, and the spellings found are
+    looked up among the references. Null values and references never match; repeated rows come out once; if several
+    references have one text, each of them comes out.
     """
     names = reference.select(F.col("field_name").alias("_field"), F.col("text").alias("_text"), "ref_id").where(
         F.col("_text").isNotNull() & F.col("_field").isNotNull()
     )
-    other = values.where(F.col("_text").isNotNull()).join(names, ["_field", "_text"], "left_anti")
-    fixed = repair_texts(other, reference, limit)
-    return (
-        fixed.where(F.col("_repaired") != F.col("_text"))
-        .select("record_kind", "record_id", "_field", F.col("_repaired").alias("_text"))
-        .join(names, ["_field", "_text"])
-        .select("record_kind", "record_id", "ref_id")
-        .distinct()
-    )
+    known = _known(reference)
+    other = values.where(F.col("_text").isNotNull()).select("record_kind", "record_id", "_field", "_text").join(known, ["_field", "_text"], "left_anti")
+    made = spellings(other.select("_field", "_text").distinct(), known)
+    hits = made.select("_field", F.col("_text").alias("_was"), F.explode("_spellings").alias("_text")).join(names, ["_field", "_text"])
+    hits = cut_lineage(hits.select("_field", F.col("_was").alias("_text"), "ref_id").distinct())
+    return other.join(hits, ["_field", "_text"]).select("record_kind", "record_id", "ref_id").distinct()
 
 
 def property_values(events: DataFrame, record_id: Column, properties: Column, fields: Iterable[str]) -> DataFrame:
