@@ -76,12 +76,28 @@ def test_tables(spark):
     nodes = nested.flatten_bodies(df, "id", "body")
     assert nodes.count() == 9
     one = nested.flatten_bodies(df.where("id = 1").limit(1), "id", "body")
-    assert [tuple(r) for r in nested.contained(one, "id").collect()] == [(1, "0", "0.0")]
+    assert [tuple(r) for r in nested.contained(one, "id", 0).collect()] == [(1, "0", 1), (1, "0", 2)]
     events = nested.nodes_of_kind(one, "event", "id").orderBy("enter").collect()
     assert [(r["node"], r["parent_node"], r["event_type"]) for r in events] == [("0", None, "a"), ("0.0", "0", "b")]
     assert nested.flatten_bodies(df.limit(0), "id", "body").count() == 0
 
 
+def test_several_events_and_containment(spark):
+    body = json.dumps({"data": [{"event-type": "a", "children": [{"event-type": "b", "properties": {"p": ["1", "2"]}}]}, {"note": 1}, {"event-type": "c"}]})
+    df = spark.createDataFrame([(1, body)], "id bigint, body string")
+    nodes = nested.flatten_bodies(df, "id", "body")
+    assert [(r["node"], r["name"], r["pos"]) for r in nodes.where("kind = 'event'").orderBy("enter").collect()] == [("0", "a", 0), ("0.0", "b", 0), ("1", "c", 1)]
+    rows = nodes.collect()
+    for depth in (0, 1):
+        outer = [r for r in rows if r["kind"] == "event" and r["depth"] == depth]
+        want = sorted((1, o["node"], r["enter"]) for o in outer for r in rows if o["enter"] < r["enter"] <= o["leave"])
+        assert sorted(map(tuple, nested.contained(nodes, "id", depth).collect())) == want
+
+
+def test_a_value_without_a_text_is_kept_as_json():
+    assert [r[4] for r in nested.parse_body('{"event-type": "a", "properties": {"p": [{"odd": 1}, {}, {"value": null}]}}')] == [None, '{"odd": 1}']
+
+
 def test_columns_of_events(spark):
     schema = "id bigint, kind string, properties map<string,array<string>>, attachments map<string,map<string,string>>, parents array<string>"
     rows = [(1, "a", {"p": ["x", None, "", "y"], "q": []}, {"f": {"i": "t", "j": ""}}, ["h", None]), (2, None, None, None, None)]
@@ -139,24 +155,42 @@ def test_copies_nulls_and_empty(spark):
 
 
 def test_consistent_table(spark):
-    rows = [(1, 1, 1, js({"k": "a", "v": 1, "w": 1}), "x"), (2, 1, 2, js({"k": "a", "ver": 1.5, "w": [1]}), "x")]
-    got = drift.consistent_table(spark.createDataFrame(rows, FILES), ["producer"], "no", "file_id", "content", "k", {"ver": "v"})
-    assert dict(got.dtypes)["field_v"] == "double" and dict(got.dtypes)["field_w"] == "string"
-    assert sorted((r["file_id"], r["field_v"], r["field_w"]) for r in got.collect()) == [(1, 1.0, "1"), (2, 1.5, "[1]")]
+    big = 9007199254740993
+    rows = [(1, 1, 1, js({"k": "a", "v": big, "w": 1, "Rev": 10**22 + 7, "far": 10**40}), "x"), (2, 1, 2, js({"k": "a", "v": 1.25, "w": [1], "rev-": 1, "far": 1, "t": True}), "x")]
+    got = drift.consistent_table(spark.createDataFrame(rows, FILES), ["producer"], "no", "file_id", "content", "k")
+    kinds = dict(got.dtypes)
+    assert kinds["field_v"] == "decimal(18,2)" and kinds["field_w"] == "string" and kinds["field_Rev"] == "decimal(23,0)" and kinds["field_far"] == "string" and kinds["field_t"] == "boolean"
+    assert sorted((r["file_id"], str(r["field_v"]), r["field_w"], str(r["field_Rev"]), r["field_far"]) for r in got.collect()) == [
+        (1, f"{big}.00", "1", "10000000000000000000007", str(10**40)), (2, "1.25", "[1]", "1", "1")]
+
+
+def test_two_names_in_one_record_stay_apart(spark):
+    rows = [(1, 1, 1, js({"k": "a", "ver": 1, "version": 2}), "x"), (2, 1, 2, js({"k": "a", "version": 2, "Ver": 1}), "x")]
+    got = drift.consistent_table(spark.createDataFrame(rows, FILES), ["producer"], "no", "file_id", "content", "k")
+    names = {c for c in got.columns if c.startswith("field_")}
+    assert len(names) == 3 and sorted((r["field_Ver"], r["field_version"]) for r in got.collect()) == [(1, 2), (1, 2)]
+
+
+def test_many_files_meet_by_a_shuffled_join(spark, monkeypatch):
+    files = [js({"k": "1", f"f{i}": 7, "x": i}) for i in range(6)]
+    want = report(spark, files)
+    monkeypatch.setattr(drift, "BROADCAST_FILES", 0)
+    assert report(spark, files) == want and len(want) == 5
 
 
 def test_consistent_table_learns_names(spark):
     """Names on no list: a chain of renames in one feed holds for another one; a field beside the new name stays apart."""
     files = [js({"k": "a", "v": 1, "x": True}, {"k": "b", "v": 2, "x": True}), js({"k": "a", "revno": 1, "x": True}, {"k": "b", "revno": 2, "x": True}), js({"k": "a", "revno": 3}), js({"k": "a", "release": "3"})]
     rows = [(i, 1, i, c, "") for i, c in enumerate(files)] + [(9, 2, 1, js({"k": "z", "release": 7, "y": True}), ""), (10, 2, 2, js({"k": "z", "release": 8}), "")]
-    got = drift.consistent_table(spark.createDataFrame(rows, FILES), ["producer"], "no", "file_id", "content", "k", {"ver": "v"})
-    assert {c for c in got.columns if c.startswith("field_")} == {"field_k", "field_v", "field_x", "field_y"}
-    assert sorted((r["file_id"], r["field_v"]) for r in got.collect()) == [(0, "1"), (0, "2"), (1, "1"), (1, "2"), (2, "3"), (3, "3"), (9, "7"), (10, "8")]
+    got = drift.consistent_table(spark.createDataFrame(rows, FILES), ["producer"], "no", "file_id", "content", "k")
+    assert {c for c in got.columns if c.startswith("field_")} == {"field_k", "field_release", "field_x", "field_y"}
+    assert sorted((r["file_id"], r["field_release"]) for r in got.collect()) == [(0, "1"), (0, "2"), (1, "1"), (1, "2"), (2, "3"), (3, "3"), (9, "7"), (10, "8")]
 
 
 def test_united_names():
-    got = drift.united_names(["a", "b", "c", "d"], {("a", "c"), ("c", "a")}, {("a", "b"): 3, ("b", "c"): 1, ("d", "c"): 1}, {})
-    assert got == {"a": "a", "b": "a", "c": "c", "d": "c"} or got == {"a": "b", "b": "b", "c": "c", "d": "c"}
+    fields = {n: drift.Field(["text"], 0, 0, files) for n, files in (("a", 1), ("b", 5), ("c", 2), ("d", 1), ("C-", 1))}
+    got = drift.united_names(fields, {("a", "c"), ("c", "a")}, {("a", "b"): 3, ("b", "c"): 1, ("d", "c"): 1})
+    assert got == {"a": "b", "b": "b", "c": "c", "d": "c", "C-": "c"}
 
 
 def test_lattice():

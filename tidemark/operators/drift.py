@@ -5,18 +5,29 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass
+from decimal import Decimal
 from difflib import SequenceMatcher
+from functools import reduce
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 #: File numbers that one window looks back over; feeds of any length are cut into such stretches.
 STRETCH = 10_000
 
 
-HEADER = "array<struct<name:string,type:string,types:array<string>,held:map<string,string>>>"
+#: Files whose values are compared that may be named to every executor; more of them meet their files by a shuffled join.
+BROADCAST_FILES = 100_000
+#: The most digits of a number column; fields with longer numbers come as text.
+MOST_DIGITS = 38
+
+HEADER = "array<struct<name:string,type:string,types:array<string>,whole:int,part:int>>"
+HELD = "array<struct<name:string,keys:array<bigint>,values:array<bigint>>>"
 
 
 def json_type(value: Any) -> str | None:
@@ -25,7 +36,7 @@ def json_type(value: Any) -> str | None:
         return None
     if isinstance(value, bool):
         return "truth value"
-    return {int: "integer", float: "decimal", str: "text", list: "list", dict: "object"}[type(value)]
+    return {int: "integer", Decimal: "decimal", float: "decimal", str: "text", list: "list", dict: "object"}[type(value)]
 
 
 def promote(a: str | None, b: str | None) -> str | None:
@@ -35,9 +46,14 @@ def promote(a: str | None, b: str | None) -> str | None:
     return "decimal" if {a, b} == {"integer", "decimal"} else "text"
 
 
-def as_text(value: Any) -> str | None:
-    """A value read as text: texts as they are, all else as written in JSON."""
-    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+def as_text(value: Any, exact: bool = False) -> str | None:
+    """A value read as text: texts as they are, all else as written in JSON; numbers with a point as the shortest text that
+    stands for them or, if ``exact``, with all their digits."""
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, Decimal) and exact:
+        return format(value, "f")
+    return json.dumps(float(value) if isinstance(value, Decimal) else value, ensure_ascii=False, sort_keys=True, default=float)
 
 
 def read_records(content: str | None) -> list[dict]:
@@ -45,84 +61,100 @@ def read_records(content: str | None) -> list[dict]:
     if not content or not content.strip():
         return []
     try:
-        whole = json.loads(content)
+        whole = json.loads(content, parse_float=Decimal)
         found = whole if isinstance(whole, list) else [whole]
     except (ValueError, RecursionError):
         found = []
         for line in content.splitlines():
             try:
-                found.append(json.loads(line))
+                found.append(json.loads(line, parse_float=Decimal))
             except (ValueError, RecursionError):
                 continue
     return [x for x in found if isinstance(x, dict)]
 
 
-def header(records: list[dict], key: str) -> list[tuple[str, str | None, list[str], dict[str, str]]]:
-    """Each field that any record has, with its promoted type, its types and what it holds for which record, as hashes.
+def _digits(value: Any) -> tuple[int, int]:
+    """How many digits a number has before and after the point."""
+    if isinstance(value, bool) or not isinstance(value, (int, Decimal)):
+        return 0, 0
+    number = Decimal(value)
+    if not number.is_finite():
+        return MOST_DIGITS + 1, 0
+    return max(1, number.adjusted() + 1), max(0, -number.as_tuple().exponent)
 
-    Of several records with one key the first counts; records without a key have no values to compare.
-    """
+
+def header(records: list[dict]) -> list[tuple[str, str | None, list[str], int, int]]:
+    """Each field that any record has, with its promoted type, its types, and its numbers' most digits before and after
+    the point."""
     types: dict[str, set[str]] = {}
-    held: dict[str, dict[str, str]] = {}
-    seen: set[str] = set()
+    digits: dict[str, tuple[int, int]] = {}
     for record in records:
-        own = as_text(record.get(key))
-        new = own is not None and own not in seen
-        if new:
-            seen.add(own)
         for name, value in record.items():
             mine = types.setdefault(name, set())
             if (kind := json_type(value)) is not None:
                 mine.add(kind)
-                if new:
-                    held.setdefault(name, {})[_hash(own)] = _hash(as_text(value))
-    out = []
-    for name, kinds in types.items():
-        kind = None
-        for k in sorted(kinds):
-            kind = promote(kind, k)
-        out.append((name, kind, sorted(kinds), held.get(name, {})))
-    return out
+            old, new = digits.get(name, (0, 0)), _digits(value)
+            digits[name] = (max(old[0], new[0]), max(old[1], new[1]))
+    return [(name, reduce(promote, sorted(kinds), None), sorted(kinds), *digits[name]) for name, kinds in types.items()]
 
 
-def _hash(text: str) -> str:
-    return hashlib.blake2b(text.encode(), digest_size=12).hexdigest()
+def held_values(records: list[dict], key: str, names: Iterable[str]) -> list[dict]:
+    """What some fields hold for which record, as hashes, and under the empty name all records that have a key.
+
+    Of several records with one key the first counts; records without a key have no values to compare.
+    """
+    out: dict[str, tuple[list[int], list[int]]] = {n: ([], []) for n in ["", *names]}
+    seen: set[int] = set()
+    for record in records:
+        own = as_text(record.get(key))
+        if own is None or (hashed := _hash(own)) in seen:
+            continue
+        seen.add(hashed)
+        for name, (keys, values) in out.items():
+            if name == "" or record.get(name) is not None:
+                keys.append(hashed)
+                values.append(0 if name == "" else _hash(as_text(record[name])))
+    return [{"name": n, "keys": k, "values": v} for n, (k, v) in out.items()]
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), signed=True)
 
 
 def _likeness(a: str, b: str) -> float:
-    a, b = ("".join(c for c in x.lower() if c.isalnum()) for x in (a, b))
+    a, b = plain_name(a), plain_name(b)
     return 2.0 if a == b else SequenceMatcher(None, a, b).ratio()
 
 
-def changes(before: list, after: list, key: str) -> list[tuple[str, str, str]]:
-    """The differences between the headers of two files: kind, name of the field, and what it was before.
+def plain_name(name: str) -> str:
+    return "".join(c for c in name.lower() if c.isalnum())
 
-    A gone field is renamed if a new one holds equal texts for the same records, those that both files have. Of
-    several such pairs the ones of the most similar names count, each field in one pair.
-    """
-    old = {f["name"]: f for f in before}
-    new = {f["name"]: f for f in after}
-    gone, came = [n for n in old if n not in new], [n for n in new if n not in old]
-    in_old, in_new = set(old[key]["held"] if key in old else ()), set(new[key]["held"] if key in new else ())
-    both = in_old & in_new
 
-    def kept(field: Mapping) -> dict[str, str]:
-        return {k: v for k, v in field["held"].items() if k in both}
+def renames(gone: list[str], came: list[str], old: list[dict], new: list[dict]) -> dict[str, str]:
+    """The gone fields that came back under a new name: one that holds equal texts for the same records, those that both
+    files have. Of several such pairs the ones of the most similar names count, each field in one pair."""
+    before, after = ({f["name"]: dict(zip(f["keys"], f["values"])) for f in side} for side in (old, new))
+    both = before.get("", {}).keys() & after.get("", {}).keys()
 
-    pairs = sorted(
-        (-_likeness(a, b), a, b) for a in gone for b in came if (x := kept(old[a])) and x == kept(new[b])
-    )
-    names = {n: n for n in old if n in new}
-    for _, a, b in pairs:
-        if a not in names and b not in names.values():
-            names[a] = b
-    out = [("renamed", b, a) for a, b in names.items() if a != b]
-    out += [("removed", "", a) for a in gone if a not in names]
-    out += [("added", b, "") for b in came if b not in names.values()]
-    for a, b in names.items():
-        was, now = old[a]["type"], new[b]["type"]
-        if was is not None and now is not None and was != now:
-            out.append(("retyped", b, a))
+    def kept(field: dict[int, int] | None) -> dict[int, int]:
+        return {k: v for k, v in (field or {}).items() if k in both}
+
+    a_kept, b_kept = {a: kept(before.get(a)) for a in gone}, {b: kept(after.get(b)) for b in came}
+    out: dict[str, str] = {}
+    for _, a, b in sorted((-_likeness(a, b), a, b) for a in gone for b in came if a_kept[a] and a_kept[a] == b_kept[b]):
+        if a not in out and b not in out.values():
+            out[a] = b
+    return out
+
+
+def changes(before: list[dict], after: list[dict], renamed: Mapping[str, str]) -> list[tuple[str, str, str]]:
+    """The differences between the headers of two files: kind, name of the field, and what it was before."""
+    old, new = ({f["name"]: f["type"] for f in side} for side in (before, after))
+    names = {n: n for n in old if n in new} | dict(renamed)
+    out = [("renamed", b, a) for a, b in renamed.items()]
+    out += [("removed", "", a) for a in old if a not in names]
+    out += [("added", b, "") for b in new if b not in names.values()]
+    out += [("retyped", b, a) for a, b in names.items() if None not in (old[a], new[b]) and old[a] != new[b]]
     return out
 
 
@@ -149,20 +181,51 @@ def predecessors(ids: DataFrame, feed: list[str], number: str, file_id: str, str
     return joined.select(*feed, file_id, F.coalesce("_before", "_earlier").alias("_before")).where("_before IS NOT NULL")
 
 
-def headers(files: DataFrame, file_id: str, content: str, key: Column) -> DataFrame:
-    """``file_id``, ``_key`` and ``_fields`` of each file, read in parallel."""
+def headers(files: DataFrame, file_id: str, content: str) -> DataFrame:
+    """``file_id`` and ``_fields`` of each file, read in parallel where the files are; one row a file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["_fields"] = [
-                [dict(zip(("name", "type", "types", "held"), f)) for f in header(read_records(c), k)]
-                for c, k in zip(batch["_content"], batch["_key"])
-            ]
-            yield batch[["_id", "_key", "_fields"]]
+            batch["_fields"] = [[dict(zip(("name", "type", "types", "whole", "part"), f)) for f in header(read_records(c))] for c in batch["_content"]]
+            yield batch[["_id", "_fields"]]
 
     kind = files.schema[file_id].dataType.simpleString()
+    own = files.where(F.col(file_id).isNotNull()).select(F.col(file_id).alias("_id"), F.col(content).alias("_content"))
+    read = own.mapInPandas(run, f"_id {kind}, _fields {HEADER}")
+    return read.groupBy(F.col("_id").alias(file_id)).agg(F.first("_fields").alias("_fields"))
+
+
+def _held(files: DataFrame, file_id: str, content: str, key: Column, wanted: DataFrame) -> DataFrame:
+    """``_to``, ``_now`` and ``_held`` of the files that ``wanted`` names (``file_id``, ``_to``, ``_now``, ``_names``)."""
     own = files.select(F.col(file_id).alias("_id"), key.alias("_key"), F.col(content).alias("_content"))
-    return own.mapInPandas(run, f"_id {kind}, _key string, _fields {HEADER}").withColumnRenamed("_id", file_id)
+    met = own.join(wanted.withColumnRenamed(file_id, "_id"), "_id").select("_to", "_now", "_key", "_names", "_content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["_held"] = [held_values(read_records(c), k, n) for c, k, n in zip(batch["_content"], batch["_key"], batch["_names"])]
+            yield batch[["_to", "_now", "_held"]]
+
+    return met.mapInPandas(run, f"_to {files.schema[file_id].dataType.simpleString()}, _now boolean, _held {HELD}")
+
+
+def compared(
+    files: DataFrame, feed: list[str], number: str, file_id: str, content: str, stretch: int = STRETCH
+) -> DataFrame:
+    """``_to``, ``_before``, ``_old`` and ``_new``: each file, the one before it in its feed, and the headers of both, written
+    once."""
+    ids = latest_copies(files.dropna(subset=[*feed, number, file_id]), feed, number, file_id)
+    pairs = predecessors(ids, feed, number, file_id, stretch).select(F.col(file_id).alias("_to"), "_before")
+    read = headers(files.dropna(subset=[*feed, number]), file_id, content)
+    # each header is sent to two places: its own comparison and that of the file after it
+    roles = pairs.select("_to", F.col("_to").alias(file_id), F.lit(True).alias("_now")).unionByName(
+        pairs.select("_to", F.col("_before").alias(file_id), F.lit(False).alias("_now"))
+    )
+    met = read.join(roles, file_id).groupBy("_to").agg(
+        F.first(F.when(~F.col("_now"), F.col(file_id)), ignorenulls=True).alias("_before"),
+        F.first(F.when(~F.col("_now"), F.col("_fields")), ignorenulls=True).alias("_old"),
+        F.first(F.when(F.col("_now"), F.col("_fields")), ignorenulls=True).alias("_new"),
+    )
+    return cut_lineage(met)
 
 
 def drift_report(
@@ -170,66 +233,78 @@ def drift_report(
 ) -> DataFrame:
     """``file_id``, ``change_kind``, ``field_name``, ``was`` of each difference between a file and the one before it.
 
+    Names and types of all files are read first, and no value is sent anywhere. Only where a field is gone and another
+    came are the two files read again, for what these fields hold.
+
     Files with a null number or id are in no feed; a null feed column is a value like any other only if it is not
     null, so such files are left out too. A file without records has no fields. Repeated deliveries count once.
     """
-    named = files.dropna(subset=[*feed, number, file_id])
-    ids = latest_copies(named, feed, number, file_id)
-    pairs = predecessors(ids, feed, number, file_id, stretch).select(file_id, "_before")
-    read = headers(named.dropDuplicates([file_id]).join(ids.select(file_id), file_id, "left_semi"), file_id, content, key)
-    kind = files.schema[file_id].dataType.simpleString()
-    # each file is parsed once and sent to two places: its own comparison and that of the file after it
-    roles = pairs.select(F.col(file_id).alias("_to"), F.col(file_id), F.lit(True).alias("_now")).unionByName(
-        pairs.select(F.col(file_id).alias("_to"), F.col("_before").alias(file_id), F.lit(False).alias("_now"))
+    met = compared(files, feed, number, file_id, content, stretch)
+    old_names, new_names = F.transform("_old", lambda f: f["name"]), F.transform("_new", lambda f: f["name"])
+    named = met.withColumn("_gone", F.array_except(old_names, new_names)).withColumn("_came", F.array_except(new_names, old_names))
+    unclear = named.where((F.size("_gone") > 0) & (F.size("_came") > 0))
+    wanted = unclear.select(F.col("_to").alias(file_id), "_to", F.lit(True).alias("_now"), F.col("_came").alias("_names")).unionByName(
+        unclear.select(F.col("_before").alias(file_id), "_to", F.lit(False).alias("_now"), F.col("_gone").alias("_names"))
     )
-    sent = read.join(roles, file_id)
-    met = sent.groupBy(F.col("_to").alias("_id")).agg(
-        F.first("_key", ignorenulls=True).alias("_key"),
-        F.first(F.when(F.col("_now"), F.col("_fields")), ignorenulls=True).alias("_fields"),
-        F.first(F.when(~F.col("_now"), F.col("_fields")), ignorenulls=True).alias("_old"),
+    if 2 * unclear.count() <= BROADCAST_FILES:
+        wanted = F.broadcast(wanted)
+    held = _held(files, file_id, content, key, wanted).groupBy("_to").agg(
+        F.first(F.when(~F.col("_now"), F.col("_held")), ignorenulls=True).alias("_held_old"),
+        F.first(F.when(F.col("_now"), F.col("_held")), ignorenulls=True).alias("_held_new"),
     )
+    kind = files.schema[file_id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (i, *change)
-                for i, k, old, new in zip(batch["_id"], batch["_key"], batch["_old"], batch["_fields"])
-                for change in changes(_fields(old), _fields(new), k)
-            ]
+            rows = []
+            for to, old, new, gone, came, held_old, held_new in zip(*(batch[c] for c in ("_to", "_old", "_new", "_gone", "_came", "_held_old", "_held_new"))):
+                found = {} if held_old is None or held_new is None else renames(list(gone), list(came), list(held_old), list(held_new))
+                rows += [(to, *change) for change in changes(list(old), list(new), found)]
             yield pd.DataFrame(rows, columns=["_id", "change_kind", "field_name", "was"])
 
     return (
-        met.select("_id", "_key", "_old", "_fields")
+        named.join(held, "_to", "left")
         .mapInPandas(run, f"_id {kind}, change_kind string, field_name string, was string")
         .withColumnRenamed("_id", file_id)
     )
 
 
-def _fields(cell: Any) -> list[dict]:
-    return [f | {"held": dict(f["held"] or {})} for f in cell]
+@dataclass
+class Field:
+    """What all files together say of a field name."""
+
+    types: list[str]
+    whole: int
+    part: int
+    files: int
 
 
-def field_types(read: DataFrame) -> tuple[dict[str, list[str]], set[tuple[str, str]]]:
-    """The types of each field name of all files, and the pairs of names that some file has both of; one pass. On the
-    driver there is one row for each such pair."""
+def field_types(read: DataFrame) -> tuple[dict[str, Field], set[tuple[str, str]]]:
+    """Each field name of all files, and the pairs of names that some file has both of; one pass. On the driver there is
+    one row for each such pair: the schema, whose size is that of the records, not of their number."""
     each = read.select(F.explode("_fields").alias("f"), F.transform("_fields", lambda f: f["name"]).alias("others"))
-    pairs = each.select("f.name", "f.types", F.explode("others").alias("other"))
-    found = pairs.groupBy("name", "other").agg(F.array_distinct(F.flatten(F.collect_set("types"))).alias("types")).collect()
-    return {r["name"]: r["types"] for r in found if r["name"] == r["other"]}, {(r["name"], r["other"]) for r in found if r["name"] != r["other"]}
-
-
-def united_names(
-    names: Iterable[str], together: set[tuple[str, str]], renames: Mapping[tuple[str, str], int], aliases: Mapping[str, str]
-) -> dict[str, str]:
-    """The one name of each field by all of its names, united along the chains of renames, the frequent ones first, and
-    then along ``aliases``. Names that one file has both of are different fields and stay apart. The name is the one that
-    ``aliases`` lead to, else that with the most renames, else the least."""
-    group = {n: {n} for n in [*names, *aliases.values()]}
+    pairs = each.select("f.*", F.explode("others").alias("other"))
+    found = pairs.groupBy("name", "other").agg(
+        F.array_distinct(F.flatten(F.collect_set("types"))).alias("types"), F.max("whole").alias("whole"), F.max("part").alias("part"), F.count(F.lit(1)).alias("files")
+    ).collect()
+    fields = {r["name"]: Field(r["types"], r["whole"], r["part"], r["files"]) for r in found if r["name"] == r["other"]}
+    return fields, {(r["name"], r["other"]) for r in found if r["name"] != r["other"]}
+
+
+def united_names(fields: Mapping[str, Field], together: set[tuple[str, str]], renamed: Mapping[tuple[str, str], int]) -> dict[str, str]:
+    """The one name of each field by all of its names: names that differ in case and punctuation alone, and those that
+    renames lead to, the frequent ones first. Names that one file has both of are different fields and stay apart, so
+    that no record has two values for one. The name is that which most files have, of equal ones the least."""
+    group = {n: {n} for n in fields}
     weight: dict[tuple[str, str], int] = {}
-    for (a, b), n in renames.items():
+    for (a, b), n in renamed.items():
         pair = (min(a, b), max(a, b))
         weight[pair] = weight.get(pair, 0) + n
-    links = [pair for pair, _ in sorted(weight.items(), key=lambda x: (-x[1], x[0]))] + sorted(aliases.items())
+    links = [pair for pair, _ in sorted(weight.items(), key=lambda x: (-x[1], x[0]))]
+    spelt: dict[str, list[str]] = {}
+    for n in sorted(fields):
+        spelt.setdefault(plain_name(n), []).append(n)
+    links += [(own[0], n) for own in spelt.values() for n in own[1:]]
     for a, b in links:
         if a not in group or b not in group or group[a] is group[b]:
             continue
@@ -237,65 +312,57 @@ def united_names(
             both = group[a] | group[b]
             for n in both:
                 group[n] = both
-    uses = {n: sum(w for pair, w in weight.items() if n in pair) for n in group}
-    wanted = set(aliases.values())
-    return {n: min(own, key=lambda x: (x not in wanted, -uses[x], x)) for n, own in group.items()}
+    return {n: min(own, key=lambda x: (-fields[x].files, x)) for n, own in group.items()}
 
 
-def union_schema(types: Mapping[str, list[str]], names: Mapping[str, str]) -> list[tuple[str, str]]:
-    """Names and types of the consistent table: all fields under the names that ``names`` gives them, their types folded
-    through the lattice."""
-    found: dict[str, set[str]] = {}
-    for name, own in types.items():
-        found.setdefault(names.get(name, name), set()).update(own)
+def union_schema(fields: Mapping[str, Field], names: Mapping[str, str]) -> list[tuple[str, str]]:
+    """Names and Spark types of the consistent table: all fields under the names that ``names`` gives them, their types
+    folded through the lattice. Numbers get the digits that all their values need, or come as text."""
+    groups: dict[str, list[Field]] = {}
+    for name, own in fields.items():
+        groups.setdefault(names.get(name, name), []).append(own)
     out = []
-    for name, own in sorted(found.items()):
-        kind = None
-        for t in sorted(own):
-            kind = promote(kind, t)
-        out.append((name, kind or "text"))
+    for name, own in sorted(groups.items()):
+        kind = reduce(promote, sorted({t for f in own for t in f.types}), None) or "text"
+        whole, part = max(f.whole for f in own), max(f.part for f in own)
+        if kind == "integer":
+            spark = "bigint" if whole <= 18 else f"decimal({whole},0)" if whole <= MOST_DIGITS else "string"
+        elif kind == "decimal":
+            spark = f"decimal({whole + part},{part})" if whole + part <= MOST_DIGITS else "string"
+        else:
+            spark = "boolean" if kind == "truth value" else "string"
+        out.append((name, spark))
     return out
 
 
-SPARK_TYPE = {"integer": "bigint", "decimal": "double", "truth value": "boolean", "text": "string", "list": "string", "object": "string"}
-
-
-def consistent_table(
-    files: DataFrame, feed: list[str], number: str, file_id: str, content: str, key_name: str, aliases: Mapping[str, str]
-) -> DataFrame:
+def consistent_table(files: DataFrame, feed: list[str], number: str, file_id: str, content: str, key_name: str) -> DataFrame:
     """All records of all files of one kind in one table: the feed, the file, and each field under one name, cast to
     the type that all files' values fit in. Lists, objects and mixed types come as text.
 
-    The names of a field are those that the drift report finds to be renamed into each other, in whatever feed; ``aliases``
-    add names for which no file shows it.
+    The names of a field are those that the drift report finds to be renamed into each other, in whatever feed, and
+    spellings that differ in case and punctuation alone. As the types are those of the values themselves, no cast
+    fails and no digit is lost.
     """
     named = files.dropna(subset=[*feed, number, file_id])
-    ids = latest_copies(named, feed, number, file_id)
-    own = named.dropDuplicates([file_id]).join(ids.select(file_id), file_id, "left_semi")
-    types, together = field_types(headers(own, file_id, content, F.lit(key_name)))
+    ids = latest_copies(named, feed, number, file_id).select(*feed, number, file_id)
+    read = cut_lineage(headers(named, file_id, content).join(ids.select(file_id), file_id, "left_semi"))
+    fields, together = field_types(read)
     report = drift_report(files, feed, number, file_id, content, F.lit(key_name)).where("change_kind = 'renamed'")
-    renames = {(r["was"], r["field_name"]): r["count"] for r in report.groupBy("was", "field_name").count().collect()}
-    names = united_names(types, together, renames, aliases)
-    schema = union_schema(types, names)
+    renamed = {(r["was"], r["field_name"]): r["count"] for r in report.groupBy("was", "field_name").count().collect()}
+    names = united_names(fields, together, renamed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (i, n, {names.get(k, k): as_text(v) for k, v in record.items()})
+                (i, n, {names.get(k, k): as_text(v, True) for k, v in record.items()})
                 for i, c in zip(batch["_id"], batch["_content"])
                 for n, record in enumerate(read_records(c))
             ]
             yield pd.DataFrame(rows, columns=["_id", "record_no", "_record"])
 
     kind = files.schema[file_id].dataType.simpleString()
-    records = own.select(F.col(file_id).alias("_id"), F.col(content).alias("_content")).mapInPandas(
-        run, f"_id {kind}, record_no bigint, _record map<string,string>"
-    )
-    values = [
-        F.col("_record")[name].try_cast(SPARK_TYPE[kind]).alias(f"field_{name}") for name, kind in schema
-    ]
-    return (
-        records.withColumnRenamed("_id", file_id)
-        .join(own.select(file_id, *feed, number), file_id)
-        .select(*feed, number, file_id, "record_no", *values)
-    )
+    # files of one id are equal
+    latest = named.join(ids.select(file_id), file_id, "left_semi").groupBy(file_id).agg(F.first(content).alias("_content"))
+    records = latest.select(F.col(file_id).alias("_id"), "_content").mapInPandas(run, f"_id {kind}, record_no bigint, _record map<string,string>")
+    values = [F.col("_record")[name].try_cast(kind).alias(f"field_{name}") for name, kind in union_schema(fields, names)]
+    return records.withColumnRenamed("_id", file_id).join(ids, file_id).select(*feed, number, file_id, "record_no", *values)

@@ -9,7 +9,7 @@ from json.decoder import scanstring
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What may wrap an event.
@@ -128,28 +128,28 @@ def _is_event(value: Any) -> bool:
     return isinstance(value, dict) and any(k in value for k in EVENT_PARTS)
 
 
-def unwrap(value: Any) -> dict | None:
-    """The event in a parsed body, whatever it is wrapped in: texts that hold JSON, objects, lists of one event."""
-    while True:  # each step leaves less of the value
+def unwrap(value: Any) -> list[dict]:
+    """The events in a parsed body, in their order, whatever they are wrapped in: texts that hold JSON, objects, lists. Most
+    bodies have one. An object that is no event is looked into by its fields in ``WRAPPERS``, or else by all of its lists
+    and objects. The walk keeps its own stack, so that no wrapping is too deep."""
+    found: list[dict] = []
+    todo = [value]
+    while todo:
+        value = todo.pop()
         if isinstance(value, (str, bytes)):
             try:
-                value = read_json(value)
+                todo.append(read_json(value))
             except ValueError:
-                return None
+                continue
         elif isinstance(value, list):
-            events = [x for x in value if x not in (None, "", {}, [])]
-            if len(events) != 1:
-                return None
-            value = events[0]
+            todo += reversed(value)
         elif isinstance(value, dict):
             if _is_event(value):
-                return value
-            inside = [value[k] for k in WRAPPERS if k in value] or [x for x in value.values() if isinstance(x, (dict, list))]
-            if len(inside) != 1:
-                return None
-            value = inside[0]
-        else:
-            return None
+                found.append(value)
+            else:
+                inside = [value[k] for k in WRAPPERS if k in value] or [x for x in value.values() if isinstance(x, (dict, list))]
+                todo += reversed(inside)
+    return found
 
 
 def _listed(value: Any) -> list:
@@ -168,8 +168,9 @@ def _objects(properties: Any) -> Iterator[tuple[str, list]]:
 
 
 def _value(item: Any) -> str | None:
+    """The text of a value; of an object its value, text or hash, or if it has none of these the object as JSON."""
     if isinstance(item, dict):
-        item = next((item[k] for k in ("value", "text", "hash") if k in item), None)
+        item = next((item[k] for k in ("value", "text", "hash") if k in item), item or None)
     return _text(item)
 
 
@@ -199,13 +200,14 @@ def _parents(parents: Any) -> Iterator[str]:
             yield text
 
 
-def event_nodes(event: dict) -> list[list]:
-    """The nodes of an event and all events in it, each with its interval: ``enter`` counts the nodes met before it
-    in a depth-first walk, ``leave`` the largest ``enter`` inside it. A node lies in another one if its ``enter`` is
-    in the other's interval. The walk keeps its own stack, so that no depth is too deep.
+def event_nodes(events: list[dict]) -> list[list]:
+    """The nodes of the events of a body and all events in them, each with its interval: ``enter`` counts the nodes met
+    before it in a depth-first walk, ``leave`` the largest ``enter`` inside it. A node lies in another one if its ``enter``
+    is in the other's interval. Outermost events are 0, 1 and so on. The walk keeps its own stack, so that no depth is
+    too deep.
     """
     rows: list[list] = []
-    todo: list[tuple] = [("open", event, "0", 0, 0)]
+    todo: list[tuple] = [("open", event, str(n), n, 0) for n, event in reversed([*enumerate(events)])]
     while todo:
         step, item, path, place, depth = todo.pop()
         if step == "close":
@@ -237,8 +239,7 @@ def event_nodes(event: dict) -> list[list]:
 
 def parse_body(body: str | None) -> list[list]:
     """The nodes of a body; none if it can't be read as an event."""
-    event = None if body is None else unwrap(body)
-    return [] if event is None else event_nodes(event)
+    return [] if body is None else event_nodes(unwrap(body))
 
 
 def flatten_bodies(df: DataFrame, id_column: str, body_column: str) -> DataFrame:
@@ -275,12 +276,18 @@ def nodes_of_kind(nodes: DataFrame, kind: str, id_column: str) -> DataFrame:
     return own.select(id_column, "node", "name", "pos", "value", "item_id", "enter")
 
 
-def contained(nodes: DataFrame, id_column: str) -> DataFrame:
-    """Every pair of events of one record of which one lies in the other, by their intervals."""
-    events = nodes.where("kind = 'event'")
-    outer = events.select(id_column, F.col("node").alias("outer_node"), F.col("enter").alias("_a"), F.col("leave").alias("_b"))
-    inner = events.select(id_column, F.col("node").alias("inner_node"), F.col("enter").alias("_c"))
-    return outer.join(inner, id_column).where("_c > _a AND _c <= _b").select(id_column, "outer_node", "inner_node")
+def contained(nodes: DataFrame, id_column: str, depth: int) -> DataFrame:
+    """Each node of a record with the event at ``depth`` that it lies in: ``outer_node`` and ``inner_enter``, by intervals.
+
+    Events at one depth have intervals apart from each other, so the last one opened before a node is the only one
+    that can hold it: one window over the record in the order of its nodes, and one row a node, however deep the
+    record is. For all ancestors of a node take each depth in turn.
+    """
+    opened = F.when((F.col("kind") == "event") & (F.col("depth") == depth), F.struct(F.col("node").alias("outer_node"), F.col("leave").alias("_end")))
+    last = F.last(opened, ignorenulls=True).over(Window.partitionBy(id_column).orderBy("enter").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held = nodes.select(id_column, "enter", "kind", "depth", last.alias("_outer"))
+    inside = (F.col("enter") <= F.col("_outer._end")) & ~((F.col("kind") == "event") & (F.col("depth") == depth))
+    return held.where(inside).select(id_column, F.col("_outer.outer_node").alias("outer_node"), F.col("enter").alias("inner_enter"))
 
 
 def flatten_events(df: DataFrame, id_column: str, kind: Column, properties: Column, attachments: Column, parents: Column) -> DataFrame:

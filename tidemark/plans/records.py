@@ -13,23 +13,6 @@ from tidemark.session import table
 FEED = ["producer_id", "element_kind"]
 #: What a record of each kind is known by.
 KEYS = {"object-type": "name", "source": "uri", "property": "property"}
-# Names under which the producers send the same field, by kind.
-ALIASES = {
-    "object-type": {
-        "ver": "version", "Version": "version", "revision": "version", "version-no": "version", "datatype": "data-type", "type": "data-type",
-        "data_type": "data-type", "summary": "description", "descr": "description", "Description": "description", "unit-name": "unit",
-        "unit_name": "unit", "zip": "compress", "compressed": "compress",
-    },
-    "source": {
-        "ver": "version", "Version": "version", "revision": "version", "version-no": "version", "summary": "description",
-        "descr": "description", "Description": "description", "acquired": "date-acquired", "acquisition-date": "date-acquired",
-    },
-    "property": {
-        "objecttype": "object-type", "object_type": "object-type", "is-optional": "optional", "is-multivalued": "multivalued", "Optional": "optional", "may-be-absent": "optional", "multi": "multivalued", "multi_valued": "multivalued",
-        "merge-strategy": "merge", "on-collision": "merge", "conf": "confidence", "certainty": "confidence",
-    },
-}
-
 
 def _nodes(spark: SparkSession, folder: str) -> DataFrame:
     bodies = table(spark, folder, "raw_event").where(F.col("raw_id").isNotNull())  # raw_id is unique
@@ -45,7 +28,8 @@ def p4_raw_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_containment(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.contained(_nodes(spark, folder), "raw_id")
+    """Each node in the event right below the outermost one that it lies in."""
+    return nested.contained(_nodes(spark, folder), "raw_id", 1)
 
 
 def _event_nodes(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,7 +60,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def _consistent(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         files = table(spark, folder, "ontology_drop").where(F.col("element_kind") == kind)
-        return drift.consistent_table(files, FEED, "file_no", "file_id", "content", KEYS[kind], ALIASES[kind])
+        return drift.consistent_table(files, FEED, "file_no", "file_id", "content", KEYS[kind])
 
     return query
 
