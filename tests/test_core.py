@@ -119,13 +119,13 @@ def test_difference_and_union(spark):
 @pytest.mark.parametrize(
     "kind,value,want",
     [
-        ("datetime", "1978-06-17", "1978-06-17T00:00:00.000000Z"), ("datetime", "foo", None), ("number:int", "2", "2"), ("number:int", "foo", None),
-        ("number:double", "1.0", "1.000000E+00"), ("number:float", "0", "0.000000E+00"), ("number:decimal:4:2", "01", "1.00"), ("number:decimal:4:2", "+1", "1.00"),
-        ("number:decimal:4:2", "1.1", "1.10"), ("number:currency", "1.1", "1.1000"), ("hex:1", "AA", "aa"), ("uri:/", "http://a/%20b", "http://a/%20b"),
-        ("ip:v4", "127.0.0.1", "127.0.0.1"), ("ip:v4", "::1", None), ("ip:v6", "2001:db8::8a2e:370:7334", "2001:0db8:0000:0000:0000:8a2e:0370:7334"),
-        ("ip:v6", "::ffff:1.2.3.4", "0000:0000:0000:0000:0000:ffff:0102:0304"), ("ip:v6", "127.0.0.1", None), ("geo:point", "-08.2,+25.30", "-8.200000,25.300000"),
-        ("geo:point", "0", None), ("geo:point", "-8.200000,null", None), ("string:0:lc", "Ab", "ab"), ("string:0:uc", "Ab", "AB"), ("string:1:mc", "abc", None),
-        ("base64:0", "YW55IGNhcm5hbCBwbGVhcw", "YW55IGNhcm5hbCBwbGVhcw=="), ("base64:0", "z", None), ("boolean", "True", "true"), ("boolean", "1", "false"),
+        ("datetime", "2024-03-05 06:07:08", "2024-03-05T06:07:08.000000Z"), ("datetime", "05 Mar 2024", "2024-03-05T00:00:00.000000Z"), ("datetime", "high tide", None),
+        ("number:smallint", "+0042", "42"), ("number:int", "4 lifts", None), ("number:double", "2500", "2.500000E+03"), ("number:float", ".125", "1.250000E-01"),
+        ("number:decimal:12:2", "007.5", "7.50"), ("number:decimal:5:1", "+12", "12.0"), ("number:currency", "19", "19.0000"), ("hex:2", "0FfE", "0ffe"), ("uri:/", "/dock/%2Fa", "/dock/%2Fa"),
+        ("ip:v4", " 10.0.200.9", "10.0.200.9"), ("ip:v4", "fe80::1", None), ("ip:v6", "FE80::1:0:2", "fe80:0000:0000:0000:0000:0001:0000:0002"),
+        ("ip:v6", "64:ff9b::192.0.2.33", "0064:ff9b:0000:0000:0000:0000:c000:0221"), ("ip:v6", "8.8.8.8", None), ("geo:point", "51.9,4.05", "51.900000,4.050000"),
+        ("geo:point", "51.9", None), ("geo:point", "north,4", None), ("string:0:lc", "Quay SIDE", "quay side"), ("string:9:uc", "tug", "TUG"), ("string:3:mc", "quay", None),
+        ("base64:0", "aGFyYm91cg", "aGFyYm91cg=="), ("base64:0", "harb?", None), ("boolean", "True", "true"), ("boolean", "moored", "false"), ("sequence", "0007", "7"),
     ],
 )
 def test_normalize(spark, kind, value, want):
@@ -168,57 +168,92 @@ def test_validation_and_repair(spark):
 
 
 def template_type():
-    kinds = {"s": "string:0:mc", "m": "string:0:mc", "f": "number:float", "t": "datetime", "u": "datetime", "l": "uri:/", "b": "boolean", "g": "geo:point", "o": "string:0:mc"}
-    own = EventType("a").with_attachment(Attachment("att", description="a"))
+    """A call of a ship at a berth."""
+    kinds = {"vessel": "string:0:mc", "cargo": "string:0:mc", "draught": "number:float", "moored": "datetime", "left": "datetime", "chart": "uri:/", "laden": "boolean", "spot": "geo:point"}
+    own = EventType("call").with_attachment(Attachment("log", description="the log"))
     for name, kind in kinds.items():
-        own = own.with_property(EventProperty(name, kind, multivalued=name == "m"))
+        own = own.with_property(EventProperty(name, kind, multivalued=name == "cargo"))
     return own, {n: DataType(k) for n, k in kinds.items()}
 
 
-TIMES = {"t": ["2020-11-25T11:47:10.123456Z"], "u": ["2020-12-26T12:48:12.123456Z"]}
+STAY = {"moored": ["2031-02-03T04:05:06.700800Z"], "left": ["2031-02-03T09:06:36.700800Z"]}
+LONG_STAY = {"moored": STAY["moored"], "left": ["2033-05-07T09:11:13.700800Z"]}
+
+
+def shown(spark, text, values):
+    own, kinds = template_type()
+    assert list(errors(text, own, kinds)) == []
+    df = spark.createDataFrame([(values,)], "p map<string,array<string>>")
+    column = Template(text, kinds).column(lambda n: F.col("p")[n], lambda n: F.array(F.lit("two tugs")) if n == "log" else F.array().cast("array<string>"))
+    return df.select(column.alias("x")).first()["x"]
 
 
 @pytest.mark.parametrize(
     "text,values,want",
     [
-        ("Value is [[s]].", {"s": ["foo"]}, "Value is foo."), ("Value is [[s]].", {}, ""), ("Value{ is [[s]]}.", {}, "Value."),
-        ("Value{ is{ [[s]]} {}}.", {}, "Value is ."), ("Value{ is [[s]] or {[[s]]}.}", {}, "Value"), ("value [[f]]", {"f": ["1.234500E+01"]}, "Value 12.345000"),
-        ("[[m]]", {"m": ["a", "b", "c"]}, "A, b and c"), ("In [[date_time:t,month]].", TIMES, "In November 2020."),
-        ("On [[date_time:t,millisecond]].", TIMES, "On Wednesday, November 25 2020 at 11:47:10.123h."),
-        ("Span [[time_span:t,u]].", {"t": ["2020-11-25T11:47:10.000000Z"], "u": ["2020-11-25T14:23:54.000000Z"]}, "Span between 2020-11-25 11:47:10+00:00 and 2020-11-25 14:23:54+00:00."),
-        ("Span [[time_span:t,u]].", {"t": ["start"], "u": ["end"]}, "Span between start and end."), ("Span [[time_span:t,u]].", {"t": TIMES["t"]}, ""),
-        ("Took [[duration:t,u]].", TIMES, "Took 1 months, 1 days, 1 hours, 1 minutes and 2 seconds."),
-        ("Took [[duration:t,u]].", {"t": ["2020-11-25T11:47:10.000000Z"], "u": ["2020-11-25T11:47:12.000000Z"]}, "Took 2.0 seconds."),
-        ("Took [[duration:t,u]].", {"t": ["2020-11-25T11:47:10.000000Z"], "u": ["2021-12-26T12:48:12.000000Z"]}, "Took 1 years, 1 months, 1 days, 1 hours, 1 minutes and 2 seconds."),
-        ("Look [[url:l,here]].", {"l": ["http://x"]}, "Look here (http://x)."), ("[[merge:s,l]].", {"s": ["a"], "l": ["b"]}, "A and b."),
-        ("[[boolean_string_choice:b,yes,no]]", {"b": ["true"]}, "Yes"), ("[[boolean_on_off:b]]", {"b": ["false"]}, "Off"), ("[[boolean_is_is_not:b]]", {"b": ["x"]}, "Is or is not"),
-        ("[[empty:s,nothing]]", {}, "Nothing"), ("[[empty:s,nothing]]", {"s": ["x"]}, ""), ("{[[unless_empty:f,s,Value]] is {[[f]]}{ or [[s]]}.}", {"s": ["x"]}, "Value is  or x."),
-        ("[[g]]", {"g": ["43.133122,115.734600"]}, "43°7′59 N″ 115°44′4 E″"), ("[[attachment:att]]", {}, "\n\nthe text\n\n"),
+        ("[[vessel]] is in", {"vessel": ["Osprey"]}, "Osprey is in"), ("[[vessel]] is in", {}, ""), ("a ship{ named [[vessel]]} came", {}, "A ship came"),
+        ("a ship{ named [[vessel]]{ with [[cargo]]}} came", {"vessel": ["Osprey"]}, "A ship named Osprey came"),
+        ("a ship{ named [[vessel]]{ with [[cargo]]}} came", {"cargo": ["rye"]}, "A ship came"),
+        ("with [[cargo]]", {"cargo": ["rye"]}, "With rye"), ("with [[cargo]]", {"cargo": ["coal", "rye"]}, "With coal and rye"), ("with [[cargo]]", {"cargo": ["ash", "coal", "oats", "rye"]}, "With ash, coal, oats and rye"),
+        ("draws [[draught]] m", {"draught": ["7.250000E+00"]}, "Draws 7.250000 m"), ("at [[spot]]", {"spot": ["59.250000,18.500000"]}, "At 59°15′0 N″ 18°30′0 E″"),
+        ("see [[url:chart,the chart]]", {"chart": ["/c/9"]}, "See the chart (/c/9)"), ("[[merge:vessel,cargo]] seen", {"vessel": ["Osprey"], "cargo": ["rye"]}, "Osprey and rye seen"),
+        ("it is [[boolean_string_choice:laden,full,light]]", {"laden": ["false"]}, "It is light"), ("pump [[boolean_on_off:laden]]", {"laden": ["true"]}, "Pump on"),
+        ("it [[boolean_is_is_not:laden]] laden", {"laden": ["false"]}, "It is not laden"), ("no [[empty:vessel,name given]]", {}, "No name given"), ("no [[empty:vessel,name given]]", {"vessel": ["Osprey"]}, ""),
+        ("{[[unless_empty:vessel,cargo,known]]: {[[vessel]]}{, [[cargo]]}}", {"cargo": ["rye"]}, "Known: , rye"), ("log: [[attachment:log]]", {}, "Log: \n\ntwo tugs\n\n"),
     ],
 )
 def test_templates(spark, text, values, want):
-    own, kinds = template_type()
-    assert list(errors(text, own, kinds)) == []
-    df = spark.createDataFrame([(values,)], "p map<string,array<string>>")
-    shown = Template(text, kinds).column(lambda n: F.col("p")[n], lambda n: F.array(F.lit("the text")) if n == "att" else F.array().cast("array<string>"))
-    assert df.select(shown.alias("x")).first()["x"] == want
+    assert shown(spark, text, values) == want
 
 
 @pytest.mark.parametrize(
-    "text",
-    ["{", "}", "[[unknown]]", "[[merge:unknown]]", "[[unless_empty:unknown,x]]", "[[attachment:unknown]]", "[[FOO:s]]", "[[duration:t]]", "[[duration:]]", "[[duration:t,s]]",
-     "[[date_time:t]]", "[[date_time:t,date,x]]", "[[date_time:s,date]]", "[[date_time:t,wrong]]", "[[url:]]", "[[url:l,a,b]]", "[[merge:]]", "[[attachment:]]",
-     "[[boolean_string_choice:s,a,b]]", "[[boolean_on_off:s]]", "[[boolean_string_choice:b]]", "[[boolean_on_off:b,x,y]]", "[[empty:]]", "[[unless_empty:s]]"],
+    "accuracy,want",
+    [("year", "2031"), ("month", "February 2031"), ("date", "Monday, February 03 2031"), ("hour", "Monday, February 03 2031 at 04h"), ("minute", "Monday, February 03 2031 at 04:05h"),
+     ("second", "Monday, February 03 2031 at 04:05:06h"), ("microsecond", "Monday, February 03 2031 at 04:05:06.700800h")],
 )
-def test_template_errors(text):
+def test_times_in_templates(spark, accuracy, want):
+    assert shown(spark, f"moored [[date_time:moored,{accuracy}]]", STAY) == f"Moored {want}"
+
+
+def test_spans_in_templates(spark):
+    assert shown(spark, "stayed [[duration:moored,left]]", STAY) == "Stayed 5 hours, 1 minutes and 30 seconds"
+    assert shown(spark, "stayed [[duration:moored,left]]", LONG_STAY) == "Stayed 2 years, 3 months, 4 days, 5 hours, 6 minutes and 7 seconds"
+    assert shown(spark, "was in [[time_span:moored,left]]", STAY) == "Was in between 2031-02-03 04:05:06.700800+00:00 and 2031-02-03 09:06:36.700800+00:00"
+    assert shown(spark, "was in [[time_span:moored,left]]", {"left": STAY["left"]}) == ""
+
+
+def test_template_errors():
+    """Every placeholder that works is broken in each way: a property that isn't there, one of a wrong type, too few and
+    too many arguments, a formatter that isn't there; and scopes that don't match."""
     own, kinds = template_type()
-    assert list(errors(text, own, kinds))
+    good = {
+        "vessel": [], "time_span": ["moored", "left"], "duration": ["moored", "left"], "date_time": ["moored", "hour"], "url": ["chart", "x"], "boolean_string_choice": ["laden", "x", "y"],
+        "boolean_on_off": ["laden"], "boolean_is_is_not": ["laden"], "attachment": ["log"], "empty": ["vessel", "x"], "merge": ["vessel", "cargo"], "unless_empty": ["vessel", "x"],
+    }
+
+    def broken(name, arguments):
+        return bool(list(errors(f"[[{name}:{','.join(arguments)}]]", own, kinds)))
+
+    for name, arguments in good.items():
+        if not arguments:
+            assert not list(errors(f"[[{name}]]", own, kinds)) and list(errors(f"[[{name}s]]", own, kinds))
+            continue
+        assert not broken(name, arguments), name
+        assert broken(name, ["nowhere", *arguments[1:]]), name
+        assert broken(name, []) and broken(f"{name}x", arguments), name
+        if name not in ("merge", "unless_empty", "attachment", "empty"):
+            assert broken(name, [*arguments, "x", "y"]), name
+        if name in ("time_span", "duration", "date_time") or name.startswith("boolean"):
+            assert broken(name, ["vessel", *arguments[1:]]), name
+    assert broken("date_time", ["moored", "fortnight"]) and broken("unless_empty", ["vessel"])
+    for text in ("{[[vessel]]", "[[vessel]]}", "}{"):
+        assert list(errors(text, own, kinds))
 
 
 def test_collapsed(spark):
     own, kinds = template_type()
-    got = collapsed(spark, "{[[s]]{ and [[o]]}}", own, kinds, {"string:0:mc": ("text", "texts")})
-    assert got == [(set(), set(), "Some text and some text"), ({"o"}, set(), "Some text"), ({"s"}, set(), "")]
+    got = collapsed(spark, "{[[vessel]]{ near [[chart]]}}", own, kinds, {"string:0:mc": ("name", "names"), "uri:/": ("link", "links")})
+    assert got == [(set(), set(), "Some name near some link"), ({"chart"}, set(), "Some name"), ({"vessel"}, set(), "")]
 
 
 def test_render(spark):
@@ -299,12 +334,96 @@ def test_transcoding(spark):
     assert "t" in harness.describe(m.specs["x"])
 
 
-def test_xml_transcoding(spark):
+DOCUMENT = """<port xmlns="urn:x"><day no="3"><lift id="c1"><box>B1</box><box>B2</box><by><name>Ann</name></by></lift>
+<!-- <lift id="no"/> --><lift id="c2"><box><![CDATA[<B3>]]></box><lift id="inner"><box>B4</box></lift></lift></day>
+<night><lift id="c3"><box>B5</box></lift></night></port>"""
+
+
+def lifts(*names):
+    own = EventType("t").with_property(EventProperty("p", "text")).with_property(EventProperty("q", "text"))
+    return [Transcoder(own.with_(name=n), {"box": "p", "@id": "q"}) for n in names]
+
+
+def made(spark, mediator, *texts):
+    rows = mediator.transcode(spark.createDataFrame([(t,) for t in texts], "x string"), "x").df.collect()
+    return sorted((r["event_type"], r["properties"].get("q", [None])[0], tuple(r["properties"].get("p", []))) for r in rows)
+
+
+def test_each_xml_element_goes_to_the_first_transcoder_that_selects_it(spark):
+    day, any_lift = lifts("day.lift", "other.lift")
+    m = XmlMediator(ontology(), "/a/").register("/port/day/lift", day).register("lift", any_lift)
+    want = [("day.lift", "c1", ("B1", "B2")), ("day.lift", "c2", ("<B3>",)), ("other.lift", "c3", ("B5",)), ("other.lift", "inner", ("B4",))]
+    assert made(spark, m, DOCUMENT, None) == want
+    df = spark.createDataFrame([(DOCUMENT,)], "x string")
+    assert [tuple(r) for r in m.unknown(df, "x", ["name", "night", "lift"]).orderBy("tag").collect()] == [("name", 1), ("night", 1)]
+    with pytest.raises(ValueError):
+        m.register("lift", any_lift)
+
+
+def test_discarded_xml_elements_take_what_is_in_them_along(spark):
+    (any_lift,) = lifts("lift")
+    m = XmlMediator(ontology(), "/a/").register("/port/day/lift", DISCARD).register("//lift", any_lift)
+    assert made(spark, m, DOCUMENT) == [("lift", "c3", ("B5",))]
+    m = XmlMediator(ontology(), "/a/").register("//lift", any_lift).register("/port/day/lift", DISCARD)
+    assert len(made(spark, m, DOCUMENT)) == 4
+
+
+def test_xml_parts_paths_and_edits(spark):
     own = EventType("t").with_property(EventProperty("p", "text")).with_property(EventProperty("q", "text"))
-    df = spark.createDataFrame([("<root><records><a id='1'><p1>text</p1><p1>more</p1></a><b/></records></root>",)], "x string")
-    m = XmlMediator(ontology(), "/a/").register("/root/records/a", "a", Transcoder(own, {"p1": "p", "@id": "q"}))
-    assert [r["properties"] for r in m.transcode(df, "x").df.collect()] == [{"p": ["more", "text"], "q": ["1"]}]
-    assert m.unknown(df, "x", ["a", "b"]).count() == 1
+    parts = Transcoder(own.with_(name="box"), {".": "p", "/port/day/@no": "q"}, explode="box")
+    edited = Transcoder(own.with_(name="by"), {"name/text()": "p"}, edit=lambda df: df.unionByName(df))
+    m = XmlMediator(ontology(), "/a/").register("/port/*/lift", parts).register("by", edited)
+    assert made(spark, m, DOCUMENT) == [("box", "3", ("<B3>",)), ("box", "3", ("B1",)), ("box", "3", ("B2",)), ("box", "3", ("B5",)), ("by", None, ("Ann",)), ("by", None, ("Ann",))]
+
+
+def test_broken_xml(spark):
+    (spec,) = lifts("lift")
+    with pytest.raises(Exception, match="no XML document"):
+        made(spark, XmlMediator(ontology(), "/a/").register("lift", spec), "<port>")
+    assert made(spark, XmlMediator(ontology(), "/a/", ignore_invalid=True).register("lift", spec), "<port>", DOCUMENT)[0][1] == "c1"
+
+
+def test_many_files_have_ids_of_their_own_and_bad_ones_are_errors(spark, tmp_path):
+    f = frame(spark, [event(i, i) for i in range(6)])
+    event_xml.write_events(EventFrame(f.df.repartition(6), f.ontology), str(tmp_path / "out"))
+    back = event_xml.read_events(spark, f"{tmp_path}/out/part-*")
+    assert back.df.select("event_id").distinct().count() == 6 and compare_ontologies(f.ontology, back.ontology) is Outcome.EQUAL
+    text = next(p for p in (tmp_path / "out").glob("part-*") if "<event " in p.read_text()).read_text()
+
+    def read(name, changed, **how):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.xml").write_text(changed)
+        return event_xml.read_events(spark, str(tmp_path / name / "a.xml"), **how).df.count()
+
+    strange = text.replace('event event-type="ea"', 'event event-type="zz"', 1)
+    assert read("keep", strange, unknown="keep") - read("drop", strange, unknown="drop") == 1
+    for name, changed in (("type", strange), ("nested", text.replace("<properties><", "<ontology/><properties><", 1) if "<event " in text else ""), ("version", text.replace('version="3.0.0"', 'version="4.0.0"', 1))):
+        with pytest.raises(Exception):
+            read(name, changed)
+    reader = event_xml.PushReader()
+    with pytest.raises(OntologyError, match="misplaced"):
+        reader.feed(text.replace("<event ", "<event><event ", 1))
+
+
+def test_streamed_files(spark, tmp_path):
+    f = frame(spark, [event(i, i) for i in range(5)])
+    event_xml.write_events(EventFrame(f.df.repartition(3), f.ontology), str(tmp_path / "in"))
+    own = event_xml.stream_events(spark, f"{tmp_path}/in/part-*", f.ontology)
+    got = []
+    own.df.writeStream.foreachBatch(lambda df, n: got.extend(r["event_id"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert len(set(got)) == len(got) == 5
+
+
+def test_checked_writing(spark, tmp_path):
+    rows = [event(1, 1), (2, "ea", "/a/", {"k": ["b"], "n": ["+07"], "x": ["1"], "v": ["1"]}), (3, "ea", "/a/", {"k": ["c"], "n": ["x"], "x": ["1"], "v": ["1"]})]
+    f = frame(spark, rows)
+    with pytest.raises(ValueError, match="event 3"):
+        event_xml.write_checked(f, str(tmp_path / "no"))
+    assert not (tmp_path / "no").exists()
+    with pytest.warns(UserWarning, match="1 of 2"):
+        assert event_xml.write_checked(f, str(tmp_path / "out"), ignore_invalid=True) == {"written": 2, "repaired": 1, "left_out": 1}
+    back = event_xml.read_events(spark, f"{tmp_path}/out/part-*").df.collect()
+    assert sorted(r["properties"]["n"][0] for r in back) == ["7", "9"]
 
 
 def test_stats_and_replay(spark):

@@ -89,10 +89,10 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _read(spark: SparkSession, files: Sequence[str]) -> list[EventFrame]:
+def _read(spark: SparkSession, files: Sequence[str], check: bool) -> list[EventFrame]:
     if not files:
         raise SystemExit("name a file with -f")
-    return [read_events(spark, f) for f in files]
+    return [read_events(spark, f, unknown="raise" if check else "keep", check=check) for f in files]
 
 
 def main(argv: Sequence[str] | None = None) -> int:
@@ -103,7 +103,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         own = replay.dummy_ontology(args.collisions > 0, args.event_type_name, args.object_type_name)
         print(document(replay.dummy_events(spark, args.limit, args.collisions, args.diversity, ontology=own, size=args.object_size)))
         return 0
-    frames = _read(spark, args.file)
+    frames = _read(spark, args.file, args.command != "validate")
     frame = compare.concatenate(*frames) if args.command in ("union", "stats", "validate") else frames[0]
     return globals()[f"_{args.command.replace('-', '_')}"](args, frame, frames)
 

@@ -9,9 +9,6 @@ from tidemark.frame import EventFrame
 from tidemark.operators.stats import event_times
 from tidemark.session import cut_lineage
 
-#: Rounds after which the lineage of the component labels is cut.
-CUT_EVERY = 3
-
 
 def node_id(event: Column, name: Column, concept: Column, value: Column) -> Column:
     return F.concat_ws(":", F.lit("obj"), event.cast("string"), name, concept, value)
@@ -65,20 +62,26 @@ def relation_edges(frame: EventFrame, kind: str) -> DataFrame:
     return both.groupBy("source", "target").agg(F.max("weight").alias("weight"))
 
 
-def components(points: DataFrame, intra: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(points: DataFrame, intra: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the least node in it), linked by intra relations and shared values.
 
-    Each value is a star around its least node, so k equal values are k links. Labels sink by alternating steps
-    (large star, small star) until nothing changes; a step is an aggregation, and the lineage is cut every few.
+    Each value is a star around its least node, so k equal values are k links. Only values that some relation touches
+    take part in the rounds; all others are components of their own. Labels sink by alternating steps (large star,
+    small star) until nothing changes, which takes about as many rounds as the logarithm of the longest chain. Each
+    round is written, so that its plan stays small and survives the loss of executors.
     """
     hubs = points.groupBy("object_type", "value").agg(F.min("node").alias("hub"))
+    stars = points.join(hubs, ["object_type", "value"]).select("node", "hub")
     if not intra.limit(1).collect():
         # nothing links different values: each is a component
-        return points.join(hubs, ["object_type", "value"]).select("node", F.col("hub").alias("component"))
-    stars = points.join(hubs, ["object_type", "value"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    links = stars.unionByName(intra.select(F.col("source").alias("a"), F.col("target").alias("b"))).where("a <> b").distinct()
-    before = None
-    for round_no in range(most_rounds):
+        return stars.withColumnRenamed("hub", "component")
+    stars = cut_lineage(stars)
+    ends = intra.select("source", "target").where("source <> target")
+    # relations between hubs, each of which stands for its value
+    of = [stars.select(F.col("node").alias(end), F.col("hub").alias(f"{end}_hub")) for end in ("source", "target")]
+    links = ends.join(of[0], "source").join(of[1], "target").select(F.col("source_hub").alias("a"), F.col("target_hub").alias("b")).where("a <> b").distinct()
+    links, before = cut_lineage(links), None
+    while True:
         # large star: every larger neighbour is linked to the least of the neighbourhood
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -87,16 +90,12 @@ def components(points: DataFrame, intra: DataFrame, most_rounds: int = 60) -> Da
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a")
-        links = (
+        links = cut_lineage(
             small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         )
-        if round_no % CUT_EVERY == CUT_EVERY - 1 or round_no == 0:
-            links = cut_lineage(links)
-            now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-            if now == before:
-                break
-            before = now
-    else:
-        raise RuntimeError(f"components have not converged in {most_rounds} rounds")
-    labels = links.groupBy("a").agg(F.min("b").alias("component"))
-    return points.select("node").join(labels, points["node"] == labels["a"], "left").select("node", F.coalesce("component", "node").alias("component"))
+        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before = now
+    labels = links.groupBy(F.col("a").alias("hub")).agg(F.min("b").alias("component"))
+    return stars.join(labels, "hub", "left").select("node", F.coalesce("component", "hub").alias("component"))

@@ -1,29 +1,37 @@
 """Events in XML files: a source that Spark splits by rows, for batches and streams, and a sink.
 
 Names of the root element and the namespace are parameters of the sink; the source takes any. A file's ontology
-elements are read on the driver with the events skipped; events become rows on the executors.
+elements are read with the events skipped and merged on the driver; events become rows on the executors.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Sequence
-from typing import Any
+import warnings
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from io import BytesIO
+from typing import Any, BinaryIO
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import quoteattr
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.frame import COLUMNS, EventFrame
 from tidemark.functions.scalars import replace_invalid
+from tidemark.ontology.check import checked
 from tidemark.ontology.model import Ontology, OntologyError
 from tidemark.ontology.upgrade import merge_ontologies
-from tidemark.ontology.xml import local, ontology_text, read_ontology
+from tidemark.ontology.xml import local, ontology_text, parse_ontology, read_ontology
+from tidemark.operators import validation
+from tidemark.session import cut_lineage
 
 VERSION = re.compile(r"3\.0\.\d+")
+#: Files whose numbers may be sent to every executor, and the events that one file has room for.
+BROADCAST_FILES, MOST_PLACES = 1_000_000, 1_000_000_000
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 DEFAULT_ROOT = "event-stream"
 EVENT_PARTS = "event_type string, source_uri string, properties map<string,array<string>>, attachments map<string,map<string,string>>, parents array<string>, foreign_attribs map<string,string>"
 
@@ -51,21 +59,38 @@ def event_row(node: ET.Element) -> dict[str, Any]:
     }
 
 
-def _stream(path: str, keep: Sequence[str]) -> Iterator[tuple[str, ET.Element]]:
+class Nesting:
+    """Where a walk over a document is, and whether an element may be there: events and ontologies are right below the
+    root, unless values or elements of other vocabularies have these names."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+
+    def enter(self, tag: str) -> int:
+        name = local(tag)
+        if name in ("event", "ontology") and len(self.names) > 1 and self.names[1] in ("event", "ontology") and self.names[-1] not in ("properties", "attachments"):
+            raise OntologyError(f"misplaced element {name} in {'/'.join(self.names)}")
+        self.names.append(name)
+        return len(self.names)
+
+    def leave(self) -> int:
+        self.names.pop()
+        return len(self.names)
+
+
+def _stream(source: str | BinaryIO, keep: Sequence[str]) -> Iterator[tuple[str, ET.Element]]:
     """Elements right below the root with one of the names, each dropped after use; the root comes first."""
-    root, depth = None, 0
-    for event, node in ET.iterparse(path, events=("start", "end")):
+    root, nesting = None, Nesting()
+    for event, node in ET.iterparse(source, events=("start", "end")):
         if event == "start":
-            depth += 1
+            nesting.enter(node.tag)
             if root is None:
                 root = node
                 yield "root", node
-        else:
-            depth -= 1
-            if depth == 1:
-                if local(node.tag) in keep:
-                    yield local(node.tag), node
-                root.clear()
+        elif nesting.leave() == 1:
+            if local(node.tag) in keep:
+                yield local(node.tag), node
+            root.clear()
 
 
 def checked_root(root: ET.Element) -> None:
@@ -74,10 +99,10 @@ def checked_root(root: ET.Element) -> None:
         raise OntologyError(f"unsupported version {version}")
 
 
-def read_file_ontology(path: str) -> Ontology:
-    """All ontology elements of a local file, the later ones as upgrades; events are passed over."""
+def read_file_ontology(source: str | BinaryIO) -> Ontology:
+    """All ontology elements of a file, the later ones as upgrades; events are passed over."""
     out = Ontology()
-    for name, node in _stream(path, ("ontology",)):
+    for name, node in _stream(source, ("ontology",)):
         if name == "root":
             checked_root(node)
         else:
@@ -85,6 +110,22 @@ def read_file_ontology(path: str) -> Ontology:
     return out
 
 
+def read_ontologies(files: DataFrame) -> Ontology:
+    """The ontologies of files (``path``, ``content``), read by all tasks and merged in the order of the files' names. Equal
+    ones come to the driver once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [ontology_text(read_file_ontology(BytesIO(c))) for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "text"])
+
+    found = files.select("path", "content").mapInArrow(run, "path string, text string").groupBy("text").agg(F.min("path").alias("path"))
+    out = Ontology()
+    for row in found.orderBy("path").collect():
+        out = merge_ontologies(out, parse_ontology(row["text"]))
+    return out
+
+
 def scan(spark: SparkSession, path: str, ontology: Ontology, namespace: bool = True) -> DataFrame:
     """Events of large files by the built-in splittable XML reader: a struct of all properties that the ontology knows,
     turned into the map form. Attachments and foreign attributes are not read; ``read_events`` has them."""
@@ -120,24 +161,15 @@ def parse_events(texts: DataFrame, column: str = "value") -> DataFrame:
     return texts.select(column).mapInArrow(run, EVENT_PARTS)
 
 
-def read_events(spark: SparkSession, path: str, ontology: Ontology | None = None) -> EventFrame:
-    """Whole files, each read as a stream by one task: all parts of all events, numbered by file and place.
-
-    Without ``ontology`` those of the files are read and merged first, file by file; then each file is read once.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select("path")
-    if ontology is None:
-        ontology = Ontology()
-        for row in files.orderBy("path").toLocalIterator():
-            ontology = merge_ontologies(ontology, read_file_ontology(_plain(row["path"])))
-    schema = f"path string, place bigint, {EVENT_PARTS}"
+def _events_of(files: DataFrame) -> DataFrame:
+    """``path``, ``place`` and the parts of all events of files (``path``, ``content``), each read as a stream by one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows: list[dict] = []
                 place = 0
-                for name, node in _stream(_plain(path), ("event",)):
+                for name, node in _stream(BytesIO(content), ("event",)):
                     if name == "root":
                         checked_root(node)
                         continue
@@ -149,9 +181,44 @@ def read_events(spark: SparkSession, path: str, ontology: Ontology | None = None
                 if rows:
                     yield _batch(rows)
 
-    found = files.mapInArrow(run, schema)
-    numbered = found.withColumn("event_id", F.abs(F.xxhash64("path")) % 1_000_000 * 1_000_000_000 + F.col("place"))
-    return EventFrame.from_events(numbered, ontology)
+    return files.select("path", "content").mapInArrow(run, f"path string, place bigint, {EVENT_PARTS}")
+
+
+def known_only(df: DataFrame, ontology: Ontology, unknown: str) -> DataFrame:
+    """Events of types and sources that the ontology doesn't know are kept, dropped, or an error (``keep``, ``drop``, ``raise``)."""
+    if unknown == "keep":
+        return df
+    known = F.col("event_type").isin(*sorted(ontology.event_types)) & F.col("source_uri").isin(*sorted(ontology.sources))
+    known = F.coalesce(known, F.lit(False))
+    if unknown == "drop":
+        return df.where(known)
+    name = F.concat(F.lit("event of unknown type "), F.coalesce("event_type", F.lit("")), F.lit(" or source "), F.coalesce("source_uri", F.lit("")))
+    return df.where(F.when(known, True).otherwise(F.raise_error(name).cast("boolean")))
+
+
+def read_events(spark: SparkSession, path: str, ontology: Ontology | None = None, unknown: str = "raise", check: bool = True) -> EventFrame:
+    """Whole files of any file system, each read by one task (a file of more than 2 GB is for ``scan``): all parts of all
+    events, numbered by file, in the order of names, and place.
+
+    Without ``ontology`` those of the files are read first, in parallel, merged and, unless ``check`` is off, checked; then each file is read
+    again for its events. ``unknown``: what becomes of events of types and sources that the ontology doesn't know.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path)
+    if ontology is None:
+        ontology = read_ontologies(files)
+        ontology = checked(ontology) if check else ontology
+    names = files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("_file"))
+    if names.count() <= BROADCAST_FILES:
+        names = F.broadcast(names)
+    numbered = _events_of(files).join(names, "path").withColumn("event_id", F.col("_file") * MOST_PLACES + F.col("place"))
+    return EventFrame.from_events(known_only(numbered, ontology, unknown), ontology)
+
+
+def stream_events(spark: SparkSession, path: str, ontology: Ontology, unknown: str = "drop", files_per_batch: int = 100) -> EventFrame:
+    """The files of a folder as a stream, each read once, when it appears. Ids are hashes of the file's name and the place."""
+    files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", files_per_batch).load(path)
+    numbered = _events_of(files).withColumn("event_id", F.xxhash64("path", "place"))
+    return EventFrame.from_events(known_only(numbered, ontology, unknown), ontology)
 
 
 _ARROW = pa.schema(
@@ -170,10 +237,6 @@ def _batch(rows: list[dict], names: Sequence[str] = _ARROW.names) -> pa.RecordBa
     return pa.RecordBatch.from_pylist([{k: pairs(v) for k, v in r.items()} for r in rows], schema=pa.schema([_ARROW.field(n) for n in names]))
 
 
-def _plain(path: str) -> str:
-    return re.sub(r"^file:/+", "/", path)
-
-
 def foreign_elements(path: str, tags: Sequence[str]) -> list[str]:
     """Elements of other vocabularies right below the root of a local file, as texts."""
     return [ET.tostring(n, encoding="unicode") for name, n in _stream(path, tags) if name != "root"]
@@ -225,6 +288,26 @@ def write_events(frame: EventFrame, path: str, root: str = DEFAULT_ROOT, namespa
     lines.mapInArrow(framed, "value string").write.mode("errorifexists").text(path)
 
 
+def write_checked(
+    frame: EventFrame, path: str, normalize: Mapping[str, Iterable[str]] | None = None, drop: Mapping[str, Iterable[str]] | None = None,
+    ignore_invalid: bool = False, root: str = DEFAULT_ROOT, namespace: str | None = None,
+) -> dict[str, int]:
+    """Writes the events that are valid, after repair of the others: values normalized, then what is still invalid dropped,
+    as far as the two maps name properties by event type (``normalize=None``: all). Events that stay invalid are left out
+    with ``ignore_invalid``, else an error before anything is written. Gives the numbers of events written, repaired and left
+    out, and warns if more than one in ten was repaired."""
+    checked_events = cut_lineage(validation.repair(frame, normalize, drop))
+    bad = F.size("issues") > 0
+    n = checked_events.agg(F.count_if(~bad).alias("written"), F.count_if(F.col("repaired") & ~bad).alias("repaired"), F.count_if(bad).alias("left_out")).first().asDict()
+    if n["left_out"] and not ignore_invalid:
+        first = checked_events.where(bad).orderBy("event_id").first()
+        raise ValueError(f"{n['left_out']} invalid events; event {first['event_id']}: {first['issues']}")
+    if 10 * n["repaired"] > n["written"]:
+        warnings.warn(f"{n['repaired']} of {n['written']} events had to be repaired", stacklevel=2)
+    write_events(frame.with_df(checked_events.where(~bad).select(*COLUMNS)), path, root, namespace)
+    return n
+
+
 def document(frame: EventFrame, root: str = DEFAULT_ROOT, namespace: str | None = None) -> str:
     """A small collection as one text."""
     rows = frame.df.select("event_id", event_text().alias("x")).orderBy("event_id").toLocalIterator()
@@ -236,7 +319,7 @@ class PushReader:
     """Takes a stream in pieces of any size and gives the events that are complete, with the ontology so far."""
 
     def __init__(self) -> None:
-        self.parser, self.ontology, self.root, self.depth = ET.XMLPullParser(("start", "end")), Ontology(), None, 0
+        self.parser, self.ontology, self.root, self.nesting = ET.XMLPullParser(("start", "end")), Ontology(), None, Nesting()
         self.foreign: list[str] = []
         self.counts: dict[str, int] = {}
 
@@ -245,13 +328,12 @@ class PushReader:
         out = []
         for event, node in self.parser.read_events():
             if event == "start":
-                self.depth += 1
+                self.nesting.enter(node.tag)
                 if self.root is None:
                     checked_root(node)
                     self.root = node
                 continue
-            self.depth -= 1
-            if self.depth == 1:
+            if self.nesting.leave() == 1:
                 name = local(node.tag)
                 if name == "ontology":
                     self.ontology = merge_ontologies(self.ontology, read_ontology(node))

@@ -126,6 +126,21 @@ def transcode_type(df: DataFrame, spec: Transcoder, source: str | Column, value_
         found = field_at(df.schema, path)
         return None if found is None else _texts(*found)
 
+    properties, attachments = event_parts(spec, at)
+    out = df.select(
+        (F.col("event_id") if has_id else F.monotonically_increasing_id()).cast("bigint").alias("event_id"),
+        F.lit(spec.event_type.name).alias("event_type"),
+        (F.lit(source) if isinstance(source, str) else source).alias("source_uri"),
+        properties.alias("properties"),
+        attachments.alias("attachments"),
+        F.array().cast(TEXTS).alias("parents"),
+        F.create_map().cast(COLUMNS["foreign_attribs"]).alias("foreign_attribs"),
+    )
+    return spec.edit(out) if spec.edit is not None else out
+
+
+def event_parts(spec: Transcoder, at: Callable[[str], Column | None]) -> tuple[Column, Column]:
+    """The properties and attachments of a record's event; ``at`` gives the texts at a path, or null."""
     parts: dict[str, list[Column]] = {}
     for path, names in spec.properties.items():
         values = at(path)
@@ -142,16 +157,10 @@ def transcode_type(df: DataFrame, spec: Transcoder, source: str | Column, value_
         if (values := at(path)) is not None:
             entries = F.map_from_entries(F.transform(_kept(values, EMPTY), lambda v: F.struct(F.sha1(v.cast("binary")), v)))
             files += [F.lit(name), F.coalesce(entries, F.create_map().cast("map<string,string>"))]
-    out = df.select(
-        (F.col("event_id") if has_id else F.monotonically_increasing_id()).cast("bigint").alias("event_id"),
-        F.lit(spec.event_type.name).alias("event_type"),
-        (F.lit(source) if isinstance(source, str) else source).alias("source_uri"),
-        present(F.create_map(*pairs) if pairs else F.create_map().cast(COLUMNS["properties"])).alias("properties"),
-        (F.map_filter(F.create_map(*files), lambda _, v: F.size(v) > 0) if files else F.create_map().cast(COLUMNS["attachments"])).alias("attachments"),
-        F.array().cast(TEXTS).alias("parents"),
-        F.create_map().cast(COLUMNS["foreign_attribs"]).alias("foreign_attribs"),
+    return (
+        present(F.create_map(*pairs) if pairs else F.create_map().cast(COLUMNS["properties"])),
+        F.map_filter(F.create_map(*files), lambda _, v: F.size(v) > 0) if files else F.create_map().cast(COLUMNS["attachments"]),
     )
-    return spec.edit(out) if spec.edit is not None else out
 
 
 class Mediator:
@@ -195,7 +204,10 @@ class Mediator:
         parts = [transcode_type(self._selected(df, k), s, self.source) for k, s in self.specs.items() if s.event_type is not None]
         if not parts:
             raise ValueError("no transcoder makes events")
-        frame = EventFrame.from_events(reduce(DataFrame.unionByName, parts), self.ontology)
+        return self.checked(EventFrame.from_events(reduce(DataFrame.unionByName, parts), self.ontology))
+
+    def checked(self, frame: EventFrame) -> EventFrame:
+        """Events repaired as far as allowed; those that are invalid still are left out or an error."""
         repaired = validation.repair(frame, self.normalize, self.drop)
         good = repaired.where(F.size("issues") == 0)
         if not self.ignore_invalid:
