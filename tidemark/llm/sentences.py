@@ -195,7 +195,7 @@ def _starts_sentence(line: str, at: int, ends: str, before: str, last_word: str
 def _abbreviated(line: str, stop: int, following: int) -> bool:
     """Whether the full stop at ``stop`` belongs to an abbreviation or a number, so that the sentence goes on."""
     head = line[max(0, stop - WINDOW) : stop]
-    token = head[max(head.rfind(b) for b in " \t\u00a0\u3000") + 1 :].lstrip("".join(PAIRS) + "'’‘¿¡")
+    token = head[max(head.rfind(" "), head.rfind("\t"), head.rfind("\u00a0"), head.rfind("\u3000")) + 1 :].lstrip("".join(PAIRS) + "'’‘¿¡")
     if not token or len(token) == WINDOW:
         return False
     lower, kind = token.lower(), _kind(line[following])
