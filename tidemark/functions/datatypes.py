@@ -14,11 +14,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.binding import let
+
 # Integers by bytes.
 INTEGER_BITS = {"tinyint": 8, "smallint": 16, "mediumint": 24, "int": 32, "bigint": 64}
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 #: Forms of times that are read besides those that Spark casts.
-TIME_FORMATS = ("yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "dd MMM yyyy HH:mm:ss", "dd MMM yyyy", "MMM dd yyyy", "yyyyMMdd'T'HHmmss", "yyyyMMddHHmmss", "yyyyMMdd")
+TIME_FORMATS = (
+    "yyyy/M/d[ H:mm[:ss]]", "yyyyMMdd'T'HHmmss", "yyyyMMddHHmmss", "yyyyMMdd",
+    "d MMM yyyy[ H:mm[:ss]][ xx]", "d MMM yyyy h:mm[:ss] a", "MMM d yyyy[ H:mm[:ss]][ xx]", "MMM d yyyy h:mm[:ss] a", "MMM d H:mm:ss yyyy", "yyyy MMM d[ H:mm[:ss]]",
+    "d.M.yyyy[ H:mm[:ss]]", "M/d/yyyy[ H:mm[:ss]]", "M/d/yyyy h:mm[:ss] a", "d-MMM-yyyy[ H:mm[:ss]]",
+)
+# What is taken out of a written time, or written in one way, before it is read.
+TIME_WORDS = (
+    (r"(?i)\b(mon|tues?|wed(nes)?|thu(rs?)?|fri|sat(ur)?|sun)(day)?\b[.,]?", ""), (r"(?i)\b(gmt|utc|at|of|the)\b", ""), (r"(?i)(\d)(st|nd|rd|th)\b", "$1"), (r"(?i)(\d)\s*([ap])\.?m\.?(\s|$)", "$1 $2m"),
+    (r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?", "$1"), (r",", " "), (r"\s+", " "),
+)
 CURRENCY = (19, 4)
 
 
@@ -147,8 +158,16 @@ class DataType:
 
     @staticmethod
     def _time(value: Column) -> Column:
+        """Times as Spark reads them, and written ones: month names, weekdays, numbers with a suffix, am and pm; of two
+        numbers with slashes the first is the month."""
         text = F.trim(value)
-        return format_time(F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS]))
+        plain = text
+        for pattern, shown in TIME_WORDS:
+            plain = F.regexp_replace(plain, pattern, shown)
+        # month names begin with a capital, and am and pm are capitals
+        plain = F.regexp_replace(F.initcap(F.trim(plain)), r" Am$", " AM")
+        plain = F.regexp_replace(F.regexp_replace(plain, r" Pm$", " PM"), r"(\d)t(\d)", "$1T$2")
+        return let(plain, lambda p: format_time(F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(p, F.lit(f)) for f in TIME_FORMATS])))
 
     @staticmethod
     def _integer(value: Column) -> Column:
