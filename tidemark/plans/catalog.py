@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import declared, events, knowledge, mined, records, rules, values
+from tidemark.plans import declared, documents, events, knowledge, mined, records, rules, values
 
 FLAGSHIP = "merge_latest_per_key"
-MODULES = [events, knowledge, records, declared, values, mined, rules]
+MODULES = [events, knowledge, records, declared, values, mined, rules, documents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -139,13 +139,6 @@ def filter_types(spark: SparkSession, folder: str) -> DataFrame:
     return filters.filter_events(harbour_events(spark, folder, *wanted), "crane|reefer").df.select("event_id", "event_type", "source_uri")
 
 
-@query(EVENTS + "SELECT coalesce(event_type, '') AS event_type, count(*) AS n_events FROM e WHERE event_type IS NULL OR event_type NOT IN " + KNOWN + " GROUP BY 1")
-def unknown_types(spark: SparkSession, folder: str) -> DataFrame:
-    frame = harbour_events(spark, folder)
-    known = F.coalesce(F.col("event_type").isin(*TYPES), F.lit(False))
-    return frame.df.where(~known).groupBy(F.coalesce("event_type", F.lit("")).alias("event_type")).agg(F.count(F.lit(1)).alias("n_events"))
-
-
 @query("SELECT event_type, count(*) AS n_events FROM (SELECT 'order' AS event_type FROM orders UNION ALL SELECT 'order.line' FROM lineitem) GROUP BY 1")
 def cat_union(spark: SparkSession, folder: str) -> DataFrame:
     both = compare.concatenate(orders(spark, folder), order_lines(spark, folder))
@@ -252,20 +245,6 @@ def covered_times(spark: SparkSession, folder: str) -> DataFrame:
 # -- links
 
 
-@query(
-    EVENTS
-    + """, l AS (SELECT event_id, unnest(list_distinct(parents)) AS parent_hash FROM e)
-    SELECT l.event_id, l.parent_hash, h.parent_id FROM l LEFT JOIN
-      (SELECT sticky_hash, min(event_id) AS parent_id FROM parsed_event WHERE sticky_hash IS NOT NULL GROUP BY 1) h ON l.parent_hash = h.sticky_hash"""
-)
-def parents_by_hash(spark: SparkSession, folder: str) -> DataFrame:
-    """Explicit links to parents, by the hashes that the events came with."""
-    events = harbour_events(spark, folder).df.select("event_id", "parents")
-    hashes = table(spark, folder, "parsed_event").where("sticky_hash IS NOT NULL").groupBy("sticky_hash").agg(F.min("event_id").alias("parent_id"))
-    found = events.select("event_id", F.explode("parents").alias("parent_hash"))
-    return found.join(hashes, found["parent_hash"] == hashes["sticky_hash"], "left").select("event_id", "parent_hash", "parent_id")
-
-
 @query("SELECT l_orderkey * 8 + l_linenumber AS event_id, o_orderkey AS parent_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def parents_by_properties(spark: SparkSession, folder: str) -> DataFrame:
     return links.parents_by_properties(compare.concatenate(orders(spark, folder), order_lines(spark, folder)), "order.line")
@@ -389,15 +368,6 @@ def repair_events(spark: SparkSession, folder: str) -> DataFrame:
     return out.groupBy("event_type", "repaired").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.size("issues") > 0).alias("n_invalid"))
 
 
-@query(
-    """SELECT source, avg_text FROM (SELECT coalesce(source, '') AS source, string_agg(DISTINCT lang, '|' ORDER BY lang) AS avg_text FROM documents WHERE lang IS NOT NULL GROUP BY 1)"""
-)
-def collect_languages(spark: SparkSession, folder: str) -> DataFrame:
-    """The strategy add on a plain column: the set of languages of each source."""
-    rows = table(spark, folder, "documents").where("lang IS NOT NULL").groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.collect_set("lang").alias("l"))
-    return rows.select("source", F.array_join(F.array_sort("l"), "|").alias("avg_text"))
-
-
 @query(
     r"""SELECT doc_id, CASE WHEN length(title) > 20 THEN title[:17] || '...' ELSE title END AS head, CASE WHEN length(title) > 20 THEN '...' || title[-17:] ELSE title END AS tail,
     trim(regexp_replace(title, '\s+', ' ', 'g')) AS blanks, array_to_string(regexp_extract_all(title, '[0-9]+'), '|') AS numbers FROM documents WHERE title IS NOT NULL"""

@@ -74,13 +74,6 @@ def concept_edges(spark: SparkSession, folder: str) -> DataFrame:
     return graph.relation_edges(_known(spark, folder), "inter")
 
 
-@query(_NODES + "SELECT object_type, value, min(node) AS hub, count(*) AS n_nodes FROM n GROUP BY 1, 2 HAVING count(*) > 1")
-def shared_value_hubs(spark: SparkSession, folder: str) -> DataFrame:
-    """Values that several events share, each with the node that stands for all."""
-    found = graph.nodes(_known(spark, folder)).groupBy("object_type", "value").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n_nodes"))
-    return found.where("n_nodes > 1")
-
-
 @query(_NODES + "SELECT node, min(node) OVER (PARTITION BY object_type, value) AS component FROM n")
 def concept_components(spark: SparkSession, folder: str) -> DataFrame:
     """Without intra relations a component is a shared value."""
@@ -105,15 +98,6 @@ def noisy_or_confidence(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").groupBy("user_id").agg(F.round(noisy_or(doubt), 6).alias("confidence"))
 
 
-@query(
-    """SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, round(1 - product(1 - (user_id % 7) / 10.0::DOUBLE), 6) AS confidence
-    FROM events GROUP BY 1, 2"""
-)
-def confidence_timeline(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    return rows.agg(F.round(noisy_or((F.col("user_id") % 7).cast("double") / 10), 6).alias("confidence"))
-
-
 @query(
     f"""SELECT event_id, user_id::DECIMAL(38,0)::BIGINT AS "user-id", event_type AS name, round(value, 2)::DECIMAL(12,2)::DOUBLE AS amount, props AS payload FROM events"""
 )
@@ -176,13 +160,18 @@ def stream_merge(spark: SparkSession, folder: str) -> DataFrame:
     amount = F.format_string("%.2f", F.col("value"))
     names = {"user-id": "user_id", "name": "event_type", "time-start": "ts", "time-end": "ts", "amount": amount, "payload": "props", "version": "event_id"}
     frame = EventFrame.from_columns(rows, user_ontology(), "user.event", "/events/", F.col("event_id"), names)
-    name = f"merged_{uuid.uuid4().hex}"
     merged = streams.continuous_merge(frame, "user.event")
-    run = merged.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
+    path = f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+
+    merged.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{path}/*").withColumn("_batch", F.regexp_extract(F.input_file_name(), r"/(\d+)/[^/]*$", 1).cast("int"))
+    state = last.where(F.col("_batch") == last.agg(F.max("_batch")).scalar())
     p = F.col("properties")
     one = {n: F.get(p[n], F.lit(0)) for n in names}
-    return spark.table(name).select(
+    return state.select(
         "sticky_hash", one["user-id"].cast("bigint").alias("user-id"), one["name"].alias("name"), one["time-start"].alias("time_start"),
         one["time-end"].alias("time_end"), one["amount"].alias("amount"), one["payload"].alias("payload"), one["version"].alias("version"), "n_events",
     )

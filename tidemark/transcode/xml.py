@@ -147,7 +147,8 @@ class XmlMediator:
             return reduce(lambda out, x: out.when(F.col("_spec") == x[0], of(*x)), made[1:], F.when(F.col("_spec") == made[0][0], of(*made[0])))
 
         events = rows.select(
-            F.monotonically_increasing_id().alias("event_id"),
+            # a stream has no numbers that go on from batch to batch
+            (F.xxhash64("_spec", F.to_json("_values")) if df.isStreaming else F.monotonically_increasing_id()).alias("event_id"),
             chosen(lambda n, s: F.lit(s.event_type.name)).alias("event_type"),
             F.lit(self.base.source).alias("source_uri"),
             chosen(lambda n, s: parts[n][0]).alias("properties"),
