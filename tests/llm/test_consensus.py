@@ -88,3 +88,46 @@ def test_columns_and_votes():
     values = [("x y", (0,), None), *[(f"z{n} y", (n,), None) for n in range(1, 6)]]
     assert nearest(values) == 0
     assert nearest([("x y", (0,), 1), ("z y", (1,), 1), ("z y w", (2,), 1)]) == 1
+
+
+def test_survivors_of_a_whole_table(spark, data):
+    """Every group of the table worked out one by one: each field by rank, descriptions by weight of trust."""
+    from tidemark.llm import queries
+    from tidemark.session import table
+
+    flags = queries.FLAGS
+    groups, seen = {}, set()
+    for r in table(spark, data, "event_property").collect():
+        if None in (r["producer_id"], r["event_type_name"], r["name"]) or r["decl_id"] in seen:
+            continue
+        seen.add(r["decl_id"])
+        groups.setdefault((r["producer_id"], r["event_type_name"], r["name"]), []).append(r)
+
+    def usable(r):
+        word = (r["merge_strategy"] or "").strip().lower()
+        return {
+            "object_type": r["object_type"], "description": r["description"], "optional": flags.get((r["optional"] or "").strip().lower()), "multivalued": flags.get((r["multivalued"] or "").strip().lower()),
+            "merge_strategy": word if word in queries.STRATEGIES else None, "confidence": None if r["confidence"] is None else str(r["confidence"]),
+        }
+
+    def rank(r):
+        at = r["declared_at"]
+        return (-(r["trust"] if r["trust"] is not None else float("-inf")), -(at.timestamp() if at is not None else float("-inf")), r["decl_id"])
+
+    want = {}
+    for key, rows in groups.items():
+        keep = min(rows, key=lambda r: (-sum(v is not None for v in usable(r).values()), rank(r)))
+        own = {"keep_id": keep["decl_id"]}
+        for field in usable(rows[0]):
+            held = sorted((rank(r), usable(r)[field], (r["trust"] or 0) + 1) for r in rows if usable(r)[field] is not None and usable(r)[field].strip())
+            texts = {}
+            for order, text, weight in held:
+                best, sum_ = texts.get(text, (order, 0))
+                texts[text] = (min(best, order), sum_ + weight * 1_000_000)
+            values = [(t, o, w if field == "description" else None) for t, (o, w) in texts.items()]
+            own[field] = values[nearest(values)][0] if values else None
+        want[key] = own
+    got = {tuple(r[k] for k in queries.GROUP): {f: r[f] for f in want[tuple(r[k] for k in queries.GROUP)]} for r in queries.p3_survivors(spark, data).collect()}
+    assert got == want and len(want) > 50
+    # fields of one word are those of the best rank
+    assert all(own["optional"] in ("true", "false", None) for own in got.values())
