@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import logging
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from tidemark.functions import template
 from tidemark.mining.results import Knowledge, dot_instances, dot_reasons
 from tidemark.ontology.check import ontology_errors
 from tidemark.operators import compare, filters, merge, render, replay, stats, validation
-from tidemark.sources.event_xml import document, read_events
+from tidemark.sources.event_xml import document, document_parts, read_events
 
 
 def _session() -> SparkSession:
@@ -58,6 +58,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--dump-mining-graph", action="store_true")
     c = command("replay", "events moved to now")
     c.add_argument("-s", "--speed", type=float, default=1.0)
+    c.add_argument("--at-once", action="store_true", help="without waiting between events")
     c = command("stats", "counts")
     c.add_argument("-c", "--count", action="store_true")
     for name in ("event-types", "object-types", "source-uris", "concepts"):
@@ -70,6 +71,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-d", "--diversity", type=int, default=100)
     c.add_argument("--limit", type=int, default=100)
     c.add_argument("--object-size", type=int, default=12)
+    c.add_argument("--content-size", type=int, default=0)
+    c.add_argument("--random-objects", action="store_true")
+    c.add_argument("--random-content", action="store_true")
     c.add_argument("--event-type-name", default="event-type.a")
     c.add_argument("--object-type-name", default="object-type.a")
     c = command("delimited", "one line for each combination of values")
@@ -101,13 +105,25 @@ def main(argv: Sequence[str] | None = None) -> int:
     spark = _session()
     if args.command == "generate":
         own = replay.dummy_ontology(args.collisions > 0, args.event_type_name, args.object_type_name)
-        print(document(replay.dummy_events(spark, args.limit, args.collisions, args.diversity, ontology=own, size=args.object_size)))
-        return 0
+        made = replay.dummy_events(
+            spark, args.limit, args.collisions, args.diversity, ontology=own, size=args.object_size, content_size=args.content_size, random_objects=args.random_objects, random_content=args.random_content
+        )
+        return _print_paced(made, lambda rows: replay.at_rate((text for _, text in rows), args.rate))
     frames = _read(spark, args.file, args.command != "validate")
     frame = compare.concatenate(*frames) if args.command in ("union", "stats", "validate") else frames[0]
     return globals()[f"_{args.command.replace('-', '_')}"](args, frame, frames)
 
 
+def _print_paced(frame: EventFrame, timed: Callable[[Iterator[tuple[int, str]]], Iterable[tuple[float, str]]]) -> int:
+    """A collection printed event by event, each at its time."""
+    head, rows, tail = document_parts(frame)
+    print(head)
+    for text in replay.paced(timed(rows)):
+        print(text, flush=True)
+    print(tail)
+    return 0
+
+
 def _union(args: argparse.Namespace, frame: EventFrame, frames: list[EventFrame]) -> int:
     if len(frames) < 2:
         raise SystemExit("union takes two files or more")
@@ -156,8 +172,14 @@ def _mine(args: argparse.Namespace, frame: EventFrame, frames: list[EventFrame])
 
 
 def _replay(args: argparse.Namespace, frame: EventFrame, frames: list[EventFrame]) -> int:
-    print(document(replay.shifted(frame, F.current_timestamp(), args.speed)))
-    return 0
+    """Events in the order of their times, each when its time has come; ``--at-once`` doesn't wait."""
+    moved = replay.shifted(frame, F.current_timestamp(), args.speed)
+    offsets = {r["event_id"]: r["offset_seconds"] for r in replay.delays(frame, args.speed).select("event_id", "offset_seconds").toLocalIterator()}
+
+    def timed(rows: Iterator[tuple[int, str]]) -> Iterable[tuple[float, str]]:
+        return sorted((0.0 if args.at_once else offsets.get(n, 0.0), text) for n, text in rows)
+
+    return _print_paced(moved, timed)
 
 
 def _stats(args: argparse.Namespace, frame: EventFrame, frames: list[EventFrame]) -> int:

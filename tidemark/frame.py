@@ -78,17 +78,25 @@ class EventFrame:
         for name, value in properties.items():
             column = F.col(value) if isinstance(value, str) else value
             kind = df.select(column.alias("x")).schema["x"].dataType.simpleString()
-            texts = (
-                F.transform(column, _as_objects(kind[6:-1])) if kind.startswith("array<") else F.array(as_object(column, kind))
-            )
+            if kind.startswith("array<"):
+                texts = F.filter(F.transform(column, _as_objects(kind[6:-1])), lambda v: v.isNotNull())
+                texts = F.when(F.size(texts) > 0, F.array_sort(F.array_distinct(texts)))
+            else:
+                text = as_object(column, kind)
+                texts = F.when(text.isNotNull(), F.array(text))
             pairs += [F.lit(name), texts.cast(TEXTS)]
+        # each list is a set already; only absent properties have to go
+        whole = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast(COLUMNS["properties"])
         made = df.select(
             event_id.cast("bigint").alias("event_id"),
             F.lit(event_type).alias("event_type"),
             F.lit(source_uri).alias("source_uri"),
-            F.create_map(*pairs).alias("properties"),
+            whole.alias("properties"),
+            F.create_map().cast(COLUMNS["attachments"]).alias("attachments"),
+            no_texts().alias("parents"),
+            F.create_map().cast(COLUMNS["foreign_attribs"]).alias("foreign_attribs"),
         )
-        return cls.from_events(made, ontology)
+        return cls(made, ontology)
 
     def with_df(self, df: DataFrame) -> EventFrame:
         return EventFrame(df, self.ontology)

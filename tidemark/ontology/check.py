@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from tidemark.functions import template
 from tidemark.functions.datatypes import DataType
 from tidemark.ontology.model import (
-    CONCEPT_RELATIONS, MERGE_STRATEGIES, NAME, RELATION_TYPES, UNIVERSAL_RELATIONS, Attachment, Concept, Element, EventProperty, EventSource,
+    CONCEPT_RELATIONS, MERGE_STRATEGIES, NAME, RELATION_TYPES, UNIVERSAL_RELATIONS, Attachment, Bricks, Concept, Element, EventProperty, EventSource,
     EventType, ObjectType, Ontology, OntologyError, Parent, PropertyConcept, Relation,
 )
 
@@ -250,3 +250,9 @@ def checked(ontology: Ontology) -> Ontology:
     if found := ontology_errors(ontology):
         raise OntologyError("; ".join(found))
     return ontology
+
+
+def brick_errors(bricks: Bricks) -> list[str]:
+    """What is wrong with shared definitions, each alone."""
+    by_kind = {ObjectType: object_type_errors, Concept: concept_errors}
+    return [e for (kind, _), item in sorted(bricks.elements.items(), key=lambda x: (x[0][0].__name__, x[0][1])) for e in by_kind[kind](item)]

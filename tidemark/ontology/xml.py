@@ -8,7 +8,7 @@ from typing import Any, TypeVar
 from xml.etree import ElementTree as ET
 
 from tidemark.ontology.model import (
-    Attachment, Concept, Element, EventProperty, EventSource, EventType, ObjectType, Ontology, OntologyError, Parent, PropertyConcept, Relation,
+    Attachment, Bricks, Concept, Element, EventProperty, EventSource, EventType, ObjectType, Ontology, OntologyError, Parent, PropertyConcept, Relation,
 )
 
 E = TypeVar("E", bound=Element)
@@ -138,3 +138,8 @@ def ontology_text(ontology: Ontology, indent: bool = True) -> str:
     if indent:
         ET.indent(root)
     return ET.tostring(root, encoding="unicode")
+
+
+def brick_text(bricks: Bricks) -> str:
+    """Shared definitions as an ``ontology`` element."""
+    return ontology_text(Ontology().put(*bricks.elements.values()))

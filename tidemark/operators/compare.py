@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.frame import COLUMNS, EventFrame
-from tidemark.operators.merge import merge
+from tidemark.operators.merge import merge, merge_all
 from tidemark.ontology.upgrade import merge_ontologies
 
 
@@ -37,14 +37,17 @@ def content_key() -> Column:
 def difference(a: EventFrame, b: EventFrame) -> DataFrame:
     """``sticky_hash``, ``status`` (only in a, only in b, changed) and both contents of the events that differ; each
     side is merged first, so that a hash is one event."""
-    sides = []
+    sides, texts = [], []
     for side, frame in (("a", a), ("b", b)):
-        merged = merge(frame)
-        sides.append(
-            merged.df.select(merged.hash_column().alias("sticky_hash"), content_key().alias(f"key_{side}"), F.to_json(F.struct(*list(COLUMNS)[1:])).alias(side))
-        )
+        merged = merge_all(frame)
+        sides.append(merged.select("sticky_hash", content_key().alias(f"key_{side}")))
+        texts.append(merged.select("sticky_hash", F.to_json(F.struct(*list(COLUMNS)[1:])).alias(side)))
     status = F.when(F.col("key_b").isNull(), "only in a").when(F.col("key_a").isNull(), "only in b").when(F.col("key_a") != F.col("key_b"), "changed")
-    return sides[0].join(sides[1], "sticky_hash", "full_outer").select("sticky_hash", status.alias("status"), "a", "b").where("status IS NOT NULL")
+    # hashes and content keys meet first; the contents of events that are equal, which most are, are never written out
+    differ = sides[0].join(sides[1], "sticky_hash", "full_outer").select("sticky_hash", status.alias("status")).where("status IS NOT NULL")
+    for side in texts:
+        differ = differ.join(side, "sticky_hash", "left")
+    return differ.select("sticky_hash", "status", "a", "b")
 
 
 def equivalent(a: EventFrame, b: EventFrame) -> bool:

@@ -21,20 +21,22 @@ def parents_by_hash(frame: EventFrame) -> DataFrame:
 def parents_by_properties(frame: EventFrame, child_type: str) -> DataFrame:
     """``event_id`` and ``parent_id`` of the events of a type and their parents by the declared property map.
 
-    The values of the mapped properties, sorted and put together, are the key of one equi-join. Events that lack all
-    mapped values have no parent.
+    A hash of 128 bits over the source and the values of the mapped properties, sorted, is the key of one equi-join, so
+    that only ids and hashes are shuffled. Events that lack all mapped values have no parent.
     """
     child = frame.ontology.event_types[child_type]
     pairs = sorted(child.parent.columns.items(), key=lambda x: x[1])
 
-    def key(names: list[str]) -> Column:
-        return F.array(*[F.coalesce(F.array_join(F.array_sort(F.col("properties")[n]), "\u0001"), F.lit("")) for n in names])
+    def values(name: str) -> Column:
+        return F.coalesce(F.array_join(F.array_sort(F.col("properties")[name]), "\u0001"), F.lit(""))
 
     sides = []
     for name, columns, alias in ((child_type, [c for c, _ in pairs], "event_id"), (child.parent.event_type, [p for _, p in pairs], "parent_id")):
-        own = frame.of_type(name).df.select(F.col("event_id").alias(alias), "source_uri", key(columns).alias("_key"))
-        sides.append(own.where(F.array_join("_key", "") != ""))
-    return sides[0].join(sides[1], ["source_uri", "_key"]).select("event_id", "parent_id")
+        every = F.concat_ws("\u0002", *[values(c) for c in columns])
+        own = frame.of_type(name).df.select(F.col("event_id").alias(alias), "source_uri", every.alias("_every"))
+        present = own.where((F.col("_every") != "\u0002" * (len(columns) - 1)) & F.col("source_uri").isNotNull())
+        sides.append(present.select(alias, F.unhex(F.md5(F.concat_ws("\u0003", "source_uri", "_every"))).alias("_key")))
+    return sides[0].join(sides[1], "_key").select("event_id", "parent_id")
 
 
 def related_values(frame: EventFrame) -> DataFrame:

@@ -10,6 +10,14 @@ from tidemark.functions.datatypes import DataType
 from tidemark.ontology.model import EventType, Ontology
 
 
+def united(values: Column) -> Column:
+    """The aggregate of all values of all sets. Sets of one value, which most are, are collected as values, so that a
+    group holds no more than its distinct values; larger sets are collected as sets."""
+    single = F.collect_set(F.when(F.size(values) == 1, F.get(values, F.lit(0))))
+    several = F.flatten(F.collect_set(F.when(F.size(values) > 1, values)))
+    return F.array_sort(F.array_distinct(F.concat(single, several)))
+
+
 def strategy(name: str, kind: DataType, values: Column, order: Column) -> Column:
     """The aggregate that a property's strategy is. ``values`` is the set of one event, ``order`` its place among the
     events of its group: its version, then its id.
@@ -21,7 +29,7 @@ def strategy(name: str, kind: DataType, values: Column, order: Column) -> Column
         pick = F.min_by if name == "min" else F.max_by
         return F.array_compact(F.array(pick(single, F.struct(kind.order(single).alias("t"), single.alias("v")))))
     if name == "add":
-        return F.array_sort(F.array_distinct(F.flatten(F.collect_set(values))))
+        return united(values)
     if name == "replace":
         return F.max_by(values, order)
     if name == "set":
@@ -68,7 +76,7 @@ def merge_all(frame: EventFrame, function: str = "sha1", within: Column | None =
         F.min("event_id").alias("event_id"),
         F.min_by("source_uri", order).alias("source_uri"),
         F.min_by("attachments", order).alias("attachments"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("parents")))).alias("parents"),
+        united(F.col("parents")).alias("parents"),
         F.min_by("foreign_attribs", order).alias("foreign_attribs"),
         F.count(F.lit(1)).alias("n_events"),
         *aggregates,

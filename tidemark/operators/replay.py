@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.frame import EventFrame
 from tidemark.functions.datatypes import format_time
-from tidemark.ontology.model import Concept, EventProperty, EventSource, EventType, ObjectType, Ontology
+from tidemark.ontology.model import Attachment, Concept, EventProperty, EventSource, EventType, ObjectType, Ontology
 from tidemark.operators.stats import event_times
 
 
@@ -36,6 +38,24 @@ def delays(frame: EventFrame, speed: float = 1.0) -> DataFrame:
     return micros.select("*", *waits.values())
 
 
+Item = TypeVar("Item")
+
+
+def paced(items: Iterable[tuple[float, Item]], clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Iterator[Item]:
+    """Items, each handed on when its time (in seconds from the first) has come. What is late is handed on at once, so that
+    a slow receiver doesn't make the whole late."""
+    began = clock()
+    for at, item in items:
+        if (wait := began + at - clock()) > 0:
+            sleep(wait)
+        yield item
+
+
+def at_rate(items: Iterable[Item], rate: float) -> Iterator[tuple[float, Item]]:
+    """Items with their times for ``paced`` at so many a second; all at once for a rate of 0."""
+    return ((n / rate if rate > 0 else 0.0, item) for n, item in enumerate(items))
+
+
 def shifted(frame: EventFrame, now: Column, speed: float = 1.0) -> EventFrame:
     """Events with all their times moved so that the first starts at ``now`` and the gaps are divided by ``speed``."""
     start, _ = event_times(frame)
@@ -90,9 +110,13 @@ def dummy_ontology(collide: bool = True, event_type: str = "event-type.a", objec
     )
 
 
-def dummy_events(spark: SparkSession, n: int, collisions: float = 0.3, diversity: int = 1000, seed: int = 1, ontology: Ontology | None = None, size: int = 12) -> EventFrame:
+def dummy_events(
+    spark: SparkSession, n: int, collisions: float = 0.3, diversity: int = 1000, seed: int = 1, ontology: Ontology | None = None, size: int = 12,
+    content_size: int = 0, random_objects: bool = True, random_content: bool = False,
+) -> EventFrame:
     """``n`` made-up events from a range, the same for the same seed; a share of ``collisions`` has one of
-    ``diversity`` hashes."""
+    ``diversity`` hashes. Texts have ``size`` characters, and are all alike unless ``random_objects``; with a
+    ``content_size`` each event has an attachment of that length."""
     ontology = ontology or dummy_ontology()
     own = next(iter(ontology.event_types.values()))
     clash = F.rand(seed) < collisions
@@ -108,9 +132,14 @@ def dummy_events(spark: SparkSession, n: int, collisions: float = 0.3, diversity
         elif p.object_type == "number.a":
             value = F.floor(F.rand(seed + 2) * 1000).cast("string")
         else:
-            value = word(p.name, F.col("_key") if p.merge == "match" else F.col("id"))
+            value = word(p.name, F.col("_key") if p.merge == "match" else F.col("id") if random_objects else F.lit(0))
         pairs += [F.lit(p.name), F.array(value)]
     rows = spark.range(n).withColumn("_key", key).select(
         F.col("id").alias("event_id"), F.lit(own.name).alias("event_type"), F.lit("/dummy/").alias("source_uri"), F.create_map(*pairs).alias("properties")
     )
+    if content_size:
+        filled = F.repeat(F.sha2(F.concat(F.lit("content"), F.col("event_id").cast("string")), 256) if random_content else F.lit("10"), -(-content_size // (64 if random_content else 2)))
+        text = F.substring(filled, 1, content_size)
+        rows = rows.withColumn("attachments", F.create_map(F.lit("content"), F.create_map(F.sha1(text.cast("binary")), text)))
+        ontology = ontology.put(own.with_attachment(Attachment("content", display_name_singular="content", display_name_plural="contents", description="made-up content")))
     return EventFrame.from_events(rows, ontology)

@@ -308,11 +308,17 @@ def write_checked(
     return n
 
 
-def document(frame: EventFrame, root: str = DEFAULT_ROOT, namespace: str | None = None) -> str:
-    """A small collection as one text."""
+def document_parts(frame: EventFrame, root: str = DEFAULT_ROOT, namespace: str | None = None) -> tuple[str, Iterator[tuple[int, str]], str]:
+    """A collection as the text before its events, the events with their ids in their order, and the text after them."""
     rows = frame.df.select("event_id", event_text().alias("x")).orderBy("event_id").toLocalIterator()
     head = f"<{root}{'' if namespace is None else f' xmlns={quoteattr(namespace)}'} version=\"3.0.0\">"
-    return "\n".join(["<?xml version='1.0' encoding='UTF-8'?>", head, ontology_text(frame.ontology), *[r["x"] for r in rows], f"</{root}>"])
+    return "\n".join(["<?xml version='1.0' encoding='UTF-8'?>", head, ontology_text(frame.ontology)]), ((r["event_id"], r["x"]) for r in rows), f"</{root}>"
+
+
+def document(frame: EventFrame, root: str = DEFAULT_ROOT, namespace: str | None = None) -> str:
+    """A small collection as one text."""
+    head, rows, tail = document_parts(frame, root, namespace)
+    return "\n".join([head, *(text for _, text in rows), tail])
 
 
 class PushReader:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -108,7 +109,9 @@ def several(f: PostProcessor) -> PostProcessor:
     return f
 
 
-def transcode_type(df: DataFrame, spec: Transcoder, source: str | Column, value_at: Callable[[str], Column | None] | None = None) -> DataFrame:
+def transcode_type(
+    df: DataFrame, spec: Transcoder, source: str | Column, value_at: Callable[[str], Column | None] | None = None, guard: bool = False
+) -> DataFrame:
     """Events of one transcoder from its records. Lists become several values; ``event_id`` is kept if there is one."""
     if spec.event_type is None:
         raise ValueError("a discarding transcoder makes no events")
@@ -126,7 +129,7 @@ def transcode_type(df: DataFrame, spec: Transcoder, source: str | Column, value_
         found = field_at(df.schema, path)
         return None if found is None else _texts(*found)
 
-    properties, attachments = event_parts(spec, at)
+    properties, attachments = event_parts(spec, at, guard)
     out = df.select(
         (F.col("event_id") if has_id else F.monotonically_increasing_id()).cast("bigint").alias("event_id"),
         F.lit(spec.event_type.name).alias("event_type"),
@@ -139,8 +142,9 @@ def transcode_type(df: DataFrame, spec: Transcoder, source: str | Column, value_
     return spec.edit(out) if spec.edit is not None else out
 
 
-def event_parts(spec: Transcoder, at: Callable[[str], Column | None]) -> tuple[Column, Column]:
-    """The properties and attachments of a record's event; ``at`` gives the texts at a path, or null."""
+def event_parts(spec: Transcoder, at: Callable[[str], Column | None], guard: bool = False) -> tuple[Column, Column]:
+    """The properties and attachments of a record's event; ``at`` gives the texts at a path, or null. With ``guard`` a
+    property whose function fails is left out with a warning, else the failure is an error."""
     parts: dict[str, list[Column]] = {}
     for path, names in spec.properties.items():
         values = at(path)
@@ -149,7 +153,13 @@ def event_parts(spec: Transcoder, at: Callable[[str], Column | None]) -> tuple[C
         for name in [names] if isinstance(names, str) else names:
             mine = _kept(values, [*EMPTY, *spec.empty.get(path, ())])
             if name in spec.post:
-                mine = _kept(_process(mine, spec.post[name]), EMPTY)
+                try:
+                    mine = _kept(_process(mine, spec.post[name]), EMPTY)
+                except Exception as e:
+                    if not guard:
+                        raise
+                    warnings.warn(f"property {name} is left out, its function fails: {e}", stacklevel=2)
+                    continue
             parts.setdefault(name, []).append(F.coalesce(mine, F.array().cast(TEXTS)))
     pairs = [x for name, values in sorted(parts.items()) for x in (F.lit(name), F.concat(*values))]
     files = []
@@ -174,6 +184,21 @@ class Mediator:
         self.normalize: dict[str, Iterable[str]] | None = {}
         self.drop: dict[str, Iterable[str]] = {}
         self.ignore_invalid = False
+        self.guard = False
+        self.closed = False
+        self._emitted: int | None = None
+
+    def ontology_update(self) -> Ontology | None:
+        """The ontology if it has changed since it was last asked for, to be written before the events that need it."""
+        if self._emitted == self.ontology.version:
+            return None
+        self._emitted = self.ontology.version
+        return self.ontology
+
+    def close(self) -> Ontology | None:
+        """The last update of the ontology; nothing can be transcoded any more."""
+        self.closed = True
+        return self.ontology_update()
 
     def register(self, kind: str | None, spec: Transcoder) -> Mediator:
         """A transcoder for records whose type field has a value; ``None`` is for all others. A kind has one."""
@@ -201,7 +226,9 @@ class Mediator:
     def transcode(self, df: DataFrame) -> EventFrame:
         """All records as events. Each kind's records are one filtered scan and one projection; invalid events are
         repaired as far as allowed, then left out or an error."""
-        parts = [transcode_type(self._selected(df, k), s, self.source) for k, s in self.specs.items() if s.event_type is not None]
+        if self.closed:
+            raise ValueError("the mediator is closed")
+        parts = [transcode_type(self._selected(df, k), s, self.source, guard=self.guard) for k, s in self.specs.items() if s.event_type is not None]
         if not parts:
             raise ValueError("no transcoder makes events")
         return self.checked(EventFrame.from_events(reduce(DataFrame.unionByName, parts), self.ontology))

@@ -141,7 +141,9 @@ class XmlMediator:
         else:
             rows = rows.where(F.when(F.col("_spec") == BROKEN, F.raise_error(F.lit("a text is no XML document")).cast("boolean")).otherwise(True))
         at = lambda path: F.col("_values")[path]
-        parts = {n: event_parts(s, at) for n, s in made}
+        if self.base.closed:
+            raise ValueError("the mediator is closed")
+        parts = {n: event_parts(s, at, self.base.guard) for n, s in made}
 
         def chosen(of: Callable[[int, Transcoder], object]):
             return reduce(lambda out, x: out.when(F.col("_spec") == x[0], of(*x)), made[1:], F.when(F.col("_spec") == made[0][0], of(*made[0])))
