@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from tidemark.frame import EventFrame
 from tidemark.functions.datatypes import DataType
 from tidemark.functions.template import Template, collapsed, errors
-from tidemark.ontology.check import ontology_errors
+from tidemark.ontology.check import brick_errors, ontology_errors
 from tidemark.ontology.model import (
     Attachment, Bricks, Concept, EventProperty, EventSource, EventType, ObjectType, Ontology, OntologyError, generalizations, share_branch, specializations,
 )
 from tidemark.ontology.upgrade import Outcome, UpgradeError, bump, compare, compare_ontologies, merge_ontologies
-from tidemark.ontology.xml import ontology_text, parse_ontology
+from tidemark.ontology.xml import brick_text, ontology_text, parse_ontology
 from tidemark.operators import compare as sets
 from tidemark.operators import edits, filters, links, merge, render, replay, stats, validation
 from tidemark.sources import event_xml
@@ -334,6 +334,42 @@ def test_transcoding(spark):
     assert "t" in harness.describe(m.specs["x"])
 
 
+def test_guard_updates_and_closing(spark):
+    own = EventType("t").with_property(EventProperty("p", "text")).with_property(EventProperty("q", "text"))
+    df = spark.createDataFrame([("x", "y")], "a string, b string")
+
+    def broken(value):
+        raise ValueError("no such thing")
+
+    m = Mediator(ontology(), "/a/").register(None, Transcoder(own, {"a": "p", "b": "q"}, post={"q": broken}))
+    with pytest.raises(ValueError, match="no such thing"):
+        m.transcode(df)
+    m.guard = True
+    with pytest.warns(UserWarning, match="property q is left out"):
+        assert [r["properties"] for r in m.transcode(df).df.collect()] == [{"p": ["x"]}]
+    assert m.ontology_update() is m.ontology and m.ontology_update() is None
+    m.register("other", Transcoder(own.with_(name="u"), {"a": "p"}))
+    assert "u" in m.close().event_types and m.close() is None
+    with pytest.raises(ValueError, match="closed"):
+        m.transcode(df)
+
+
+def test_harness_of_documents(spark):
+    (spec,) = lifts("lift")
+    m = XmlMediator(ontology().drop(Concept, "c"), "/a/").register("/port/night/lift", spec)
+    with pytest.raises(OntologyError):
+        harness.run_xml(spark, m, [DOCUMENT])  # the made-up type has no texts
+    whole = spec.event_type.with_(display_name_singular="lift", display_name_plural="lifts", description="a lift", summary="[[q]]", story="[[q]]")
+    m = XmlMediator(ontology(), "/a/").register("/port/night/lift", Transcoder(whole, spec.properties))
+    assert [r["properties"]["q"] for r in harness.run_xml(spark, m, [DOCUMENT]).df.collect()] == [["c3"]]
+
+
+def test_shared_definitions():
+    good, bad = Concept("c", "c", "cs", "a thing"), ObjectType("Bad name", data_type="none")
+    assert brick_errors(Bricks(good)) == [] and len(brick_errors(Bricks(good, bad))) >= 2
+    assert parse_ontology(brick_text(Bricks(good, ObjectType("text", "t", "ts", "x")))).concepts["c"] == good
+
+
 DOCUMENT = """<port xmlns="urn:x"><day no="3"><lift id="c1"><box>B1</box><box>B2</box><by><name>Ann</name></by></lift>
 <!-- <lift id="no"/> --><lift id="c2"><box><![CDATA[<B3>]]></box><lift id="inner"><box>B4</box></lift></lift></day>
 <night><lift id="c3"><box>B5</box></lift></night></port>"""

@@ -168,3 +168,17 @@ def test_a_long_chain_is_one_component(spark):
 def test_dumps_are_whole(spark):
     members = spark.range(2100).selectExpr("'s' AS seed", "1 AS depth", "cast(id AS string) AS node", "'r' AS reason", "'k' AS reason_kind", "0.5D AS confidence")
     assert dot_reasons(SimpleNamespace(members=members)).count("->") == 2100
+
+
+def test_a_large_component_takes_time_by_its_size():
+    """One value in many events, each linked to a value of its own."""
+    import time
+
+    rows = []
+    for i in range(20_000):
+        ship, call = f"obj:{i}:ship:vessel:Osprey", f"obj:{i}:call:stay:{i}"
+        rows += [(ship, "vessel", "s", "Osprey", 1.0, 0.9, [(call, 0.6)]), (call, "stay", "c", str(i), 0.8, 0.5, [(ship, 0.6)])]
+    began = time.process_time()
+    found = list(Reasoner(rows).mine_all())
+    assert time.process_time() - began < 60 and len(found) == 40_000 and {x[0] for x in found} == {"obj:0:ship:vessel:Osprey"}
+    assert {round(x[2], 6) for x in found} == {1.0, 0.9, 0.48, 0.432}

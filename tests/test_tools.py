@@ -63,7 +63,7 @@ def file(spark, tmp_path_factory):
     "argv,has",
     [
         (["union", "-f", "FILE", "-f", "FILE"], "<event "), (["filter", "-f", "FILE", "-e", "event-type"], "<event "), (["hash", "-f", "FILE", "--sha256"], ""), (["merge", "-f", "FILE"], "<event "), (["merge", "-f", "FILE", "-b", "5", "-l", "2"], "<event "),
-        (["replay", "-f", "FILE"], "<event "), (["stats", "-f", "FILE"], "event-type.a"), (["stats", "-f", "FILE", "--property-stats", "event-type.a"], "property-a"),
+        (["replay", "-f", "FILE", "--at-once"], "<event "), (["generate", "--limit", "4", "-r", "200", "--content-size", "70", "--random-content"], "<content id="), (["stats", "-f", "FILE"], "event-type.a"), (["stats", "-f", "FILE", "--property-stats", "event-type.a"], "property-a"),
         (["delimited", "-f", "FILE", "event-type.a", "-p", "property-a,version", "--with-header"], "property-a\tversion"), (["text", "-f", "FILE", "-s"], "Dummy event"),
         (["template-test", "-f", "FILE", "event-type.a"], "Dummy event"), (["generate", "--limit", "3"], "<event "),
     ],
@@ -86,6 +86,32 @@ def test_commands_with_status(spark, file, tmp_path, capsys):
     capsys.readouterr()
 
 
+def test_paces():
+    now, waits = [0.0], []
+
+    def sleep(seconds):
+        waits.append(round(seconds, 6))
+        now[0] += seconds
+
+    def slow(items):
+        for at, item in items:
+            now[0] += 0.3 if item == "late" else 0.0
+            yield at, item
+
+    got = list(replay.paced(slow([(0.0, "a"), (0.5, "b"), (0.6, "late"), (1.5, "c")]), lambda: now[0], sleep))
+    # the late one comes at once, and the next one at its own time
+    assert got == ["a", "b", "late", "c"] and waits == [0.5, 0.7]
+    assert list(replay.at_rate("xyz", 4)) == [(0.0, "x"), (0.25, "y"), (0.5, "z")] and list(replay.at_rate("xy", 0)) == [(0.0, "x"), (0.0, "y")]
+
+
+def test_made_up_contents(spark):
+    made = replay.dummy_events(spark, 5, 0.0, 3, content_size=100, random_content=True, random_objects=False)
+    rows = made.df.collect()
+    texts = {t for r in rows for t in r["attachments"]["content"].values()}
+    assert len(texts) == 5 and {len(t) for t in texts} == {100} and made.ontology.event_types["event-type.a"].attachment("content")
+    assert len({tuple(r["properties"]["property-b"]) for r in rows}) == 1
+
+
 def test_reader_rejects(file):
     text = open(file).read()
     with pytest.raises(OntologyError):

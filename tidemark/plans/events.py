@@ -13,7 +13,7 @@ from tidemark.functions.datatypes import DataType
 from tidemark.operators import compare, edits, filters, links, merge, render, replay, stats, validation
 from tidemark.plans.declared import all_events
 from tidemark.plans.schemas import (
-    TYPES, harbour_events, order_lines, orders, texts, user_events,
+    PROPERTIES, TYPES, harbour_events, order_lines, orders, texts, user_events, whole_events,
 )
 from tidemark.session import table
 
@@ -46,6 +46,8 @@ EVENTS = """WITH e AS (SELECT event_id, any_value(event_type_name) AS event_type
     any_value(parents) AS parents, any_value(attachments) AS attachments FROM parsed_event WHERE event_id IS NOT NULL GROUP BY event_id),
   x AS (SELECT event_id, event_type, source_uri, unnest(map_entries(properties)) AS m FROM e),
   v AS (SELECT DISTINCT event_id, event_type, source_uri, m.key AS property, unnest(m.value) AS value FROM x) """
+#: The same with the type under which ``whole_events`` has each event.
+WHOLE = EVENTS.replace("any_value(event_type_name) AS event_type", "any_value(CASE WHEN event_type_name IN ({}) THEN event_type_name ELSE 'undeclared' END) AS event_type".format(", ".join(f"'{t}'" for t in TYPES)))
 KNOWN = "(" + ", ".join(f"'{t}'" for t in TYPES) + ")"
 HASH = r"sha1('/events/'::BLOB || '\x0Auser.event\x0A'::BLOB || encode('name:' || event_type) || '\xFF\xFF\xFF\xFF'::BLOB || encode('user-id:' || user_id))"
 TIME = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%fZ')"
@@ -177,9 +179,9 @@ def move_properties(spark: SparkSession, folder: str) -> DataFrame:
 # -- profiles
 
 
-@query(EVENTS + f", t AS (SELECT unnest([{', '.join(repr(t) for t in TYPES)}]) AS event_type), c AS (SELECT event_type, count(*) AS n FROM e GROUP BY 1) SELECT event_type, coalesce(n, 0) AS n_events FROM t LEFT JOIN c USING (event_type)")
+@query(WHOLE + f", t AS (SELECT unnest([{', '.join(repr(t) for t in [*TYPES, 'undeclared'])}]) AS event_type), c AS (SELECT event_type, count(*) AS n FROM e GROUP BY 1) SELECT event_type, coalesce(n, 0) AS n_events FROM t LEFT JOIN c USING (event_type)")
 def stats_event_types(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.event_type_counts(harbour_events(spark, folder, *TYPES))
+    return stats.event_type_counts(whole_events(spark, folder))
 
 
 @query(EVENTS + "SELECT source_uri, count(*) AS n_events FROM e GROUP BY 1")
@@ -187,38 +189,36 @@ def stats_sources(spark: SparkSession, folder: str) -> DataFrame:
     return stats.source_counts(harbour_events(spark, folder))
 
 
+_NAMES = "[" + ", ".join(f"'{p}'" for p in PROPERTIES) + "]"
+
+
 @query(
-    EVENTS
-    + """, n AS (SELECT event_id, property, count(*) AS k FROM v WHERE event_type = 'gate.passage' GROUP BY 1, 2),
-    t AS (SELECT count(*) AS total FROM e WHERE event_type = 'gate.passage'),
-    p AS (SELECT unnest(['serial', 'time-start', 'time-end', 'container', 'gate', 'operator', 'permit', 'plate']) AS property),
-    d AS (SELECT property, count(DISTINCT value) AS n_distinct FROM v WHERE event_type = 'gate.passage' GROUP BY 1)
-    SELECT property, total AS n_events, coalesce(sum(k), 0)::BIGINT AS n_values, coalesce(any_value(n_distinct), 0) AS n_distinct, total - count(k) AS n_without,
+    WHOLE
+    + f""", n AS (SELECT event_id, event_type, property, count(*) AS k FROM v GROUP BY 1, 2, 3),
+    t AS (SELECT event_type, count(*) AS total FROM e GROUP BY 1), p AS (SELECT unnest({_NAMES}) AS property),
+    d AS (SELECT event_type, property, count(DISTINCT value) AS n_distinct FROM v GROUP BY 1, 2)
+    SELECT event_type, property, total AS n_events, coalesce(sum(k), 0)::BIGINT AS n_values, coalesce(any_value(n_distinct), 0) AS n_distinct, total - count(k) AS n_without,
       count(*) FILTER (WHERE k = 1) AS n_single, count(*) FILTER (WHERE k > 1) AS n_several
-    FROM p CROSS JOIN t LEFT JOIN n USING (property) LEFT JOIN d USING (property) GROUP BY property, total"""
+    FROM p CROSS JOIN t LEFT JOIN n USING (event_type, property) LEFT JOIN d USING (event_type, property) GROUP BY event_type, property, total"""
 )
 def stats_properties(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.property_stats(harbour_events(spark, folder, "gate.passage"), "gate.passage")
+    return stats.all_property_stats(whole_events(spark, folder))
 
 
 def _object_case() -> str:
-    from tidemark.plans.schemas import PROPERTIES
-
+    """Every value of every event with its object type."""
     parts = " ".join(f"WHEN '{p}' THEN '{o}'" for p, (o, _) in PROPERTIES.items())
-    allowed = " OR ".join(
-        f"(event_type = '{t}' AND property IN ({', '.join(repr(p) for p in ['serial', 'time-start', 'time-end', *own.split()])}))" for t, own in TYPES.items()
-    )
-    return EVENTS + f", o AS (SELECT *, CASE property {parts} END AS object_type FROM v WHERE {allowed}) "
+    return WHOLE + f", o AS (SELECT *, CASE property {parts} END AS object_type FROM v WHERE property IN (SELECT unnest({_NAMES}))) "
 
 
 @query(_object_case() + "SELECT object_type, count(*) AS n_values, count(DISTINCT value) AS n_distinct FROM o GROUP BY 1")
 def stats_object_types(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.object_type_counts(harbour_events(spark, folder, *TYPES))
+    return stats.object_type_counts(whole_events(spark, folder))
 
 
 @query(_object_case() + "SELECT value, count(*) AS n_values FROM o WHERE object_type = 'vessel.name' GROUP BY 1")
 def stats_object_values(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.value_histogram(harbour_events(spark, folder, *TYPES), "vessel.name")
+    return stats.value_histogram(whole_events(spark, folder), "vessel.name")
 
 
 @query(
@@ -228,18 +228,17 @@ def stats_object_values(spark: SparkSession, folder: str) -> DataFrame:
     SELECT concept, count(*) AS n_seeds FROM k WHERE concept IS NOT NULL GROUP BY 1"""
 )
 def stats_concepts(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.concept_counts(harbour_events(spark, folder, *TYPES))
+    return stats.concept_counts(whole_events(spark, folder))
 
 
 @query(
-    EVENTS
-    + f""", s AS (SELECT e.event_id, e.event_type, min(value) FILTER (WHERE property = 'time-start') AS s,
-      max(value) FILTER (WHERE property IN ('time-start', 'time-end')) AS m FROM e LEFT JOIN v USING (event_id) WHERE e.event_type IN {KNOWN} GROUP BY 1, 2)
+    WHOLE
+    + """, s AS (SELECT e.event_id, e.event_type, min(value) FILTER (WHERE property = 'time-start') AS s,
+      max(value) FILTER (WHERE property IN ('time-start', 'time-end')) AS m FROM e LEFT JOIN v USING (event_id) GROUP BY 1, 2)
     SELECT event_type, min(s) AS first_start, max(m) AS last_end FROM s GROUP BY ROLLUP (event_type)"""
 )
 def covered_times(spark: SparkSession, folder: str) -> DataFrame:
-    frame = filters.filter_events(harbour_events(spark, folder, *TYPES))
-    return stats.covered_times(frame)
+    return stats.covered_times(whole_events(spark, folder))
 
 
 # -- links
@@ -262,7 +261,7 @@ def universals_containers(spark: SparkSession, folder: str) -> DataFrame:
     WHERE (s.property = 'vessel' AND t.property = 'operator') OR (s.property = 'crane' AND t.property = 'container')"""
 )
 def related_values(spark: SparkSession, folder: str) -> DataFrame:
-    return links.related_values(harbour_events(spark, folder, *TYPES)).select("event_id", "source_value", "target_value")
+    return links.related_values(whole_events(spark, folder)).select("event_id", "source_value", "target_value")
 
 
 # -- rendering
@@ -344,19 +343,18 @@ def valid_values(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    EVENTS
-    + f""", t AS (SELECT event_id, event_type FROM e WHERE event_type = 'yard.stacking'),
-    n AS (SELECT event_id, count(*) AS k FROM v WHERE property = 'time-start' AND event_type = 'yard.stacking' GROUP BY 1)
-    SELECT 'time-start' AS property, 'missing mandatory property' AS reason, count(*) AS n_events FROM t LEFT JOIN n USING (event_id) WHERE k IS NULL HAVING count(*) > 0
-    UNION ALL SELECT 'time-start', 'several values of a single-valued property', count(*) FROM n WHERE k > 1 HAVING count(*) > 0
-    UNION ALL SELECT 'status', 'invalid value', count(DISTINCT event_id) FROM v WHERE event_type = 'yard.stacking' AND property = 'status'
-      AND value NOT IN ('open', 'closed', 'failed', 'passed') HAVING count(*) > 0"""
+    WHOLE
+    + r""", n AS (SELECT event_id, count(*) AS k FROM v WHERE property = 'time-start' GROUP BY 1)
+    SELECT event_type, 'time-start' AS property, 'missing mandatory property' AS reason, count(*) AS n_events FROM e LEFT JOIN n USING (event_id) WHERE k IS NULL AND event_type <> 'undeclared' GROUP BY 1
+    UNION ALL SELECT event_type, 'time-start', 'several values of a single-valued property', count(*) FROM e JOIN n USING (event_id) WHERE k > 1 GROUP BY 1
+    UNION ALL SELECT event_type, 'time-start', 'invalid value', count(DISTINCT event_id) FROM v WHERE property = 'time-start'
+      AND NOT (regexp_full_match(value, '\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):\d{2}:\d{2}\.\d{6}Z') AND value >= '1583') GROUP BY 1
+    UNION ALL SELECT event_type, 'status', 'invalid value', count(DISTINCT event_id) FROM v WHERE property = 'status' AND value NOT IN ('open', 'closed', 'failed', 'passed') GROUP BY 1"""
 )
 def validate_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Broken rules of one type's times and states."""
-    frame = filters.filter_events(harbour_events(spark, folder, "yard.stacking"), "yard.stacking$")
-    counts = validation.reason_counts(validation.validate(frame)).where(F.col("property").isin("time-start", "status"))
-    return counts.where("reason <> 'invalid value' OR property = 'status'").select("property", "reason", "n_events")
+    """Broken rules of times and states in every event."""
+    counts = validation.reason_counts(validation.validate(whole_events(spark, folder)))
+    return counts.where(F.col("property").isin("time-start", "status"))
 
 
 @query()
@@ -385,14 +383,14 @@ def text_functions(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     EVENTS
-    + rf""", m AS (SELECT v.event_id, min(value) AS m FROM v JOIN e USING (event_id) WHERE property = 'time-start' AND v.event_type IN {KNOWN} GROUP BY 1),
+    + rf""", m AS (SELECT v.event_id, min(value) AS m FROM v JOIN e USING (event_id) WHERE property = 'time-start' GROUP BY 1),
     s AS (SELECT event_id, try_cast(m AS TIMESTAMP) AS t FROM m WHERE regexp_full_match(m, '\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}\.\d{{6}}Z')
       AND try_cast(m AS TIMESTAMP) IS NOT NULL)
     SELECT event_id, epoch_us(t) - (SELECT min(epoch_us(t)) FROM s) AS offset_micros,
       coalesce(epoch_us(t) - lag(epoch_us(t)) OVER (ORDER BY t, event_id), 0) AS gap_micros FROM s"""
 )
 def replay_delays(spark: SparkSession, folder: str) -> DataFrame:
-    frame = filters.filter_events(harbour_events(spark, folder, *TYPES))
+    frame = whole_events(spark, folder)
     # only times that can be read
     good = F.array_min(F.col("properties")["time-start"]).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}Z\z")
     out = replay.delays(frame.transform(lambda df: df.where(good)), speed=2.0)

@@ -13,11 +13,10 @@ from tidemark.functions.scalars import fuzzy_key, noisy_or
 from tidemark.mining import graph
 from tidemark.mining.results import Knowledge
 from tidemark.ontology.model import EventProperty, EventType
-from tidemark.operators.filters import filter_events
 from tidemark.plans import events as base
 from tidemark.plans.events import TIME, _object_case
 from tidemark.plans.declared import all_events
-from tidemark.plans.schemas import CONCEPTS, TYPES, harbour_events, user_events, user_ontology
+from tidemark.plans.schemas import CONCEPTS, user_events, user_ontology, whole_events
 from tidemark.session import shared_folder, table
 from tidemark.sources.event_xml import event_text
 from tidemark.streaming import merge as streams
@@ -55,7 +54,7 @@ _NODES = (
 
 
 def _known(spark: SparkSession, folder: str) -> EventFrame:
-    return filter_events(harbour_events(spark, folder, *TYPES))
+    return whole_events(spark, folder)
 
 
 @query(_NODES + "SELECT node, event_id, property, concept, object_type, object_type || ':' AS attribute, value, 1.0::DOUBLE AS confidence, identifies FROM n")

@@ -75,6 +75,36 @@ def harbour_events(spark: SparkSession, folder: str, *types: str) -> EventFrame:
     return EventFrame.from_events(rows.dropDuplicates(["event_id"]), harbour_ontology(), event_type="event_type_name")
 
 
+#: The type that stands for all that the harbour's schema doesn't name.
+UNDECLARED = "undeclared"
+
+
+def whole_ontology() -> Ontology:
+    """The harbour's schema in which every type has every property, and a type that stands for all undeclared ones, so that
+    no event and no value is without a schema."""
+    out = harbour_ontology()
+    every: dict[str, EventProperty] = {p.name: p for t in out.event_types.values() for p in t.properties}
+    names = [*TYPES, UNDECLARED]
+    for name in names:
+        own = out.event_types.get(name) or EventType(name, name, name, name, name, name, timespan_start="time-start")
+        for p in every.values():
+            if p.name not in own.by_name:
+                own = own.with_property(p.with_(optional=True))
+        for source, target, predicate, confidence in (("vessel", "operator", "served by", 6), ("crane", "container", "moved", 7)):
+            if not own.related("inter", source, target):
+                own = own.relate("inter", source, target, predicate, confidence=confidence)
+        out = out.put(own)
+    return out
+
+
+def whole_events(spark: SparkSession, folder: str) -> EventFrame:
+    """Every distinct event of ``parsed_event``, those of types that the schema doesn't name under the type that stands for
+    them."""
+    rows = table(spark, folder, "parsed_event").where(F.col("event_id").isNotNull()).dropDuplicates(["event_id"])
+    named = F.when(F.col("event_type_name").isin(*TYPES), F.col("event_type_name")).otherwise(UNDECLARED)
+    return EventFrame.from_events(rows.withColumn("event_type_name", named), whole_ontology(), event_type="event_type_name")
+
+
 def with_sources(frame: EventFrame, uris: list[str]) -> EventFrame:
     return EventFrame(frame.df, frame.ontology.put(*[EventSource(u, u.strip("/") or "all") for u in uris]))
 
