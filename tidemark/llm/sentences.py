@@ -95,6 +95,8 @@ class AbbreviationTrie:
         return node.get("kinds", set())
 
 
+#: The letters of the longest abbreviation without points; a longer word is none.
+LONGEST = max(len(w) for w in (*NEVER, *MAYBE, *UNITS) if "." not in w)
 ABBREVIATIONS = AbbreviationTrie({"never": NEVER, "maybe": MAYBE, "unit": UNITS})
 
 
@@ -114,6 +116,7 @@ def _kind(ch: str) -> str:
     return ""
 
 
+_LEADS = "".join(PAIRS) + "'’‘¿¡"
 CASED = ("upper", "lower", "digit", "")
 
 
@@ -195,17 +198,21 @@ def _starts_sentence(line: str, at: int, ends: str, before: str, last_word: str
 def _abbreviated(line: str, stop: int, following: int) -> bool:
     """Whether the full stop at ``stop`` belongs to an abbreviation or a number, so that the sentence goes on."""
     head = line[max(0, stop - WINDOW) : stop]
-    token = head[max(head.rfind(" "), head.rfind("\t"), head.rfind("\u00a0"), head.rfind("\u3000")) + 1 :].lstrip("".join(PAIRS) + "'’‘¿¡")
+    token = head[max(head.rfind(" "), head.rfind("\t"), head.rfind("\u00a0"), head.rfind("\u3000")) + 1 :].lstrip(_LEADS)
     if not token or len(token) == WINDOW:
         return False
     lower, kind = token.lower(), _kind(line[following])
-    words = head[: len(head) - len(token)].lower().split()
-    before = words[-1] if words else ""
+    if len(token) > LONGEST and token.isalpha():
+        return False
+    blank = head[: len(head) - len(token)].rstrip()
+    before = blank[max(blank.rfind(" "), blank.rfind("\t")) + 1 :].lower() if blank else ""
     kinds = ABBREVIATIONS.kinds(lower)
     # parts of one abbreviation may be apart, as in "z. B." and "i. d. R."
-    for n in (1, 2):
-        if len(words) >= n and all(w.endswith(".") and len(w) <= 4 for w in words[-n:]):
-            kinds = ABBREVIATIONS.kinds("".join(words[-n:]).lstrip("".join(PAIRS)) + lower) or kinds
+    if before.endswith(".") and len(before) <= 4:
+        words = blank.lower().split()
+        for n in (1, 2):
+            if len(words) >= n and all(w.endswith(".") and len(w) <= 4 for w in words[-n:]):
+                kinds = ABBREVIATIONS.kinds("".join(words[-n:]).lstrip("".join(PAIRS)) + lower) or kinds
     if len(token) <= 3 and (ahead := _PARTS.match(line, following)):
         rest = [p.rstrip(".").lower() for p in ahead.groups() if p]
         if any(ABBREVIATIONS.kinds(".".join([lower, *rest[:n]])) for n in range(1, len(rest) + 1)):
@@ -261,6 +268,8 @@ def line_sentences(line: str, dense: bool = False) -> Iterator[tuple[int, int]]:
         end, ends, quoted, open_here = found.end(), text, None, len(inside)
         while end < end_line:
             ch = line[end]
+            if ch == " " and not open_here:
+                break
             blank = end
             while open_here and blank < end_line and line[blank].isspace():
                 blank += 1
@@ -286,7 +295,7 @@ def line_sentences(line: str, dense: bool = False) -> Iterator[tuple[int, int]]:
         if following >= end_line:
             break
         blank = following > end
-        last = next((_kind(c) for c in reversed(line[max(0, at - 8) : at]) if c.isalnum()), "")
+        last = _kind(line[at - 1]) if at and line[at - 1].isalnum() else next((_kind(c) for c in reversed(line[max(0, at - 8) : at]) if c.isalnum()), "")
         new_kind = _kind(line[following])
         if quoted is not None and not (line[quoted] in BRACKETS and blank and own.is_blank_before(quoted)):
             if not blank:
