@@ -356,12 +356,11 @@ def test_guard_updates_and_closing(spark):
 
 def test_harness_of_documents(spark):
     (spec,) = lifts("lift")
-    m = XmlMediator(ontology().drop(Concept, "c"), "/a/").register("/port/night/lift", spec)
-    with pytest.raises(OntologyError):
-        harness.run_xml(spark, m, [DOCUMENT])  # the made-up type has no texts
-    whole = spec.event_type.with_(display_name_singular="lift", display_name_plural="lifts", description="a lift", summary="[[q]]", story="[[q]]")
-    m = XmlMediator(ontology(), "/a/").register("/port/night/lift", Transcoder(whole, spec.properties))
+    m = XmlMediator(ontology(), "/a/").register("/port/night/lift", spec)
     assert [r["properties"]["q"] for r in harness.run_xml(spark, m, [DOCUMENT]).df.collect()] == [["c3"]]
+    broken = spec.event_type.with_(summary="[[nothing]]")
+    with pytest.raises(OntologyError):
+        harness.run_xml(spark, XmlMediator(ontology(), "/a/").register("/port/night/lift", Transcoder(broken, spec.properties)), [DOCUMENT])
 
 
 def test_shared_definitions():
