@@ -4,7 +4,7 @@ from types import SimpleNamespace
 import pytest
 
 from tidemark.frame import EventFrame
-from tidemark.mining import graph
+from tidemark.mining import graph, reason
 from tidemark.mining.reason import Reasoner
 from tidemark.mining.results import Knowledge, concepts_from_json, dot_instances, dot_reasons, knowledge_from_json
 from tidemark.ontology.model import Concept, EventProperty, EventSource, EventType, ObjectType, Ontology
@@ -182,3 +182,13 @@ def test_a_large_component_takes_time_by_its_size():
     found = list(Reasoner(rows).mine_all())
     assert time.process_time() - began < 60 and len(found) == 40_000 and {x[0] for x in found} == {"obj:0:ship:vessel:Osprey"}
     assert {round(x[2], 6) for x in found} == {1.0, 0.9, 0.48, 0.432}
+
+
+@pytest.mark.parametrize("result", [
+    lambda k: k.concepts_json(), lambda k: k.narrate(), lambda k: k.related(), lambda k: k.instances(), lambda k: k.of_concept("vessel").members,
+    lambda k: k.with_attribute("ship:").members,
+])
+def test_members_are_made_once(spark, result):
+    # a result that reads the members several times reads what was written, without the join that twins are given theirs by
+    known = mined(spark, [{"ship": ["Osprey"], "sign": ["KXQ7"], "line": ["Tidal"]}, {"ship": ["Osprey"], "sign": ["ZZ1"]}])
+    assert reason.OTHERS[1:] not in result(known)._jdf.queryExecution().optimizedPlan().toString()
