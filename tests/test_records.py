@@ -195,3 +195,17 @@ def test_united_names():
 
 def test_lattice():
     assert drift.promote("integer", "decimal") == "decimal" and drift.promote(None, "list") == "list" and drift.promote("list", "integer") == "text"
+
+
+def test_files_are_read_as_streams(spark, data, tmp_path):
+    # what tasks can open by its path isn't loaded whole, whatever the folder's name
+    from tidemark.plans.schemas import user_events
+    from tidemark.sources import event_xml
+
+    frame = user_events(spark, data)
+    few = frame.with_df(frame.df.where("event_id < 50"))
+    path = f"file://{tmp_path}/a b%20é"
+    event_xml.write_events(few, path)
+    back = event_xml.read_events(spark, f"{path}/part-*")
+    assert "content:binary" not in back.df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r[0] for r in back.df.select(back.df.properties["version"][0].cast("int")).collect()) == list(range(50))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import warnings
 from collections.abc import Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from io import BytesIO
 from typing import Any, BinaryIO
 from xml.etree import ElementTree as ET
@@ -110,13 +111,31 @@ def read_file_ontology(source: str | BinaryIO) -> Ontology:
     return out
 
 
+def _listed(files: DataFrame, path: str) -> DataFrame:
+    """``path`` and ``content`` of files; the content is null where tasks can open the file by its path (``file:``), so that
+    none has to be held whole."""
+    spark = files.sparkSession
+    system = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.select("path", F.lit(None).cast("binary").alias("content") if system.getUri().getScheme() == "file" else "content")
+
+
+@contextmanager
+def _opened(path: str, content: bytes | None) -> Iterator[BinaryIO]:
+    """A file as a stream: of its content or, where that is null, of the file itself."""
+    with BytesIO(content) if content is not None else open(re.sub("^file:/*", "/", path), "rb") as stream:
+        yield stream
+
+
 def read_ontologies(files: DataFrame) -> Ontology:
     """The ontologies of files (``path``, ``content``), read by all tasks and merged in the order of the files' names. Equal
     ones come to the driver once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [ontology_text(read_file_ontology(BytesIO(c))) for c in batch.column(1).to_pylist()]
+            texts = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with _opened(path, content) as stream:
+                    texts.append(ontology_text(read_file_ontology(stream)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "text"])
 
     found = files.select("path", "content").mapInArrow(run, "path string, text string").groupBy("text").agg(F.min("path").alias("path"))
@@ -169,15 +188,16 @@ def _events_of(files: DataFrame) -> DataFrame:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows: list[dict] = []
                 place = 0
-                for name, node in _stream(BytesIO(content), ("event",)):
-                    if name == "root":
-                        checked_root(node)
-                        continue
-                    rows.append({"path": path, "place": place, **event_row(node)})
-                    place += 1
-                    if len(rows) == 5_000:
-                        yield _batch(rows)
-                        rows = []
+                with _opened(path, content) as stream:
+                    for name, node in _stream(stream, ("event",)):
+                        if name == "root":
+                            checked_root(node)
+                            continue
+                        rows.append({"path": path, "place": place, **event_row(node)})
+                        place += 1
+                        if len(rows) == 5_000:
+                            yield _batch(rows)
+                            rows = []
                 if rows:
                     yield _batch(rows)
 
@@ -197,13 +217,14 @@ def known_only(df: DataFrame, ontology: Ontology, unknown: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str, ontology: Ontology | None = None, unknown: str = "raise", check: bool = True) -> EventFrame:
-    """Whole files of any file system, each read by one task (a file of more than 2 GB is for ``scan``): all parts of all
-    events, numbered by file, in the order of names, and place.
+    """Whole files of any file system, each read by one task: all parts of all events, numbered by file, in the order of
+    names, and place. Files that the tasks can open by path (``file:``) are read as streams, of any size; those of other
+    file systems are held whole (one of more than 2 GB is for ``scan``).
 
     Without ``ontology`` those of the files are read first, in parallel, merged and, unless ``check`` is off, checked; then each file is read
     again for its events. ``unknown``: what becomes of events of types and sources that the ontology doesn't know.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path)
+    files = _listed(spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path), path)
     if ontology is None:
         ontology = read_ontologies(files)
         ontology = checked(ontology) if check else ontology
@@ -217,6 +238,7 @@ def read_events(spark: SparkSession, path: str, ontology: Ontology | None = None
 def stream_events(spark: SparkSession, path: str, ontology: Ontology, unknown: str = "drop", files_per_batch: int = 100) -> EventFrame:
     """The files of a folder as a stream, each read once, when it appears. Ids are hashes of the file's name and the place."""
     files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", files_per_batch).load(path)
+    files = _listed(files, path)
     numbered = _events_of(files).withColumn("event_id", F.xxhash64("path", "place"))
     return EventFrame.from_events(known_only(numbered, ontology, unknown), ontology)
 
