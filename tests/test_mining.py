@@ -192,3 +192,40 @@ def test_members_are_made_once(spark, result):
     # a result that reads the members several times reads what was written, without the join that twins are given theirs by
     known = mined(spark, [{"ship": ["Osprey"], "sign": ["KXQ7"], "line": ["Tidal"]}, {"ship": ["Osprey"], "sign": ["ZZ1"]}])
     assert reason.OTHERS[1:] not in result(known)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("limits", [{}, {"FEW": 0}, {"NEAR": 1}, {"SCANS": 1}])
+def test_given_seeds_are_mined_from_their_components_alone(spark, monkeypatch, limits):
+    # events 0 to 2 hang together by a sign and a ship, the last of them without an id; 3 to 42 are pairs of their own
+    rows = [{"ship": ["a"], "sign": ["x"]}, {"ship": ["b"], "sign": ["x"]}, {"ship": ["b"], "sign": ["y"], "line": ["l"]}]
+    rows += [{"ship": [f"c{i // 2}"], "sign": [f"d{i}"], "line": ["l"]} for i in range(40)]
+    df = spark.createDataFrame([(i if i != 2 else None, "mooring", "/port/", p) for i, p in enumerate(rows)], EVENTS)
+    frame, seeds = EventFrame.from_events(df, harbour()), [SHIP.replace("Osprey", "a"), "obj:22:sign:vessel:d19", "nobody"]
+    for name, value in limits.items():
+        monkeypatch.setattr(reason, name, value)
+    links, part, groups, want = {}, {}, {}, set()
+    for r in graph.relation_edges(frame, "intra").collect():
+        links.setdefault(r["source"], []).append((r["target"], r["weight"]))
+    for r in graph.components(graph.nodes(frame), graph.relation_edges(frame, "intra")).collect():
+        part[r["node"]] = r["component"]
+    for r in sorted(graph.nodes(frame).collect(), key=lambda r: (r["event_id"] or -1, r["property"], r["concept"], r["value"])):
+        groups.setdefault(part[r["node"]], []).append((r["node"], r["concept"], r["object_type"], r["value"], r["confidence"], r["identifies"], sorted(links.get(r["node"], []))))
+    for component, g in groups.items():
+        reasoner = Reasoner(g, min_confidence=0.001)
+        want |= {(component, x[0], x[1], round(x[2], 9), x[3]) for s in seeds if s in reasoner.nodes for x in reasoner.mine(s)}
+
+    written = []
+
+    def recorded(df):
+        written.append(cut(df))
+        return written[-1]
+
+    cut = reason.cut_lineage
+    monkeypatch.setattr(reason, "cut_lineage", recorded)
+    found = reason.memberships(frame, min_confidence=0.001, seeds=seeds)[1]
+    got = {(r["component"], r["seed"], r["node"], round(r["confidence"], 9), r["depth"]) for r in found.collect()}
+    assert got == want and len(got) > 6
+    # what goes on to the tasks is the two components: three events with two nodes, and two with two
+    assert [df.count() for df in written if "links" in df.columns] == [10]
+    if not {"NEAR", "SCANS"} & {*limits}:
+        assert all(df.count() < 20 for df in written)
